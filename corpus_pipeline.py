@@ -1,10 +1,63 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing.
+
+Each stage works on all rows that the one before kept, and each table between them is written to
+the shared folder and read again, so that a lost executor costs at most one stage's own work.
+Scratch tables of a stage go when the next begins.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, exact_dedup, language_id, mixing, near_dedup, packing
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language. What has no letter, or resembles no language, goes."""
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    judged = language_id.identify(docs, model)
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts but for white space, one."""
+    common.release()
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-equal shingle sets, one."""
+    common.release()
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: never, or up to the cap."""
+    common.release()
+    return mixing.repeated(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences."""
+    common.release()
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("exact_dedup", drop_exact),
+    ("near_dedup", drop_near),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
+
+#: Predictions and tokens are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -15,6 +15,7 @@ SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,17 +37,23 @@ def save(df: DataFrame, label: str) -> DataFrame:
     An executor lost later costs nothing that was saved. The table lives until release() or the
     end of the program.
     """
+    return written(df, label, _scratch)
+
+
+def written(df: DataFrame, label: str, kept: list | None = None) -> DataFrame:
+    """As save(), but release() leaves the table: it lives until the end of the program."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    _scratch.append((spark, path.rpartition("/")[0]))
+    (_tables if kept is None else kept).append((spark, path.rpartition("/")[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def release(kept: list | None = None) -> None:
     """Removes all scratch tables. Only for when nothing that reads them is still to run."""
-    while _scratch:
-        spark, path = _scratch.pop()
+    kept = _scratch if kept is None else kept
+    while kept:
+        spark, path = kept.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,6 +62,7 @@ def release() -> None:
             return
 
 
+atexit.register(release, _tables)
 atexit.register(release)
 
 

@@ -42,8 +42,17 @@ def repeat_filter(hashes: DataFrame, h: str, rows: int, label: str = "repeat-fil
     """The second filter as rows (word, bits), its number of words, and whether it may be broadcast."""
     words = max(1, rows // 4)  # 16 bits a row
     slots = hashes.select(F.explode(F.array(*_slots(F.col(h), words))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    packed = twice.groupBy(F.expr("slot div 64").alias("word")).agg(
+    return _packed(slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1"), words, label)
+
+
+def known_filter(hashes: DataFrame, h: str, rows: int, label: str) -> tuple[DataFrame, int, bool]:
+    """A plain Bloom filter of the hashes, in the same form."""
+    words = max(1, rows // 4)
+    return _packed(hashes.select(F.explode(F.array(*_slots(F.col(h), words))).alias("slot")), words, label)
+
+
+def _packed(slots: DataFrame, words: int, label: str) -> tuple[DataFrame, int, bool]:
+    packed = slots.groupBy(F.expr("slot div 64").alias("word")).agg(
         F.bit_or(_bit(F.col("slot"))).alias("bits")
     )
     packed = save(packed, label)
@@ -51,7 +60,7 @@ def repeat_filter(hashes: DataFrame, h: str, rows: int, label: str = "repeat-fil
 
 
 def suspects(df: DataFrame, h: str, found: tuple[DataFrame, int, bool], flag: str) -> DataFrame:
-    """df with a boolean column: whether both of the row's slots were hit twice."""
+    """df with a boolean column: whether the filter has both of the row's slots."""
     packed, words, small = found
     side = packed.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
     a, b = _slots(F.col(h), words)

@@ -39,6 +39,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -
     return runs.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """docs' rows, each as often as mix() takes it, with all columns.
+
+    The seeded order needs no shuffle of texts: a row's repeats follow from its source's plan, but
+    for the slice in which a source's fraction ends, and those few rows are decided by key and size.
+    """
+    plan, rows = _plan(docs, key=key, text=text, source=source, **how)
+    edge = _edge(rows, plan).filter("once_more").groupBy(F.col("key").alias("__k"), F.col("source").alias("__so"), F.col("size").alias("__size")).agg(F.lit(True).alias("__more"))
+    cols = docs.columns
+    own = docs.withColumn("__u", _u(F.col(f"`{key}`"), how.get("seed", SEED))).withColumn("__slice", F.expr(f"__u div {2**32 // SLICES}"))
+    own = own.join(plan.select(F.col("s").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")), F.col(f"`{source}`").eqNullSafe(F.col("__s")))
+    sized = own.withColumn("__n", F.when(F.col("__slice") == F.col("__cut"), _size(f"`{text}`")))
+    marked = sized.filter("__slice = __cut").join(edge, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & F.col(f"`{source}`").eqNullSafe(F.col("__so")) & (F.col("__n") == F.col("__size")), "left")
+    parts = sized.filter("__slice != __cut").withColumn("__more", F.col("__slice") < F.col("__cut")).unionByName(marked.drop("__k", "__so", "__size"))
+    n = F.least(F.col("__whole") + F.coalesce("__more", F.lit(False)).cast("long"), F.lit(int(how.get("max_epochs", MAX_EPOCHS))).cast("long"))
+    return parts.withColumn("__i", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[f"`{c}`" for c in cols])
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target, repeats and taken (size * repeats) of every row of docs.
 
@@ -47,13 +65,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     alike. A source's taken words miss its target by at most half a document. Sources without
     words have target 0. An empty table gives an empty one.
     """
-    u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 8), 16, 10).cast("long")
-    rows = save(
-        docs.select(
-            F.col(key).alias("key"), F.col(source).alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), u.alias("u")
-        ).withColumn("slice", F.expr(f"u div {2**32 // SLICES}")),
-        "sizes",
+    plan, rows = _plan(docs, weights, max_epochs, seed, key, text, source)
+    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    rest = dealt.filter("slice != cut").withColumn("once_more", F.col("slice") < F.col("cut"))
+    repeats = F.least(F.col("whole") + F.col("once_more").cast("long"), F.lit(int(max_epochs)).cast("long"))
+    return (
+        rest.unionByName(_edge(rows, plan))
+        .withColumn("repeats", repeats)
+        .select(F.col("key").alias(key), "size", F.col("source").alias("source"), "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     )
+
+
+def _u(key, seed: str):
+    """A row's place in the seeded order, 32 bits."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _size(text: str):
+    return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+
+
+def _plan(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source"):
+    """What each source takes (s, source_size, target, whole, more, cut, start), and the rows without texts."""
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), _size(f"`{text}`").alias("size"))
+    rows = save(named.withColumn("u", _u(F.col("key"), seed)).withColumn("slice", F.expr(f"u div {2**32 // SLICES}")), "sizes")
     sliced = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sizes = sliced.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     goal = targets(sizes, weights, max_epochs).withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
@@ -65,14 +100,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     plan = goal.join(cut.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c")), "left").select(
         F.col("source").alias("s"), "source_size", "target", "whole", "more", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("start", F.lit(0)).alias("start")
     )
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return save(plan, "plan"), rows
+
+
+def _edge(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of the slices in which fractions end, with once_more: taken while their middle is before the end."""
     inside = Window.partitionBy("source").orderBy("u", F.col("key").isNull(), "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = dealt.filter("slice = cut").withColumn("upto", F.col("start") + F.sum("size").over(inside))
-    edge = edge.withColumn("once_more", F.col("upto") - F.col("size") / 2 <= F.col("more")).drop("upto")
-    rest = dealt.filter("slice != cut").withColumn("once_more", F.col("slice") < F.col("cut"))
-    repeats = F.least(F.col("whole") + F.col("once_more").cast("long"), F.lit(int(max_epochs)).cast("long"))
-    return (
-        rest.unionByName(edge)
-        .withColumn("repeats", repeats)
-        .select(F.col("key").alias(key), "size", F.col("source").alias("source"), "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
-    )
+    edge = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter("slice = cut").withColumn("upto", F.col("start") + F.sum("size").over(inside))
+    return edge.withColumn("once_more", F.col("upto") - F.col("size") / 2 <= F.col("more")).drop("upto")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, url_filter
-from .common import table
+from . import exact_dedup, hmm_lm, language_id, mixing, near_dedup, packing, sharding, url_filter
+from .common import bucket_of, table
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 5) == 0)
+    model = language_id.fit(docs.filter("not held_out").select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+
+
 def op4_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -18,6 +24,15 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of("doc_id", 10) == 0)
+    return hmm_lm.score(docs, "held_out")
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -40,6 +55,18 @@ SQL = {
         hit AS (SELECT n, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
                 FROM p, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN hit USING (n)""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) END AS s FROM d),
+        x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS inter
+                   FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL),
+        pairs AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * inter >= 75 * (na + nb - inter)),
+        links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
     "op10_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 8) AS BIGINT) AS u FROM documents),
