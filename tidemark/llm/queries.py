@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm_lm, language_id, mixing, near_dedup, packing, sharding, url_filter
+from . import audio, exact_dedup, hmm_lm, language_id, mixing, near_dedup, packing, sharding, token_counts, url_filter
 from .common import bucket_of, table
 
 
@@ -16,6 +16,20 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
 
 
+def op3_token_counts(spark, sf_dir):
+    """Every document counted, then edited twice: words put in at one place, others taken out at another."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0)) + 1
+    i = F.coalesce("doc_id", F.lit(0))
+
+    def change(start, taken, put):
+        return F.struct(start.cast("int").alias("start"), (start + taken).cast("int").alias("stop"), F.lit(put).alias("put"))
+
+    edits = F.array(change(F.pmod(i * 7919, n), 0, " put in 'll 42 "), change(F.pmod(i * 104729, n), 40, ""))
+    counted = token_counts.count(docs.withColumn("edits", edits), edits="edits")
+    return counted.withColumn("n_leaves", F.size("leaf_chars").cast("long")).drop("leaf_chars", "leaf_tokens")
+
+
 def op4_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -37,6 +51,11 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_audio_fingerprints(spark, sf_dir):
+    """The tables hold no sound, so each vector of embeddings is played as a melody."""
+    return audio.align(audio.tunes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
