@@ -42,7 +42,7 @@ def get_path(value: Column, path: str) -> Column:
 def as_string(v: Column) -> Column:
     """Text of a scalar, or of the first text in an array; null for blank and for objects."""
     kind = F.schema_of_variant(v)
-    first = F.element_at(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda s: F.trim(s) != ""), 1)
+    first = F.try_element_at(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda s: F.trim(s) != ""), F.lit(1))
     whole = F.try_variant_get(v, "$", "string")
     scalar = F.when(F.startswith(kind, F.lit("OBJECT")) | (kind == "VOID"), None).otherwise(whole)
     return F.when(F.startswith(kind, F.lit("ARRAY")), first).otherwise(F.when(F.trim(scalar) != "", scalar))

@@ -133,7 +133,7 @@ def url_hash(canonical_url: Column) -> Column:
 def title_from_url(url: Column) -> Column:
     """A readable title from the last segment of the path; the url itself where there is none."""
     path = F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
-    slug = F.element_at(F.filter(F.split(path, "/"), lambda s: s != ""), -1)
+    slug = F.try_element_at(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(-1))
     clean = F.trim(F.regexp_replace(F.regexp_replace(slug, r"(?i)\.(html?|aspx|php)$", ""), "[-_]+", " "))
     return F.when(F.coalesce(clean, F.lit("")) == "", url).otherwise(F.concat(F.upper(F.substring(clean, 1, 1)), F.substr(clean, F.lit(2))))
 
@@ -148,12 +148,12 @@ def origin(url: Column) -> Column:
 def _site(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#:@]+)", 1)), r"^(www|m)\.", "")
     labels = F.split(host, r"\.")
-    return F.when(F.size(labels) > 1, F.element_at(labels, -2)).otherwise(host)
+    return F.when(F.size(labels) > 1, F.try_element_at(labels, F.lit(-2))).otherwise(host)
 
 
 def suggested_id(url: Column) -> Column:
     """A short name for a source: its site and the last segment of the path."""
-    slug = F.element_at(F.filter(F.split(F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1), "/"), lambda s: s != ""), -1)
+    slug = F.try_element_at(F.filter(F.split(F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1), "/"), lambda s: s != ""), F.lit(-1))
     return F.trim(F.regexp_replace(F.lower(F.concat_ws("-", _site(url), slug)), "[^a-z0-9]+", "-"), F.lit("-"))
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.lineage import settled
 from tidemark.model import DAY_MS
 
 #: Equal titles of one institution within so long are one article.
@@ -93,7 +94,7 @@ def decide(rows: DataFrame, items: DataFrame, pruned: DataFrame, pos: str = "pos
         folded = greedy(base.filter("not __url and not __near").select("institution", "title_key", "published_at", pos), pos, window_ms)
         turned = folded.filter("not kept").select(pos).withColumn("__lost", F.lit(True))
         nxt = base.join(turned, pos, "left").withColumn("__new", (F.col("__near") & ~F.col("__url")) | F.coalesce("__lost", F.lit(False))).drop("__lost")
-        nxt = nxt.persist()
+        nxt = settled(nxt)
         most_rounds -= 1
         settled = nxt.filter("__new != __turned").isEmpty()
         base = nxt.withColumn("__turned", F.col("__new")).drop("__new")

@@ -65,11 +65,15 @@ def greedy_stream(stream: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     )
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums by event type in tumbling or sliding windows; an addition to what the loop needs."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
