@@ -96,9 +96,9 @@ def decide(rows: DataFrame, items: DataFrame, pruned: DataFrame, pos: str = "pos
         nxt = base.join(turned, pos, "left").withColumn("__new", (F.col("__near") & ~F.col("__url")) | F.coalesce("__lost", F.lit(False))).drop("__lost")
         nxt = settled(nxt)
         most_rounds -= 1
-        settled = nxt.filter("__new != __turned").isEmpty()
+        done = nxt.filter("__new != __turned").isEmpty()
         base = nxt.withColumn("__turned", F.col("__new")).drop("__new")
-        if settled or not most_rounds:
+        if done or not most_rounds:
             break
     decision = F.when(F.col("__url"), "duplicate_url").when(F.col("__turned"), "duplicate_title").otherwise("inserted")
     return base.withColumn("decision", decision).select(*rows.columns, "decision")
