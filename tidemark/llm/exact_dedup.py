@@ -122,6 +122,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     hashed = packed.withColumn("__sha", F.unhex(F.sha2(F.regexp_replace(t, SPACES, ""), 256))).withColumn("__h", F.xxhash64("__sha"))
     hashes = save(hashed.select("__h"), "hashes")
     probed = suspects(hashed, "__h", repeat_filter(hashes, "__h", hashes.count()), "__suspect")
-    best = F.struct(F.length(t), F.col(f"__row.`{key}`").isNull().cast("int") * -1, -F.col(f"__row.`{key}`"))
-    rest = probed.filter("__suspect").groupBy("__sha").agg(F.max_by("__row", best).alias("__row"))
+    rank = F.struct(-F.length(t), F.col(f"__row.`{key}`").isNull(), F.col(f"__row.`{key}`"))
+    rest = probed.filter("__suspect").groupBy("__sha").agg(F.min_by("__row", rank).alias("__row"))
     return probed.filter("not __suspect").select("__row.*").unionByName(rest.select("__row.*"))
