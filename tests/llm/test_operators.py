@@ -170,8 +170,10 @@ def test_url_rules(spark):
 
 def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter, "_digest", lambda s: len(s))
-    files = url_filter.Digests.write([("block", "ab.c", "/"), ("allow", "xy.z", "/"), ("block", "lm.n", "/")], str(tmp_path))
-    d = url_filter.Digests.open(*files, [1])
+    built = url_filter.Digests.build([("block", "ab.c", "/"), ("allow", "xy.z", "/"), ("block", "lm.n", "/")])
+    for name, data in built.items():
+        (tmp_path / name).write_bytes(data)
+    d = url_filter.Digests.open(tmp_path / "keys", tmp_path / "strings", [1])
     found = d.find(["xy.z\0/", "ab.c\0/", "qq.q\0/", "x\0/"])
     assert [None if i < 0 else int(d.verdicts[i]) for i in found] == [0, 1, None, None]
 

@@ -49,6 +49,20 @@ def written(df: DataFrame, label: str, kept: list | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file into the shared folder, through Spark's file systems, and returns its path."""
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    _tables.append((spark, path.rpartition("/")[0]))
+    return path
+
+
 def release(kept: list | None = None) -> None:
     """Removes all scratch tables. Only for when nothing that reads them is still to run."""
     kept = _scratch if kept is None else kept
@@ -66,6 +80,14 @@ atexit.register(release, _tables)
 atexit.register(release)
 
 
+def tasks_for(rows: int, each: int = 25_000) -> int:
+    """How many tasks rows after a shuffle are worth: small tables needn't be read in hundreds of parts.
+
+    More than there are partitions changes nothing, so large tables keep the cluster's parallelism.
+    """
+    return max(6, -(-rows // each))
+
+
 def bucket_of(key: str, modulus: int):
     """crc32 of the key as text, modulo: the folds that contracts name. Null counts as empty."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -3,14 +3,14 @@
 Rules are (host, path) pairs. A url's candidates are the suffixes of its host at dots, each with the
 prefixes of its path in those lengths that rules have; all candidates of a batch are looked up by
 one searchsorted, longest first, and a hit counts only when the stored string equals the candidate.
-The two files are built once on the driver and reach every executor through Spark's file server.
+The two files are built once on the driver and written to the shared folder, from which Spark hands
+them to every executor, also to those that join later.
 """
 
 from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import put
+
 #: (verdict, host, path) of the contract.
 RULES = (
     ("allow", "com", "/"),
@@ -60,8 +62,8 @@ class Digests:
         self.keys, self.starts, self.verdicts, self.strings, self.lengths = keys, starts, verdicts, strings, lengths
 
     @staticmethod
-    def write(rules, folder: str) -> list[str]:
-        """Files of the rules; of rules alike, the first holds."""
+    def build(rules) -> dict[str, bytes]:
+        """The files keys and strings; of rules alike, the first holds."""
         known: dict[str, str] = {}
         for verdict, host, path in rules:
             known.setdefault(host.translate(_LOWER) + "\0" + path, verdict)
@@ -72,12 +74,7 @@ class Digests:
         table["key"] = [r[0] for r in rows]
         table["start"] = np.cumsum([0, *(len(r[1]) for r in rows)])[:-1] if rows else []
         table["block"] = [r[2] == "block" for r in rows]
-        names = []
-        for name, data in (("keys", table.tobytes()), ("strings", b"".join(r[1] for r in rows))):
-            names.append(os.path.join(folder, f"url-{name}-{uuid.uuid4().hex}"))
-            with open(names[-1], "wb") as f:
-                f.write(data)
-        return names
+        return {"keys": table.tobytes(), "strings": b"".join(r[1] for r in rows)}
 
     @classmethod
     def open(cls, keys: str, strings: str, lengths) -> Digests:
@@ -127,11 +124,10 @@ def filter_urls(pages: DataFrame, rules=RULES, key: str = "page_id", url: str =
     spark = pages.sparkSession
     rules = [(v, h, p) for v, h, p in rules]
     lengths = sorted({len(p) for _, _, p in rules})
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="tidemark-url-"))
-    files = Digests.write(rules, folder)
-    for f in files:
-        spark.sparkContext.addFile(f)
-    names = [os.path.basename(f) for f in files]
+    names = []
+    for name, data in Digests.build(rules).items():
+        names.append(f"url-{name}-{uuid.uuid4().hex}")
+        spark.sparkContext.addFile(put(spark, names[-1], data))
     kind = dict(pages.dtypes)[key]
 
     def run(batches):
