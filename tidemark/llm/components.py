@@ -2,10 +2,46 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tasks_for
+
+
+class Groups:
+    """Union-find."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """Links that connect the same nodes, each to the smallest of those that one batch connects: stars, and fewer of them."""
+
+    def run(batches):
+        for b in batches:
+            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
+            nodes = sorted(set(a) | set(c))
+            at = {n: i for i, n in enumerate(nodes)}
+            groups = Groups(len(nodes))
+            for x, y in zip(a, c):
+                groups.join(at[x], at[y])
+            found = [(nodes[groups.find(i)], n) for i, n in enumerate(nodes)]
+            found = [(x, y) for x, y in found if x != y]
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,13 +50,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the smallest label around it, then its label's label, so the rounds grow
     with the logarithm of a component's diameter. Rounds are saved; minima combine before shuffles.
     """
-    both = save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "links")
-    labels = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    stars = save(_forests(links.select("a", "b").filter("a != b")), "stars")
+    tasks = tasks_for(stars.count())
+    both = save(stars.union(stars.select("b", "a")).distinct().coalesce(tasks), "links")
+    labels = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").coalesce(tasks), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").coalesce(tasks).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near.withColumnRenamed("a", "node").coalesce(tasks), "node").coalesce(tasks).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        nxt = save(lower.join(up, "label", "left").select("node", "old", F.coalesce("up", "label").alias("label")), "labels")
+        nxt = save(lower.join(up, "label", "left").coalesce(tasks).select("node", "old", F.least(F.coalesce("up", "label"), "label").alias("label")), "labels")
         labels = nxt.select("node", "label")
         if nxt.filter("old != label").isEmpty():
             return labels

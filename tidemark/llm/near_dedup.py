@@ -4,8 +4,10 @@
 2. Trees: at a node, each class follows the minwise values at BRANCHES coordinates that the node
    picks, so two classes of similarity s share each branch with probability s. Nodes of at most LEAF
    classes are compared exhaustively by their signatures; larger ones branch again, TREES times
-   independently. A node that is still large at DEPTH holds classes much alike: there each class is
-   compared with the node's leaders, loosely enough that by the triangle inequality no pair is lost.
+   independently. In a large node each class is first compared with a few leaders, and one that is
+   nearly a leader's copy goes no further; a node that is still large at DEPTH is settled by leaders
+   alone. What is linked to a leader is loose enough that by the triangle inequality no pair is lost:
+   a partner of a class within a distance d of its leader is within d + 0.25 of that leader.
 3. What the leaves link loosely (estimated similarity of a half and more) falls into clusters; in a
    cluster the full sets are compared, skipping pairs that are already connected, so that a group of
    thousands of copies costs one comparison each. Clusters over BLOCK are compared in blocks.
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, save, word_hashes
-from .components import components
+from .common import chunks, mix, save, tasks_for, word_hashes
+from .components import Groups, components
 from .exact_dedup import known_filter, suspects
 
 WORDS = 5
@@ -33,7 +35,11 @@ LEAF = 200
 BLOCK = 1000
 COORDS = 64
 #: Of 64 equal signature bytes: 3.46 is a deviation at the threshold, 48 its mean.
-LOOSE, LEADER, LOOSEST = 32, 32, 8
+LOOSE = 32
+#: Followers of a leader, and links to it: distances of 1/8 and 3/8; at the last level 1/2 and 3/4.
+NEAR, LAST = (56, 27), (32, 8)
+#: Leaders of a node above the last level.
+LEADERS = 64
 SALTS = 64
 
 _rng = np.random.default_rng(6)
@@ -144,8 +150,9 @@ def _alike(sig: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def leaf_links(cids: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
-    """A star for each group that signatures join loosely."""
-    m = _bytes(sigs)
+    """A star for each group that signatures join loosely, around its smallest."""
+    order = np.argsort(cids)
+    cids, m = [cids[i] for i in order], _bytes([sigs[i] for i in order])
     left = np.ones(len(cids), bool)
     out = []
     for i in range(len(cids)):
@@ -167,100 +174,96 @@ def leaf_links(cids: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
 def _walk(rows: DataFrame, last: bool) -> DataFrame:
     """Rows sorted by node: links of small nodes as (a, b), and rows of large nodes with their signature.
 
-    Memory is bounded by LEAF rows, or by the leaders of a node at the last level.
+    Memory is bounded by LEAF rows and the leaders. A row is linked to one leader of each group that
+    it touches, groups so joined are one from then on: no more links than rows and leaders.
     """
+    follow, touch = LAST if last else NEAR
 
     def run(batches):
         links, more = [], []
         node, cids, sigs, large = None, [], [], False
-        leaders: list[tuple[int, bytes]] = []
-        matrix = None
+        leaders, groups, matrix = [], None, None
 
         def out():
             a = pa.array([x[0] for x in links] + [None] * len(more), pa.int64())
             b = pa.array([x[1] for x in links] + [None] * len(more), pa.int64())
-            cols = [pa.array([None] * len(links) + [x[i] for x in more], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            cols = [pa.array([None] * len(links) + [x[i] for x in more], k) for i, k in enumerate((pa.int64(), pa.int64()))]
             links.clear()
             more.clear()
-            return pa.RecordBatch.from_arrays([a, b, *cols], ["a", "b", "node", "cid", "sig"])
+            return pa.RecordBatch.from_arrays([a, b, *cols], ["a", "b", "node", "cid"])
 
         def end():
             if not large and len(set(cids)) > 1:
                 links.extend(leaf_links(cids, sigs))
 
-        def lead(cid, sig):
+        def lead(n, cid, sig):
             nonlocal matrix
             own = np.frombuffer(sig, np.uint8)
-            if matrix is not None:
-                same = _alike(own, matrix)
-                links.extend((leaders[i][0], cid) for i in np.flatnonzero(same >= LOOSEST) if leaders[i][0] != cid)
-                if same.max() >= LEADER:
-                    return
-            leaders.append((cid, sig))
-            matrix = own[None] if matrix is None else np.concatenate([matrix, own[None]])
+            same = _alike(own, matrix[: len(leaders)])
+            touched = {}
+            for i in np.flatnonzero(same >= touch).tolist():
+                touched.setdefault(groups.find(i), i)
+            first = None
+            for i in touched.values():
+                links.append((leaders[i], cid))
+                first = i if first is None else first
+                groups.join(first, i)
+            if len(same) and same.max() >= follow:
+                return
+            if last or len(leaders) < LEADERS:
+                if len(leaders) == len(matrix):
+                    matrix = np.concatenate([matrix, np.empty_like(matrix)])
+                matrix[len(leaders)] = own
+                leaders.append(cid)
+                groups.up.append(len(groups.up))
+                if first is not None:
+                    groups.join(first, len(leaders) - 1)
+            if not last:
+                more.append((n, cid))
 
         for b in batches:
             for n, cid, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if n != node:
                     end()
-                    node, cids, sigs, large, leaders, matrix = n, [], [], False, [], None
+                    node, cids, sigs, large = n, [], [], False
                 if large:
-                    if last:
-                        lead(cid, sig)
-                    else:
-                        more.append((n, cid, sig))
+                    lead(n, cid, sig)
                 else:
                     cids.append(cid)
                     sigs.append(sig)
                     if len(cids) > LEAF:
-                        large = True
+                        large, leaders, groups, matrix = True, [], Groups(0), np.empty((64, len(sig)), np.uint8)
                         for c, s in zip(cids, sigs):
-                            lead(c, s) if last else more.append((n, c, s))
+                            lead(n, c, s)
                         cids, sigs = [], []
             if len(links) + len(more) > 2000:
                 yield out()
         end()
         yield out()
 
-    return rows.mapInArrow(run, "a long, b long, node long, cid long, sig binary")
+    return rows.mapInArrow(run, "a long, b long, node long, cid long")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """Loose links (a, b) between classes (cid, sig)."""
-    links, rows = None, classes
+def candidate_links(classes: DataFrame, count: int) -> DataFrame:
+    """Loose links (a, b) between count classes (cid, sig)."""
+    links, rows, count = None, classes, count * TREES
     for level in range(1, DEPTH + 1):
         children = _branch(rows, level == 1)
         last = level == DEPTH
-        walked = save(_walk(children.repartition("node").sortWithinPartitions("node"), last), f"tree-{level}")
+        walked = save(_walk(children.repartition("node").coalesce(tasks_for(count * BRANCHES)).sortWithinPartitions("node"), last), f"tree-{level}")
         found = walked.filter("a is not null").select("a", "b")
         links = found if links is None else links.union(found)
         large = walked.filter("cid is not null").select("node", "cid")
-        if last or large.isEmpty():
+        count = 0 if last else large.count()
+        if not count:
             break
-        rows = large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
+        rows = large.join(classes.select("cid", "sig"), "cid").coalesce(tasks_for(count)).select("node", "cid", "sig")
     return links
 
 
 # Confirmation on full sets.
 
 
-class Groups:
-    """Union-find."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
@@ -287,7 +290,7 @@ def confirm(cids: list[int], comps: list[int], sigs: list[bytes], sets: list[byt
     return out
 
 
-def _confirmed(rows: DataFrame) -> DataFrame:
+def _confirmed(rows: DataFrame, tasks: int) -> DataFrame:
     """Links (a, b) within groups; rows: group, part, cid, comp, sig, set."""
 
     def run(batches):
@@ -309,16 +312,15 @@ def _confirmed(rows: DataFrame) -> DataFrame:
                 held.append((cid, comp, sig, own))
         yield links()
 
-    ready = rows.select("group", "part", "cid", "comp", "sig", "set").repartition("group", "part").sortWithinPartitions("group", "part")
+    ready = rows.select("group", "part", "cid", "comp", "sig", "set").repartition("group", "part").coalesce(tasks).sortWithinPartitions("group", "part")
     return ready.mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """cid, cluster, sig (a byte a value) and set of the wanted classes (th, cls, cid, cluster)."""
-    count = wanted.count()
+def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, key: str, text: str) -> DataFrame:
+    """cid, cluster, sig (a byte a value) and set of count wanted classes (th, cls, cid, cluster)."""
     found = known_filter(wanted, "th", count, "wanted-filter")
     maybe = suspects(_texts(docs, key, text).select("th", "text"), "th", found, "hit").filter("hit").select("th", "text")
-    ready = maybe.join(wanted, "th").select("cls", "cid", "cluster", "text")
+    ready = maybe.join(wanted, "th").coalesce(tasks_for(count, 2_000)).select("cls", "cid", "cluster", "text")
 
     def run(batches):
         import xxhash
@@ -337,17 +339,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
     return ready.mapInArrow(run, "cid long, cluster long, sig binary, set binary")
 
 
-def exact_links(sets: DataFrame) -> DataFrame:
+def exact_links(sets: DataFrame, count: int) -> DataFrame:
     """Confirmed links that connect what is linked in each cluster.
 
     Clusters over BLOCK: links within blocks first; then the first members of each block's largest
     part among themselves; then whatever is still apart from the cluster's largest part against
     every block, in portions of at most about BLOCK.
     """
-    sized = save(sets.withColumn("size", F.count("*").over(Window.partitionBy("cluster"))), "sets")
+    tasks = tasks_for(count, 2_000)
+    sized = save(sets.withColumn("size", F.count("*").over(Window.partitionBy("cluster"))).coalesce(tasks), "sets")
     blocks = F.ceil(F.col("size") / BLOCK)
     small = sized.withColumn("group", F.col("cluster")).withColumn("part", F.pmod(F.xxhash64("cid"), blocks)).withColumn("comp", F.col("cid"))
-    links = save(_confirmed(small), "links-within")
+    links = save(_confirmed(small, tasks), "links-within")
     large = small.filter(F.col("size") > BLOCK)
     if large.isEmpty():
         return links
@@ -359,7 +362,7 @@ def exact_links(sets: DataFrame) -> DataFrame:
     now = joined(links)
     heads = now.groupBy("group", "part", "comp").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).groupBy("group", "part").agg(F.max_by("cid", F.struct("n", -F.col("cid"))).alias("cid"))
     heads = now.join(heads.select("cid"), "cid", "left_semi").withColumn("part", F.lit(0).cast("long"))
-    links = links.union(save(_confirmed(heads), "links-heads"))
+    links = links.union(save(_confirmed(heads, tasks), "links-heads"))
     now = save(joined(links), "joined")
     main = now.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     now = now.join(F.broadcast(main) if main.count() < 100_000 else main, "group").withColumn("portions", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
@@ -368,7 +371,7 @@ def exact_links(sets: DataFrame) -> DataFrame:
     every = now.withColumn("portion", F.explode(F.expr("sequence(0, portions - 1)"))).withColumn("part", F.expr("part * 1000000 + portion"))
     again = apart.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("part", F.expr("cast(block as long) * 1000000 + portion"))
     keep = ["group", "part", "cid", "comp", "sig", "set"]
-    return links.union(_confirmed(every.select(*keep).union(again.select(*keep))))
+    return links.union(_confirmed(every.select(*keep).union(again.select(*keep)), tasks))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,18 +386,21 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = save(
         rows.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("cid"), F.first("sig").alias("sig"), F.first("th").alias("th"), F.min("key").alias("low")), "classes"
     )
-    clusters = save(components(candidate_links(classes.select("cid", "sig"))), "clusters")
-    wanted = save(classes.join(clusters.select(F.col("node").alias("cid"), F.col("label").alias("cluster")), "cid").select("th", "cls", "cid", "cluster"), "wanted")
-    labels = components(exact_links(_full_sets(docs, wanted, key, text)))
-    of_class = classes.select("cls", "cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    lowest = of_class.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_class = of_class.join(lowest, "label").select("cls", "component_id")
+    count = classes.count()
+    clusters = components(candidate_links(classes.select("cid", "sig"), count))
+    wanted = save(classes.join(clusters.select(F.col("node").alias("cid"), F.col("label").alias("cluster")), "cid").select("th", "cls", "cid", "cluster").coalesce(tasks_for(count)), "wanted")
+    some = wanted.count()
+    labels = components(exact_links(_full_sets(docs, wanted, some, key, text), some))
+    # Only classes that are linked need to look for their component's smallest key.
+    labelled = save(classes.select("cls", "cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").coalesce(tasks_for(count)), "labelled")
+    lowest = labelled.filter("label is not null").groupBy("label").agg(F.min("low").alias("component_id")).coalesce(tasks_for(some))
+    of_class = labelled.join(lowest, "label", "left").coalesce(tasks_for(count)).select("cls", F.coalesce("component_id", "low").alias("component_id"))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
     salted = rows.select("row", F.col("key").alias(key), "th", F.col("n").alias("n_shingles"), "cls", salt.alias("salt"))
     parts = salted.filter("cls is not null").select("cls", "salt").distinct().join(of_class, "cls")
-    some = salted.filter("cls is not null").join(parts, ["cls", "salt"]).drop("cls", "salt")
+    full = salted.filter("cls is not null").join(parts, ["cls", "salt"]).drop("cls", "salt")
     none = salted.filter("cls is null").drop("cls", "salt").withColumn("component_id", F.col(key))
-    return some.unionByName(none)
+    return full.unionByName(none)
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
