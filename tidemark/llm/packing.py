@@ -36,7 +36,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _fast_merges(path: str):
-    """The file's merges for tiktoken, which encodes a single piece several times faster.
+    """The file's merges for tiktoken, which encodes a single piece several times faster than tokenizers does.
 
     Ids of this kind of vocabulary are in the order of its merges, those of a byte that ends a word
     before all others, so ids are ranks. The end of a word is written as byte 255, which no UTF-8 has.
