@@ -121,7 +121,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for i, base in enumerate((_PRIME, pow(_PRIME, -1, 2**64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -148,7 +148,14 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
-def chunks(texts: list[str | None], most: int = 1 << 20):
+def slices(batches, rows: int = 500):
+    """The batches in parts of so many rows, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def chunks(texts: list[str | None], most: int = 1 << 18):
     """(first, last) ranges of the texts, each of about most characters; a longer text is alone."""
     first, size = 0, 0
     for i, t in enumerate(texts):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, save, tasks_for, word_hashes
+from .common import chunks, mix, save, slices, tasks_for, word_hashes
 from .components import Groups, components
 from .exact_dedup import known_filter, suspects
 
@@ -83,7 +83,7 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(3).to_pylist()
             for first, last in chunks(texts):
                 sets = shingles(texts[first:last])
@@ -304,7 +304,7 @@ def _confirmed(rows: DataFrame, tasks: int) -> DataFrame:
             found = confirm(*map(list, cols)) if len(seen) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for b in batches:
+        for b in slices(batches):
             for *g, cid, comp, sig, own in zip(*(c.to_pylist() for c in b.columns)):
                 if g != group:
                     yield links()
@@ -325,7 +325,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, key: str, text: s
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(3).to_pylist()
             cls = b.column(0).to_pylist()
             for first, last in chunks(texts):

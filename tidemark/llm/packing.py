@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .sharding import global_offsets
 
 LENGTH = 4096
 END_ID = 2
-#: Entries of a worker's cache of words; when full it starts anew.
-CACHE = 400_000
+#: Entries of a worker's cache of words; when full, and after each task, it starts anew.
+CACHE = 200_000
 
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +92,9 @@ class WordEncoder:
             for w, e in zip(some, self._t.encode_batch_fast(some, add_special_tokens=False)):
                 cache[w] = array("I", e.ids).tobytes()
 
+    def forget(self) -> None:
+        self._words = {}
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [_SPLIT.findall(t or "") for t in texts]
@@ -118,11 +122,10 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
     def run(batches):
         enc = encoder(path)
-        for b in batches:
-            texts = b.column(1)
-            for at in range(0, b.num_rows, 200):  # bounds what is in memory at once
-                ids = [x + end for x in enc.ids(texts.slice(at, 200).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 200), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["key", "n", "ids"])
+        for b in slices(batches, 200):  # bounds what is in memory at once
+            ids = [x + end for x in enc.ids(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["key", "n", "ids"])
+        enc.forget()  # workers outlive tasks
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n long, ids binary")
 

@@ -187,6 +187,7 @@ def count(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: s
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
                 n = 7 if edits else 4
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out[:n], kinds))], ["key", *_NAMES[:n]])
+        by.known = {}  # workers outlive tasks
 
     schema = f"key {kind}, n_chars long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>" + ", edited_chars long, edited_tokens long, encoded_chars long" * bool(edits)
     return docs.select(*cols).mapInArrow(run, schema).withColumnRenamed("key", key)
