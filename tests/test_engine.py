@@ -128,6 +128,17 @@ def test_decisions_as_one_by_one(spark, seed):
     assert got == fold(rows, known={"h3"}, stored=[s[:3] for s in stored])
 
 
+def test_decisions_on_a_hash_with_many_copies(spark):
+    """One title turns away 30 copies of h1 and so leaves h1 free for the last row; then random rows with hot hashes."""
+    rows = [(0, "a", "some title", 0, "h0"), *((i, "a", "some title", DAY, "h1") for i in range(1, 31)), (31, "a", "some title", 9 * DAY, "h1")]
+    rng = random.Random(9)
+    rows += [(100 + i, f"i{rng.randrange(2)}", rng.choice(["", "key one", "key two"]), rng.randrange(30) * DAY, f"g{rng.randrange(6)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "pos long, institution string, title_key string, published_at long, canonical_hash string")
+    none = spark.createDataFrame([], "institution string, title_key string, published_at long, canonical_hash string, item_id long")
+    got = {r.pos: r.decision for r in dedupe.decide(df, none, spark.createDataFrame([], model.PRUNED_URLS)).collect()}
+    assert got[31] == "inserted" and got == fold(rows)
+
+
 def test_numbers_have_no_gaps(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     got = rations.numbered(rows, 10, "k").collect()

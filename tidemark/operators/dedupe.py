@@ -46,61 +46,75 @@ def not_near_stored(rows: DataFrame, items: DataFrame, window_ms: int = WINDOW_M
     return rows.alias("r").join(i, close, "left_anti")
 
 
-def greedy(rows: DataFrame, pos: str = "pos", window_ms: int = WINDOW_MS) -> DataFrame:
+def greedy(rows: DataFrame, pos: str = "pos", window_ms: int = WINDOW_MS, free: str | None = None) -> DataFrame:
     """rows with kept: false where an earlier kept row of the same institution and key is within the window.
 
     A fold in the order of pos, so a rejected row doesn't extend the window. Each partition is sorted by
     group and folded as it streams by: what is held is one group's kept dates, which lie more than the
     window apart, however many rows a group has. An empty key never matches.
+
+    free names a column that is true, or null where it is open whether the row takes part; kept is then
+    null where it hangs on that. Spans of open rows that meet are held as one.
     """
     kinds = dict(rows.dtypes)
     cols = rows.columns
-    slim = rows.filter("title_key != ''").select("institution", "title_key", F.col("published_at").alias("at"), F.col(pos).alias("pos"))
+    sure = F.col(free).isNotNull() if free else F.lit(True)
+    slim = rows.filter("title_key != ''").select("institution", "title_key", F.col("published_at").alias("at"), F.col(pos).alias("pos"), sure.alias("sure"))
 
     def fold(batches):
-        group, dates = None, []
+        group, dates, starts, ends = None, [], [], []
         for b in batches:
             kept = []
-            for inst, key, at in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for inst, key, at, sure in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4))):
                 if (inst, key) != group:
-                    group, dates = (inst, key), []
+                    group, dates, starts, ends = (inst, key), [], [], []
                 i = bisect.bisect_left(dates, at)
-                near = i < len(dates) and dates[i] - at <= window_ms or i and at - dates[i - 1] <= window_ms
-                kept.append(not near)
-                if not near:
+                if i < len(dates) and dates[i] - at <= window_ms or i and at - dates[i - 1] <= window_ms:
+                    kept.append(False)
+                    continue
+                k = bisect.bisect_left(ends, at)
+                if sure and not (k < len(ends) and starts[k] <= at):
+                    kept.append(True)
                     dates.insert(i, at)
+                    continue
+                kept.append(None)
+                low, high = at - window_ms, at + window_ms
+                j, k = bisect.bisect_left(ends, low), bisect.bisect_right(starts, high)
+                low, high = min([low, *starts[j:k]]), max([high, *ends[j:k]])
+                starts[j:k], ends[j:k] = [low], [high]
             yield pa.RecordBatch.from_arrays([b.column(3), pa.array(kept, pa.bool_())], ["pos", "kept"])
 
     ready = slim.repartition("institution", "title_key").sortWithinPartitions("institution", "title_key", "pos")
-    kept = ready.mapInArrow(fold, f"pos {kinds[pos]}, kept boolean").withColumnRenamed("pos", "__pos")
+    kept = ready.mapInArrow(fold, f"pos {kinds[pos]}, kept boolean").withColumn("__met", F.lit(True)).withColumnRenamed("pos", "__pos")
     joined = rows.join(kept, F.col(pos) == F.col("__pos"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in cols], F.coalesce("kept", F.lit(True)).alias("kept"))
+    alone = F.col(free) if free else F.lit(True)
+    return joined.select(*[F.col(f"`{c}`") for c in cols], F.when(F.col("__met"), F.col("kept")).otherwise(alone).alias("kept"))
 
 
-def decide(rows: DataFrame, items: DataFrame, pruned: DataFrame, pos: str = "pos", window_ms: int = WINDOW_MS, most_rounds: int = 20) -> DataFrame:
+def decide(rows: DataFrame, items: DataFrame, pruned: DataFrame, pos: str = "pos", window_ms: int = WINDOW_MS) -> DataFrame:
     """rows with decision: inserted, duplicate_url or duplicate_title, as if stored one by one in the order of pos.
 
-    Hashes and titles interact: a row turned away for its title leaves its hash free. So the two
-    passes are repeated with what the title pass turned away until that settles, which takes one round
-    unless a hash recurs under different titles.
+    Hashes and titles interact: a row turned away for its title leaves its hash free. So rows are in,
+    out or open, and the two passes are repeated until none is open. A round decides every row that
+    hangs on decided rows only, so the copies of a hash or a title are decided together; the rounds are
+    as many as hashes and titles alternate in the longest chain of rows that hang on each other.
     """
     known = known_hashes(items, pruned).withColumn("__known", F.lit(True))
     base = rows.join(known, "canonical_hash", "left").withColumn("__known", F.coalesce("__known", F.lit(False)))
     stored = title_matches(rows, items, window_ms).select(F.col(pos)).distinct().withColumn("__near", F.lit(True))
-    base = base.join(stored, pos, "left").withColumn("__near", F.coalesce("__near", F.lit(False))).withColumn("__turned", F.col("__near") & ~F.col("__known"))
+    base = base.join(stored, pos, "left").withColumn("__near", F.coalesce("__near", F.lit(False)))
+    base = base.withColumn("__in", F.when(F.col("__known") | F.col("__near"), F.lit(False)))
     ahead = Window.partitionBy("canonical_hash").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.max(F.coalesce("__in", F.lit(False))).over(ahead), F.lit(False))
     while True:
-        base = base.withColumn("__url", F.col("__known") | F.coalesce(F.max(~F.col("__known") & ~F.col("__turned")).over(ahead), F.lit(False)))
-        folded = greedy(base.filter("not __url and not __near").select("institution", "title_key", "published_at", pos), pos, window_ms)
-        turned = folded.filter("not kept").select(pos).withColumn("__lost", F.lit(True))
-        nxt = base.join(turned, pos, "left").withColumn("__new", (F.col("__near") & ~F.col("__url")) | F.coalesce("__lost", F.lit(False))).drop("__lost")
-        nxt = settled(nxt)
-        most_rounds -= 1
-        done = nxt.filter("__new != __turned").isEmpty()
-        base = nxt.withColumn("__turned", F.col("__new")).drop("__new")
-        if done or not most_rounds:
+        waits = F.coalesce(F.max(F.col("__in").isNull()).over(ahead), F.lit(False))
+        base = settled(base.withColumns({"__url": F.col("__known") | taken, "__free": F.when(~waits, F.lit(True))}))
+        if base.filter("__in is null").isEmpty():
             break
-    decision = F.when(F.col("__url"), "duplicate_url").when(F.col("__turned"), "duplicate_title").otherwise("inserted")
+        able = base.filter("not __url and coalesce(__in, true)").select("institution", "title_key", "published_at", pos, "__free")
+        folded = greedy(able, pos, window_ms, "__free").select(pos, "kept", F.lit(True).alias("__able"))
+        base = base.join(folded, pos, "left").withColumn("__in", F.when(F.col("__able"), F.col("kept")).otherwise(F.lit(False))).drop("kept", "__able", "__url", "__free")
+    decision = F.when(F.col("__url"), "duplicate_url").when(~F.col("__in"), "duplicate_title").otherwise("inserted")
     return base.withColumn("decision", decision).select(*rows.columns, "decision")
 
 
