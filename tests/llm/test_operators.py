@@ -372,6 +372,31 @@ def test_fingerprints_align(spark):
     assert all(got[k].n_matches == 0 for k in range(1, 50))
 
 
+def test_alignment_misses_no_pair_within_the_bound(spark):
+    """Bits flipped evenly over prints of several lengths, cut and shifted, and a held tone, against all offsets tried one by one."""
+    rng = np.random.default_rng(5)
+    prints = {0: rng.integers(0, 1 << 32, 54), 50: rng.integers(0, 1 << 32, 20), 100: np.full(40, 12345)}
+    for k in range(1, 31):
+        q = prints[(0, 50, 100)[k % 3]]
+        cut = rng.integers(0, 4)
+        flips = (rng.random((len(q) - cut, 32)) < (0.05, 0.1, 0.13)[k % 7 % 3]) @ (1 << np.arange(32))
+        prints[k] = np.concatenate([rng.integers(0, 1 << 32, rng.integers(0, 3)), q[cut:] ^ flips])
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in prints.items()], "vec_id long, prints array<long>")
+    got = {r.vec_id: r for r in audio.align(df, "vec_id").collect()}
+    for k, p in prints.items():
+        want = {}
+        for q in (0, 50, 100):
+            for offset in range(-len(p), len(prints[q])) if q != k else ():
+                x, y = prints[q][max(offset, 0) :], p[max(-offset, 0) :]
+                n = min(len(x), len(y))
+                error = np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n) if n >= audio.LEAST_OVERLAP else 1
+                if error <= audio.MOST_ERRORS:
+                    want[q] = min(want.get(q, (1,)), (error, q, offset, n))
+        assert got[k].n_matches == len(want)
+        assert (got[k].bit_error, got[k].query_id, got[k].offset, got[k].overlap) == min(want.values(), default=(None,) * 4)
+    assert sum(r.n_matches > 0 for r in got.values()) >= 25
+
+
 def test_fingerprint_of_noisy_and_shifted_sound():
     rng = np.random.default_rng(4)
     pcm = audio.tune(rng.normal(0, 0.13, 64))

@@ -2,15 +2,16 @@
 
 Sound is cut into frames, each frame's spectrum folded into twelve pitch classes and smoothed over
 time. On the integral image of frames by classes, 16 rectangle filters each give two bits: a packed
-32-bit number for each position. Recordings are aligned by offset: positions with equal keys vote for
-a difference of positions, and the bits that differ at the best ones decide.
+32-bit number for each position. Recordings are aligned by offset: the bits that differ at each
+difference of positions decide. They are counted for blocks of recordings at once, as products of
+matrices of +1 and -1, so no pair within the bound is missed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
@@ -19,14 +20,12 @@ RATE = 8000
 FRAME, HOP = 2048, 512
 #: Width in frames of the widest filter; a recording of fewer frames has no fingerprint.
 WIDTH = 8
-#: Positions that agree in one offset before bits are compared.
-LEAST_VOTES = 2
 #: Share of differing bits up to which two recordings are taken for the same.
 MOST_ERRORS = 0.15
 #: Positions that must overlap.
 LEAST_OVERLAP = 16
-#: A key is so many of the highest bits of a number.
-KEY_BITS = 32
+#: Recordings and positions of a block at most; a recording of more positions is a block of its own.
+BLOCK, BLOCK_SPOTS = 512, 1 << 15
 _LEVELS = np.array([-0.12, 0.0, 0.12])
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -128,31 +127,90 @@ def tunes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(run, f"key {kind}, prints array<long>").withColumnRenamed("key", key)
 
 
+def _signs(sizes: np.ndarray, words: bytes) -> np.ndarray:
+    """A row per recording: +1 or -1 for each bit of its prints, 0 behind its end."""
+    held = np.arange(sizes.max()) < sizes[:, None]
+    grid = np.zeros(held.shape, np.uint32)
+    grid[held] = np.frombuffer(words, np.uint32)
+    bits = np.unpackbits(grid.view(np.uint8), axis=1).astype(np.float32)
+    return (2 * bits - 1) * np.repeat(held, 32, axis=1)
+
+
+def _met(q_sizes: np.ndarray, q_signs: np.ndarray, sizes: np.ndarray, signs: np.ndarray):
+    """(row of q, row, bit_error, offset, overlap) of every offset at which two recordings align, as arrays."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    n_q, n = q_signs.shape[1] // 32, signs.shape[1] // 32
+    for offset in range(LEAST_OVERLAP - n, n_q - LEAST_OVERLAP + 1):
+        a, b = max(offset, 0), max(-offset, 0)
+        lap = min(n_q - a, n - b)
+        same = q_signs[:, 32 * a : 32 * (a + lap)] @ signs[:, 32 * b : 32 * (b + lap)].T
+        overlap = np.minimum((q_sizes - a)[:, None], sizes - b)
+        i, j = np.nonzero((same >= (1 - 2 * MOST_ERRORS) * 32 * overlap - 1) & (overlap >= LEAST_OVERLAP))
+        overlap = overlap[i, j].astype(np.int64)
+        error = (32 * overlap - same[i, j].astype(np.int64)) // 2 / (32 * overlap)
+        good = error <= MOST_ERRORS
+        found.append((i[good], j[good], error[good], np.full(good.sum(), offset), overlap[good]))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _blocks(classes: DataFrame, kind: str) -> DataFrame:
+    """Rows of up to BLOCK classes: ids, sizes and the prints one after another."""
+
+    def run(batches):
+        for b in batches:
+            prints = b.column(1)
+            sizes = prints.value_lengths().to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            at = 0
+            while at < b.num_rows:
+                end = min(at + BLOCK, max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK_SPOTS, "right")) - 1))
+                words = prints.slice(at, end - at).flatten().to_numpy(zero_copy_only=False).astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).slice(at, end - at).to_pylist()], pa.list_(b.column(0).type)), pa.array([sizes[at:end].tolist()], pa.list_(pa.int32())), pa.array([words], pa.binary())], ["ids", "sizes", "words"])
+                at = end
+
+    return classes.select("id", "prints").mapInArrow(run, f"ids array<{kind}>, sizes array<int>, words binary")
+
+
 def align(prints: DataFrame, key: str, every: int = 50) -> DataFrame:
     """One row per recording: key, class_id, n_prints, n_matches, query_id, offset, overlap, bit_error.
 
-    Queries are the recordings whose key is divisible by every, against all. Recordings with equal
-    prints are one class, named by its smallest key; a class is a query if any of its keys is.
+    Queries are the recordings whose key is divisible by every, against all, at all offsets. Recordings
+    with equal prints are one class, named by its smallest key; a class is a query if any of its keys is.
     n_matches counts the query classes, its own apart, that align; query_id is the one with the least
-    bit_error, then the smallest, and null without any; offset is its position less this one's.
-    Recordings without prints match nothing. An empty table gives an empty one.
+    bit_error, then the smallest, and null without any; offset is its position less this one's, the
+    smallest of those with that bit_error. Recordings without prints match nothing. An empty table gives
+    an empty one.
+
+    Every class meets every query: a block of classes and one of queries are one row, and what is left
+    of it is a row for each class that met any. The work grows with classes times queries.
     """
+    kind = dict(prints.dtypes)[key]
     rows = save(prints.select(F.col(key).alias("key"), "prints", F.sha2(F.array_join("prints", ","), 256).alias("sha")), "prints")
     heard = rows.filter(F.size("prints") > 0)
     classes = save(heard.groupBy("sha").agg(F.min("key").alias("id"), F.first("prints").alias("prints"), F.max(F.coalesce(F.col("key") % every == 0, F.lit(False))).alias("asks")), "classes")
-    spots = classes.select("id", "asks", F.posexplode("prints").alias("at", "print")).withColumn("k", F.shiftright("print", 32 - KEY_BITS)).select("id", "asks", "at", "k")
-    # Runs of one key in a recording vote once, so that a held note can't outvote a melody.
-    before = F.lag("k").over(Window.partitionBy("id").orderBy("at"))
-    spots = spots.withColumn("old", before).filter("old is null or old != k").drop("old")
-    asked = spots.filter("asks").select(F.col("id").alias("q"), F.col("at").alias("qat"), "k")
-    votes = asked.join(spots.drop("asks"), "k").filter("q != id").groupBy("q", "id", (F.col("qat") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.filter(F.col("votes") >= LEAST_VOTES).groupBy("q", "id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
-    both = best.join(classes.select(F.col("id").alias("q"), F.col("prints").alias("qp")), "q").join(classes.select("id", "prints"), "id")
-    lap = both.withColumn("a", F.greatest("offset", F.lit(0))).withColumn("b", F.greatest(-F.col("offset"), F.lit(0)))
-    lap = lap.withColumn("overlap", F.least(F.size("qp") - F.col("a"), F.size("prints") - F.col("b"))).filter(F.col("overlap") >= LEAST_OVERLAP)
-    bits = F.expr("aggregate(zip_with(slice(qp, a + 1, overlap), slice(prints, b + 1, overlap), (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    good = lap.withColumn("bit_error", bits / (F.col("overlap") * 32)).filter(F.col("bit_error") <= MOST_ERRORS)
-    top = good.groupBy("id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", "q", "offset", "overlap")).alias("best"))
+    able = classes.filter(F.size("prints") >= LEAST_OVERLAP)
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = save(_blocks(able, kind).repartition(parts), "blocks")
+    asked = save(_blocks(able.filter("asks"), kind), "asked").select(F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("words").alias("q_words"))
+
+    def meet(batches):
+        for b in batches:
+            for x in range(b.num_rows):
+                ids, sizes, words, q_ids, q_sizes, q_words = (b.column(c)[x].as_py() for c in range(6))
+                sizes, q_sizes = np.array(sizes), np.array(q_sizes)
+                i, j, error, offset, overlap = _met(q_sizes, _signs(q_sizes, q_words), sizes, _signs(sizes, words))
+                best = {}
+                for i, j, *rest in zip(i.tolist(), j.tolist(), error.tolist(), offset.tolist(), overlap.tolist()):
+                    if q_ids[i] != ids[j]:
+                        mine = best.setdefault(j, {})
+                        mine[i] = min(mine.get(i, rest), rest)
+                out = [(ids[j], len(m), *min((e, q_ids[i], o, n) for i, (e, o, n) in m.items())) for j, m in best.items()]
+                id_type = b.column(0).type.value_type
+                types = [id_type, pa.int64(), pa.float64(), id_type, pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["id", "met", "bit_error", "q", "offset", "overlap"])
+
+    good = blocks.select("ids", "sizes", "words").crossJoin(asked).mapInArrow(meet, f"id {kind}, met long, bit_error double, q {kind}, offset int, overlap int")
+    top = good.groupBy("id").agg(F.sum("met").alias("n_matches"), F.min(F.struct("bit_error", "q", "offset", "overlap")).alias("best"))
     named = classes.select("sha", "id").join(top, "id", "left")
     salt = F.pmod(F.xxhash64("key"), F.lit(64))
     own = rows.withColumn("salt", salt)
