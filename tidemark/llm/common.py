@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import tempfile
 import uuid
+from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +19,13 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: Bytes of an Arrow batch of rows with texts: bounds what the JVM and a worker hold of them at once.
+BATCH = 4 << 20
+
+#: Scratch tables by who made them; tables and files that stay till the end.
+_scratch: dict[str | None, list[tuple[SparkSession, str]]] = defaultdict(list)
 _tables: list[tuple[SparkSession, str]] = []
+_owner: contextvars.ContextVar[str | None] = contextvars.ContextVar("owner", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +33,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset on a single machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH bytes, if they are larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, in batches of at most BATCH bytes."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+@contextmanager
+def owned(owner: str):
+    """Scratch tables saved inside belong to the owner: release(owner) removes them and no others."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and returns the table as read back.
 
-    An executor lost later costs nothing that was saved. The table lives until release() or the
-    end of the program.
+    An executor lost later costs nothing that was saved. The table lives until its owner's release()
+    or the end of the program.
     """
-    return written(df, label, _scratch)
+    return written(df, label, _scratch[_owner.get()])
 
 
 def written(df: DataFrame, label: str, kept: list | None = None) -> DataFrame:
@@ -63,9 +98,12 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
-def release(kept: list | None = None) -> None:
-    """Removes all scratch tables. Only for when nothing that reads them is still to run."""
-    kept = _scratch if kept is None else kept
+def release(owner: str | None = None) -> None:
+    """Removes the owner's scratch tables. Only for when nothing that reads them is still to run."""
+    _remove(_scratch.pop(owner, []))
+
+
+def _remove(kept: list) -> None:
     while kept:
         spark, path = kept.pop()
         try:
@@ -76,8 +114,11 @@ def release(kept: list | None = None) -> None:
             return
 
 
-atexit.register(release, _tables)
-atexit.register(release)
+@atexit.register
+def _remove_all() -> None:
+    for owner in list(_scratch):
+        release(owner)
+    _remove(_tables)
 
 
 def tasks_for(rows: int, each: int = 25_000) -> int:
@@ -93,8 +134,8 @@ def bucket_of(key: str, modulus: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def text_or_empty(col: str):
-    return F.coalesce(F.col(col), F.lit(""))
+def text_or_empty(col):
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
 # Vectorised hashing of words, on the UTF-8 bytes of many texts at once.
@@ -105,8 +146,8 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -129,30 +170,76 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def string_array(texts) -> pa.Array:
+    """Texts as an Arrow array of strings without nulls; null counts as empty."""
+    out = texts if isinstance(texts, pa.Array) else pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+    return pc.fill_null(out, b"" if pa.types.is_binary(out.type) else "") if out.null_count else out
+
+
+def spans(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes, one text after another; where words begin and end there; and each text's first word.
+
+    The last array has one entry more than there are texts. No text becomes a Python object.
+    """
+    texts = string_array(texts)
+    if not len(texts):
+        return np.zeros(0, np.uint8), *(np.zeros(n, np.int64) for n in (0, 0, 1))
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    word = np.zeros(len(data) + 2, bool)  # with a border on either side
+    np.logical_not(_IS_SPACE[data], out=word[1:-1])
+    begins, ends = word[1:] & ~word[:-1], word[:-1] & ~word[1:]  # at each border between bytes
+    both = word[:-1] & word[1:]
+    cut = at[1:-1][both[at[1:-1]]]  # texts that meet without white space
+    begins[cut] = ends[cut] = True
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends)
+    return data, starts, stops, np.searchsorted(starts, at)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = True, window: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of the words at the spans, with fold of A-Z as a-z; memory is bounded by the window and the longest word."""
+    table = _FOLDED if fold else _BYTE
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        base = starts[first]
+        last = max(first + 1, int(np.searchsorted(stops, base + window, "right")))
+        part = data[base : stops[last - 1]]
+        up, down = _powers_to(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(table[part] * up[: len(part)], out=total[1:])
+        a, b = starts[first:last] - base, stops[first:last] - base
+        out[first:last] = mix((total[b] - total[a]) * down[a])
+        first = last
+    return out
+
+
+def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, A-Z lower-cased, in order; and where each text's begin.
 
     The second array has one entry more than there are texts. Null has no words.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
-    space = _IS_SPACE[joined]
-    change = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, stops = change[0::2], change[1::2]
-    up, down = _powers_to(len(joined) + 1)
-    total = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[joined]] * up[: len(joined)], out=total[1:])
-    h = mix((total[stops] - total[starts]) * down[starts])
-    at = np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
-    return h, at
-
-
-def slices(batches, rows: int = 500):
-    """The batches in parts of so many rows, so that few texts are Python objects at once."""
+    data, starts, stops, at = spans(texts)
+    return span_hashes(data, starts, stops), at
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in the order of their first places, and which of them each value is."""
+    coded = pa.array(h).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def slices(batches, col: int, most: int = 1 << 20, rows: int = 4096):
+    """The batches in parts of about most bytes in a column of strings, or of so many rows; a longer text is alone."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        texts = b.column(col)
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if b.num_rows else ()
+        at = 0
+        while at < b.num_rows:
+            end = min(b.num_rows, at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def chunks(texts: list[str | None], most: int = 1 << 18):

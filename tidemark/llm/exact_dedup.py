@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, save, text_or_empty
 
-#: The second filter is broadcast while it has at most so many words (of about 40 bytes each);
-#: beyond, it is joined by shuffling the narrow digests (never the texts).
+#: Words (64 slots, about 40 bytes) that a filter may have when it is broadcast. A larger one is folded to
+#: so many, word i onto word i modulo their number: it then lets more rows through that aren't repeated,
+#: and rows that it clears still don't shuffle. 1.5 million words tell about 20 million hashes apart.
 BROADCAST_WORDS = 1_500_000
 #: Rows of a group that one salt takes, about; more salts for larger inputs.
 SALTS = 64
@@ -38,34 +39,32 @@ def _bit(slot: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
 
 
-def repeat_filter(hashes: DataFrame, h: str, rows: int, label: str = "repeat-filter") -> tuple[DataFrame, int, bool]:
-    """The second filter as rows (word, bits), its number of words, and whether it may be broadcast."""
+def repeat_filter(hashes: DataFrame, h: str, rows: int, label: str = "repeat-filter") -> tuple[DataFrame, int, int]:
+    """The second filter as rows (word, bits); the first one's number of words, and the second's."""
     words = max(1, rows // 4)  # 16 bits a row
     slots = hashes.select(F.explode(F.array(*_slots(F.col(h), words))).alias("slot"))
     return _packed(slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1"), words, label)
 
 
-def known_filter(hashes: DataFrame, h: str, rows: int, label: str) -> tuple[DataFrame, int, bool]:
+def known_filter(hashes: DataFrame, h: str, rows: int, label: str) -> tuple[DataFrame, int, int]:
     """A plain Bloom filter of the hashes, in the same form."""
     words = max(1, rows // 4)
     return _packed(hashes.select(F.explode(F.array(*_slots(F.col(h), words))).alias("slot")), words, label)
 
 
-def _packed(slots: DataFrame, words: int, label: str) -> tuple[DataFrame, int, bool]:
-    packed = slots.groupBy(F.expr("slot div 64").alias("word")).agg(
-        F.bit_or(_bit(F.col("slot"))).alias("bits")
-    )
-    packed = save(packed, label)
-    return packed, words, packed.count() <= BROADCAST_WORDS
+def _packed(slots: DataFrame, words: int, label: str) -> tuple[DataFrame, int, int]:
+    fold = min(words, BROADCAST_WORDS)
+    packed = slots.groupBy(F.expr(f"(slot div 64) % {fold}").alias("word")).agg(F.bit_or(_bit(F.col("slot"))).alias("bits"))
+    return save(packed, label), words, fold
 
 
-def suspects(df: DataFrame, h: str, found: tuple[DataFrame, int, bool], flag: str) -> DataFrame:
-    """df with a boolean column: whether the filter has both of the row's slots."""
-    packed, words, small = found
+def suspects(df: DataFrame, h: str, found: tuple[DataFrame, int, int], flag: str) -> DataFrame:
+    """df with a boolean column: whether the filter has both of the row's slots. df doesn't shuffle: the filter has BROADCAST_WORDS rows at most."""
+    packed, words, fold = found
     side = packed.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
     a, b = _slots(F.col(h), words)
-    keyed = df.withColumn("__word", F.expr(f"pmod({h}, {words}L)"))
-    joined = keyed.join(F.broadcast(side) if small else side, "__word", "left")
+    keyed = df.withColumn("__word", F.expr(f"pmod({h}, {words}L) % {fold}L"))
+    joined = keyed.join(F.broadcast(side), "__word", "left")
     mask = _bit(a).bitwiseOR(_bit(b))
     hit = F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False))
     return joined.withColumn(flag, hit).drop("__word", "__bits")
@@ -79,7 +78,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     of rows equal in that too, one. An empty table gives an empty one. Other columns don't matter.
     """
     digests = save(
-        docs.select(F.col(key).alias("key"), F.length(text_or_empty(text)).alias("size"), normalised(text).alias("t")).select(
+        docs.select(F.col(f"`{key}`").alias("key"), F.length(text_or_empty(f"`{text}`")).alias("size"), normalised(f"`{text}`").alias("t")).select(
             F.monotonically_increasing_id().alias("row"), "key", "size", F.unhex(F.sha2("t", 256)).alias("sha")
         ),
         "digests",
@@ -114,7 +113,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows that decide() keeps, with all columns of docs.
 
     Rows that the filter clears never shuffle; of the others, a task sends at most one of a group.
-    Rows equal in size and key may be told apart by any other column; one of them stays.
+    Rows equal in size and key may be told apart by any other column; one of them stays. Null texts
+    count as empty; an empty table gives an empty one; columns of any name but those that begin with
+    two underscores may ride along.
     """
     cols = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, save, slices, tasks_for, word_hashes
+from .common import in_arrow, mix, save, slices, tasks_for, text_or_empty, word_hashes
 from .components import Groups, components
 from .exact_dedup import known_filter, suspects
 
@@ -48,7 +48,7 @@ _B = _rng.integers(0, 2**63, COORDS, dtype=np.uint64)
 _W = _rng.integers(0, 2**63, 2 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def shingles(texts, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; fewer words are one shingle, none an empty set."""
     h, at = word_hashes(texts)
     n = max(0, len(h) - words + 1)
@@ -83,24 +83,27 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import xxhash
 
-        for b in slices(batches):
-            texts = b.column(3).to_pylist()
-            for first, last in chunks(texts):
-                sets = shingles(texts[first:last])
-                full = [i for i, s in enumerate(sets) if len(s)]
-                sig = [None] * len(sets)
-                if full:
-                    for i, s in zip(full, signatures([sets[i] for i in full])):
-                        sig[i] = s.astype("<u4").tobytes()
-                cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                own = b.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["row", "key", "th", "n", "cls", "sig"])
+        for b in slices(batches, 4, 1 << 18):
+            sets = shingles(b.column(4))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            sig = [None] * len(sets)
+            if full:
+                for i, s in zip(full, signatures([sets[i] for i in full])):
+                    sig[i] = s.astype("<u4").tobytes()
+            cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["row", "key", "th", "th2", "n", "cls", "sig"])
 
-    return _texts(docs, key, text).mapInArrow(run, f"row long, key {kind}, th long, n long, cls binary, sig binary")
+    return in_arrow(_texts(docs, key, text), run, f"row long, key {kind}, th long, th2 long, n long, cls binary, sig binary")
+
+
+def _hashes(key: str, text: str) -> list:
+    """Two independent hashes of key and text, 128 bits together."""
+    return [F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.xxhash64(F.lit("th2"), F.col(f"`{text}`"), F.col(f"`{key}`"))]
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
+    th, th2 = _hashes(key, text)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), th.alias("th"), th2.alias("th2"), text_or_empty(F.col(f"`{text}`").cast("string")).alias("text"))
 
 
 # Trees.
@@ -304,7 +307,7 @@ def _confirmed(rows: DataFrame, tasks: int) -> DataFrame:
             found = confirm(*map(list, cols)) if len(seen) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for b in slices(batches):
+        for b in slices(batches, 5):
             for *g, cid, comp, sig, own in zip(*(c.to_pylist() for c in b.columns)):
                 if g != group:
                     yield links()
@@ -317,26 +320,24 @@ def _confirmed(rows: DataFrame, tasks: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, key: str, text: str) -> DataFrame:
-    """cid, cluster, sig (a byte a value) and set of count wanted classes (th, cls, cid, cluster)."""
+    """cid, cluster, size, sig (a byte a value) and set of count wanted classes (th, cls, cid, cluster, size)."""
     found = known_filter(wanted, "th", count, "wanted-filter")
     maybe = suspects(_texts(docs, key, text).select("th", "text"), "th", found, "hit").filter("hit").select("th", "text")
-    ready = maybe.join(wanted, "th").coalesce(tasks_for(count, 2_000)).select("cls", "cid", "cluster", "text")
+    ready = maybe.join(wanted, "th").coalesce(tasks_for(count, 2_000)).select("cls", "cid", "cluster", "size", "text")
 
     def run(batches):
         import xxhash
 
-        for b in slices(batches):
-            texts = b.column(3).to_pylist()
+        for b in slices(batches, 4, 1 << 18):
             cls = b.column(0).to_pylist()
-            for first, last in chunks(texts):
-                sets = shingles(texts[first:last])
-                ok = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == cls[first + i]]
-                if ok:
-                    sig = signatures([sets[i] for i in ok]).astype("<u4").view(np.uint8)[:, ::4]
-                    at = pa.array([first + i for i in ok])
-                    yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["cid", "cluster", "sig", "set"])
+            sets = shingles(b.column(4))
+            ok = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == cls[i]]
+            if ok:
+                sig = signatures([sets[i] for i in ok]).astype("<u4").view(np.uint8)[:, ::4]
+                own = b.take(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([*own.columns[1:4], pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["cid", "cluster", "size", "sig", "set"])
 
-    return ready.mapInArrow(run, "cid long, cluster long, sig binary, set binary")
+    return in_arrow(ready, run, "cid long, cluster long, size long, sig binary, set binary")
 
 
 def exact_links(sets: DataFrame, count: int) -> DataFrame:
@@ -347,7 +348,7 @@ def exact_links(sets: DataFrame, count: int) -> DataFrame:
     every block, in portions of at most about BLOCK.
     """
     tasks = tasks_for(count, 2_000)
-    sized = save(sets.withColumn("size", F.count("*").over(Window.partitionBy("cluster"))).coalesce(tasks), "sets")
+    sized = save(sets, "sets")
     blocks = F.ceil(F.col("size") / BLOCK)
     small = sized.withColumn("group", F.col("cluster")).withColumn("part", F.pmod(F.xxhash64("cid"), blocks)).withColumn("comp", F.col("cid"))
     links = save(_confirmed(small, tasks), "links-within")
@@ -375,7 +376,7 @@ def exact_links(sets: DataFrame, count: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: row, key, th (hash of key and text), n_shingles, component_id.
+    """One row per row of docs: row, key, th and th2 (hashes of key and text), n_shingles, component_id.
 
     Null and empty texts, and texts of white space, have no shingles and stay alone, each with its own
     key as component; a null key stays null where it is alone and else yields to its component's
@@ -390,13 +391,16 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     clusters = components(candidate_links(classes.select("cid", "sig"), count))
     wanted = save(classes.join(clusters.select(F.col("node").alias("cid"), F.col("label").alias("cluster")), "cid").select("th", "cls", "cid", "cluster").coalesce(tasks_for(count)), "wanted")
     some = wanted.count()
+    # How large a cluster is, is told before full sets are made; few are over BLOCK, the others count as 1.
+    sizes = wanted.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    wanted = wanted.join(sizes, "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
     labels = components(exact_links(_full_sets(docs, wanted, some, key, text), some))
     # Only classes that are linked need to look for their component's smallest key.
     labelled = save(classes.select("cls", "cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").coalesce(tasks_for(count)), "labelled")
     lowest = labelled.filter("label is not null").groupBy("label").agg(F.min("low").alias("component_id")).coalesce(tasks_for(some))
     of_class = labelled.join(lowest, "label", "left").coalesce(tasks_for(count)).select("cls", F.coalesce("component_id", "low").alias("component_id"))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-    salted = rows.select("row", F.col("key").alias(key), "th", F.col("n").alias("n_shingles"), "cls", salt.alias("salt"))
+    salted = rows.select("row", F.col("key").alias(key), "th", "th2", F.col("n").alias("n_shingles"), "cls", salt.alias("salt"))
     parts = salted.filter("cls is not null").select("cls", "salt").distinct().join(of_class, "cls")
     full = salted.filter("cls is not null").join(parts, ["cls", "salt"]).drop("cls", "salt")
     none = salted.filter("cls is null").drop("cls", "salt").withColumn("component_id", F.col(key))
@@ -410,18 +414,29 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' rows without those whose key isn't their component's smallest, with all columns."""
-    lost = save(near_dedup_losers(near_components(docs, key, text), key), "lost")
-    found = known_filter(lost, "th", lost.count(), "lost-filter")
-    keyed = docs.withColumn("__th", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    marked = suspects(keyed, "__th", found, "__hit")
-    clear = marked.filter("not __hit")
-    rest = marked.filter("__hit").join(lost.select(F.col("th").alias("__th")).distinct(), "__th", "left_anti")
-    return clear.select(*docs.columns).unionByName(rest.select(*docs.columns))
-
-
-def near_dedup_losers(found: DataFrame, key: str) -> DataFrame:
-    """th of the rows that go. Of rows that share the smallest key, the one with the least hash stays."""
-    by = found.filter(F.col(key).eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min("th").alias("best"))
-    joined = found.filter("n_shingles > 0 and component_id is not null").join(by, "component_id", "left")
-    return joined.filter(~F.col(key).eqNullSafe(F.col("component_id")) | (F.col("th") != F.col("best"))).select("th")
+    """Of each component one row of docs: that with the smallest key, with all columns.
+
+    Rows without shingles are no component and all stay, as near_components() says; of rows alike in
+    key and text one stays, of rows that share the smallest key the one whose text has the least hash.
+    A row goes by 128 bits of its key and text. An empty table gives an empty one; columns of any name,
+    but for those that begin with two underscores, may ride along.
+    """
+    marks = save(near_dedup_marks(near_components(docs, key, text), key), "marks")
+    found = known_filter(marks, "th", marks.count(), "marks-filter")
+    th, th2 = _hashes(key, text)
+    cols = [f"`{c}`" for c in docs.columns]
+    marked = suspects(docs.withColumn("__th", th).withColumn("__th2", th2), "__th", found, "__hit")
+    rest = marked.filter("__hit").join(marks.select(F.col("th").alias("__th"), F.col("th2").alias("__th2"), F.col("goes").alias("__goes")), ["__th", "__th2"], "left")
+    rest = rest.filter("not coalesce(__goes, false)")
+    again = rest.filter("__goes is not null").groupBy("__th", "__th2").agg(F.first(F.struct(*cols)).alias("__row")).select("__row.*")
+    return marked.filter("not __hit").select(*cols).unionByName(rest.filter("__goes is null").select(*cols)).unionByName(again)
+
+
+def near_dedup_marks(found: DataFrame, key: str) -> DataFrame:
+    """th, th2 and goes: true for rows that go, false for those that are repeated and of which one stays."""
+    sets = found.filter("n_shingles > 0").groupBy(key, "component_id", "th", "th2").agg(F.count("*").alias("n"))
+    first = F.col(key).eqNullSafe(F.col("component_id"))
+    best = sets.filter(first & F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(F.struct("th", "th2")).alias("best"))
+    stays = first & (F.col("best").isNull() | (F.struct("th", "th2") == F.col("best")))
+    marked = sets.join(best, "component_id", "left").withColumn("goes", ~stays & F.col("component_id").isNotNull())
+    return marked.filter("goes or n > 1").select("th", "th2", "goes")
