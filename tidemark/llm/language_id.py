@@ -11,6 +11,7 @@ that uses them most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, save
+from .common import chunks, in_arrow, mix, save, slices, small_batches
 
 ORDERS = (2, 3, 4)
 #: Slots that an n-gram has.
@@ -26,8 +27,12 @@ K = 3
 SHARE = 0.5
 #: The classifier is fitted on a sample of about so many labelled documents of each language, drawn by a hash.
 SAMPLE_DOCS = 5_000
-#: n-grams seen less often in the sample don't enter a filter.
-LEAST_COUNT = 4
+#: n-grams seen less often in a language's sample don't enter its filter; fewer suffice where the sample has
+#: less than so many documents, as many as its share of them.
+LEAST_COUNT, LEAST_DOCS = 4, 80
+#: Languages that a model learns: those with the most labelled documents, ties by name. More are most
+#: likely no languages but a column of dirt; documents in them go to the learned ones.
+MOST_LANGS = 1024
 UNKNOWN = "und"
 #: Documents with a lower score don't resemble any learned language.
 LEAST_SCORE = 0.25
@@ -42,11 +47,8 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def ngrams(texts: list[str]):
-    """For each order: hashes of the n-grams, and where each text's begin (one entry more than texts).
-
-    Letters are lower-cased, runs of anything else are one space, also at both ends.
-    """
+def _codes(texts: list[str]) -> np.ndarray:
+    """The texts' letters, lower-cased; runs of anything else are one space, also at both ends; 0 between texts and at both ends."""
     low = [t.lower() for t in texts]
     raw = "\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass")
     code = np.frombuffer(raw, "<u4").copy()
@@ -58,16 +60,28 @@ def ngrams(texts: list[str]):
     code[marks] = 0
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
-    code = code[keep].astype(np.uint64)
-    text = np.cumsum(code == 0) - 1
-    for n in ORDERS:
-        size = max(0, len(code) - n + 1)
-        ok = (text[:size] == text[n - 1 : n - 1 + size]) & (code[:size] != 0)
-        h = np.full(size, n, np.uint64)
-        for j in range(n):
-            h += code[j : j + size] * _STEPS[j]
-        h = mix(h[ok])
-        yield h, np.searchsorted(text[:size][ok], np.arange(len(texts) + 1))
+    return code[keep]
+
+
+def ngrams(texts: list[str], window: int = 1 << 18):
+    """For each order and window of characters: hashes of the n-grams that begin there, and where each text's begin.
+
+    The second has one entry more than there are texts. Windows bound memory; an n-gram that runs over a
+    window's end belongs to it, so a very long text has the n-grams that it has as a whole.
+    """
+    code = _codes(texts)
+    begins = np.flatnonzero(code == 0)
+    for low in range(0, len(code), window):
+        part = code[low : low + window + max(ORDERS) - 1].astype(np.uint64)
+        for n in ORDERS:
+            size = max(0, min(window, len(part) - n + 1))
+            ok = part[:size] != 0
+            h = np.full(size, n, np.uint64)
+            for j in range(n):
+                ok &= part[j : j + size] != 0
+                h += part[j : j + size] * _STEPS[j]
+            places = np.flatnonzero(ok)
+            yield mix(h[places]), np.searchsorted(places, begins - low)
 
 
 @dataclass
@@ -97,47 +111,39 @@ class Model:
         return total, np.maximum(0, hits - total[:, None] * self.false) / (1 - self.false)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text. A very long text is counted in pieces, and decided whole."""
+        """Language and score of each text: the language with the largest share of hits against its usual one; the score ends at 1."""
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return langs, scores
         for a, b in chunks(texts):
-            pieces = [((t or "")[i : i + _PIECE], j) for j, t in enumerate(texts[a:b]) for i in range(0, max(1, len(t or "")), _PIECE)]
-            total, hits = np.zeros(b - a), np.zeros((b - a, len(self.langs)))
-            for p in ([pieces] if len(pieces) == b - a else ([x] for x in pieces)):
-                n, found = self.counts([x for x, _ in p])
-                np.add.at(total, [j for _, j in p], n)
-                np.add.at(hits, [j for _, j in p], found)
-            share = np.minimum(1, hits / np.maximum(total, 1)[:, None] / self.usual)
+            total, hits = self.counts([t or "" for t in texts[a:b]])
+            share = hits / np.maximum(total, 1)[:, None] / self.usual
             best = share.argmax(1)
             for j in np.flatnonzero(total > 0):
                 if any(map(str.isalpha, texts[a + j] or "")):
-                    langs[a + j], scores[a + j] = self.langs[best[j]], share[j, best[j]]
+                    langs[a + j], scores[a + j] = self.langs[best[j]], min(1.0, share[j, best[j]])
         return langs, scores
 
 
-_PIECE = 1 << 20
-
-
 def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     g = mix(h + _STEPS[0])
     return [(x >> np.uint64(64 - bits)).astype(np.int64) for x in (h, g, mix(g ^ _STEPS[1]))[:K]]
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from rows with text and lang; without any, the model knows no language."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    """Learns from rows with text and lang, of at most MOST_LANGS languages; without any, the model knows no language."""
+    known = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], 1, [], np.zeros(0), np.zeros(0))
     part = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 30))
     limit = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, sample_docs / sizes[name]) * (1 << 30)))])
-    sample = known.filter(part < limit[F.col("lang")])
+    sample = known.filter(part < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0.0)))
     code = {name: i for i, name in enumerate(langs)}
 
     def grams(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             texts, names = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in sorted(set(names)):
                 own = [t for t, x in zip(texts, names) if x == name]
@@ -147,10 +153,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), code[name], np.int32)), pa.array(u.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = save(
-        sample.select("text", "lang").mapInArrow(grams, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"
+        in_arrow(sample.select("text", "lang"), grams, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.filter(F.col("n") >= min(LEAST_COUNT, 1 + min(sizes.values()) // 20)).join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("rate"))
+    docs_of = [min(sizes[name], sample_docs) for name in langs]
+    least = F.element_at(F.array(*[F.lit(max(1, min(LEAST_COUNT, LEAST_COUNT * n // LEAST_DOCS))) for n in docs_of]), F.col("lang") + 1)
+    rate = counts.filter(F.col("n") >= least).join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("rate"))
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
     chosen = rate.join(top, "gram").filter(F.col("rate") >= F.col("top") * SHARE).select("lang", "gram", "rate")
     got = chosen.toArrow()  # bounded by the sample
@@ -175,26 +183,35 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, rate: np.ndarray
     return Model(langs, bits, tables, fill**K, usual)
 
 
+def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with __lang and __score. Only the text goes to Python, and only the verdict comes back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang string, score double")
+    def verdict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        for a in parts:
+            langs, scores = [], []
+            for b in slices([pa.RecordBatch.from_arrays([a], ["t"])], 0):
+                found = m.predict(b.column(0).to_pylist())
+                langs += found[0]
+                scores.append(found[1])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang", "score"])
+
+    small_batches(docs.sparkSession)
+    found = docs.withColumn("__found", verdict(F.col(f"`{text}`").cast("string")))
+    return found.withColumns({"__lang": F.col("__found.lang"), "__score": F.col("__found.score")}).drop("__found")
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those in keep) with lang_pred and score.
+    """docs' columns (or those in keep) with lang_pred and score; lang_pred_found and score_found where docs has such columns.
 
     `und` with score 0 for null, for texts without a letter, and when no language was learned.
-    Every row is judged by itself, so repeated rows agree; an empty table gives an empty one.
+    Every row is judged by itself, so repeated rows agree; a very long text is judged whole; an empty
+    table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    cols = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
-    out = [*(f"c{i}" for i in range(len(keep))), "__lang", "__score"]
-
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                langs, scores = m.predict(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)], out)
-
-    kinds = dict(cols.dtypes)
-    schema = ", ".join([*(f"c{i} {kinds[f'c{i}']}" for i in range(len(keep))), "__lang string", "__score double"])
-    names = [*keep, *(c if c not in keep else f"{c}_found" for c in ("lang_pred", "score"))]
-    return cols.mapInArrow(run, schema).toDF(*names)
+    taken = set(keep)
+    names = [c if c not in taken else f"{c}_found" for c in ("lang_pred", "score")]
+    found = judged(docs.select(*{f"`{c}`": 0 for c in [*keep, text]}), model, text)
+    return found.select(*[F.col(f"`{c}`") for c in keep], F.col("__lang").alias(names[0]), F.col("__score").alias(names[1]))
