@@ -12,34 +12,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import in_arrow, save
 
 
-def running(df: DataFrame, size: str) -> DataFrame:
-    """df with part, and the sum of size and the number of rows before each row in its partition."""
-    schema = f"{df._jdf.schema().toDDL()}, __part int, __before long, __index long"
+RUNNING = "__part int, __before long, __index long"
 
-    def run(batches):
-        part, total, seen = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
-            n, sums = b.num_rows, pc.cumulative_sum(b.column(size))
-            if not n:
-                continue
-            before = pc.add(pc.subtract(sums, b.column(size)), total)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([part] * n, pa.int32()), before, pa.array(range(seen, seen + n), pa.int64())], [*b.schema.names, "__part", "__before", "__index"]
-            )
-            total, seen = total + sums[-1].as_py(), seen + n
 
-    return df.mapInArrow(run, schema)
+def running(batches, size: str):
+    """The batches of one partition with its number, and the sum of size and the number of rows before each row in it."""
+    part, total, seen = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        n, sums = b.num_rows, pc.cumulative_sum(b.column(size))
+        if not n:
+            continue
+        before = pc.add(pc.subtract(sums, b.column(size)), total)
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array([part] * n, pa.int32()), before, pa.array(range(seen, seen + n), pa.int64())], [*b.schema.names, "__part", "__before", "__index"]
+        )
+        total, seen = total + sums[-1].as_py(), seen + n
 
 
 def global_offsets(df: DataFrame, size: str, label: str) -> tuple[DataFrame, int, int]:
-    """df, saved, with the sum of size and the number of rows before each row in the whole table; and both totals.
+    """df (with running()'s columns), saved, with the sum of size and the number of rows before each row in the whole table; and both totals.
 
     The totals of partitions, one row for each task of the scan, are all that the driver sees.
     """
-    saved = save(running(df, size), label)
+    saved = save(df, label)
     parts = sorted(tuple(r) for r in saved.groupBy("__part").agg(F.sum(size), F.count("*")).collect())
     bases, bytes_, rows = [], 0, 0
     for part, b, n in parts:
@@ -61,9 +59,11 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     null key is kept. An empty table gives an empty one; with fewer rows than shards, some shards
     stay empty. A row of more bytes than a shard's target makes its shard that much larger.
     """
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    narrow = docs.select(F.col(key).alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("crc"))
-    placed, total, _ = global_offsets(narrow, "size", "shards")
+    kind = dict(docs.dtypes)[key]
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    narrow = docs.select(F.col(f"`{key}`").alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("crc"))
+    sums = in_arrow(narrow, lambda batches: running(batches, "size"), f"key {kind}, size long, crc long, {RUNNING}")
+    placed, total, _ = global_offsets(sums, "size", "shards")
     middle = F.col("__before") * 2 + F.col("size")
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(1, 2 * total))), F.lit(shards - 1)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("__index").alias("__first"))
