@@ -8,6 +8,10 @@ A text's likelihood comes from the scaled forward recursion, exactly.
 
 Counts of the HOT most frequent words are broadcast. Rarer words, whose number grows with the
 corpus, meet their counts in a shuffle.
+
+Sequences are trained on and scored whole: longest first, side by side, a step at a time. Of a long
+one only the states at the ends of blocks are kept on the way forward; on the way back each block is
+gone through again, so that memory is bounded by CELLS and nothing is cut.
 """
 
 from __future__ import annotations
@@ -17,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, save, word_hashes
+from .common import distinct, in_arrow, save, slices, text_or_empty, word_hashes
 
 STATES = 8
 HEAD, BUCKETS = 4096, 1024
 #: Words whose counts are broadcast, at most: 16 bytes each.
 HOT = 1_000_000
 PASSES = 3
-#: The passes start from a mixture fitted on about so many training documents.
+#: The passes start from a mixture fitted on so many training documents at most, those whose key and
+#: symbols have the least hashes; only their counts of symbols reach the driver.
 START_DOCS = 1500
-#: Padded cells of one batch of sequences; longer sequences are trained on in pieces of so many.
-CELLS = 200_000
+#: Sequences side by side, and cells (steps times sequences) whose states are held at once.
+WIDTH, CELLS = 512, 300_000
+#: Tokens that a task gathers before it sorts them by length.
+GATHER = 6_000_000
 ALPHA = 0.1
 #: Weight, in tokens, of the symbols' overall frequencies in each state.
 PRIOR = 20.0
@@ -36,11 +43,15 @@ END = np.uint64(0x5EED0E4D0FD0C5AA)
 SYMBOLS = HEAD + BUCKETS
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, each text followed by END; and where each begins."""
     h, at = word_hashes(texts)
-    out = np.insert(h, at[1:], END)
-    return out, at + np.arange(len(at))
+    at = at + np.arange(len(at))
+    out = np.full(at[-1], END, np.uint64)
+    word = np.ones(len(out), bool)
+    word[at[1:] - 1] = False
+    out[word] = h
+    return out, at
 
 
 # Counts.
@@ -48,13 +59,11 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for first, last in chunks(texts, 4 << 20):
-                u, n = np.unique(tokens(texts[first:last])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["word", "n"])
+        for b in slices(batches, 0, 4 << 20):
+            u, which = distinct(tokens(b.column(0))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(which, minlength=len(u)).astype(np.int64))], ["word", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word long, n long")
+    rows = in_arrow(docs.select(text_or_empty(F.col(f"`{text}`").cast("string")).alias("text")), run, "word long, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -103,10 +112,10 @@ class Vocabulary:
         }
 
 
-def encode(v: dict, texts: list[str | None]):
+def encode(v: dict, texts):
     """Per text: symbols, log10 sums of counts (head, other), of buckets, known tokens; and the rare words."""
     h, at = tokens(texts)
-    u, back = np.unique(h, return_inverse=True)
+    u, back = distinct(h)
     n = len(v["words"])
     i = np.minimum(np.searchsorted(v["words"], u), max(n - 1, 0))
     hit = v["words"][i] == u if n else np.zeros(len(u), bool)
@@ -118,8 +127,7 @@ def encode(v: dict, texts: list[str | None]):
         log[hit] = v["log"][i[hit]]
     in_bucket = symbol >= HEAD
     bucket = np.where(in_bucket, v["bucket"][np.maximum(symbol.astype(np.int64) - HEAD, 0)], 0.0)
-    per = np.stack([np.where(in_bucket, 0, log), np.where(in_bucket, log, 0), bucket, hit.astype(float)], 1)[back]
-    sums = np.add.reduceat(per, at[:-1], axis=0)
+    sums = [np.add.reduceat(x[back], at[:-1]) for x in (np.where(in_bucket, 0, log), np.where(in_bucket, log, 0), bucket, hit.astype(float))]
     rare = ~hit[back] if not v["all"] else np.zeros(len(h), bool)
     return symbol[back], at, sums, h, rare
 
@@ -129,90 +137,142 @@ def _encoded(docs: DataFrame, vocabulary, key: str, text: str, fold: str) -> Dat
 
     def run(batches):
         v = vocabulary.value
-        for b in batches:
-            texts = b.column(3).to_pylist()
-            for first, last in chunks(texts):
-                symbols, at, sums, h, rare = encode(v, texts[first:last])
-                seqs = [symbols[x:y].astype("<u2").tobytes() for x, y in zip(at[:-1], at[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[at].astype(np.int32)), pa.array(h[rare].view(np.int64)))
-                cols = [*b.slice(first, last - first).columns[:3], pa.array(np.diff(at)), pa.array(seqs, pa.binary()), *(pa.array(sums[:, j]) for j in range(4)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "key", "held_out", "n_tokens", "symbols", "head", "other", "bucket", "known", "rare"])
-
-    ready = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(fold).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return ready.mapInArrow(run, f"row long, key {kind}, held_out boolean, n_tokens long, symbols binary, head double, other double, bucket double, known double, rare array<long>")
+        for b in slices(batches, 3):
+            symbols, at, sums, h, rare = encode(v, b.column(3))
+            seqs = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(symbols.astype("<u2"))])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[at].astype(np.int32)), pa.array(h[rare].view(np.int64)))
+            cols = [*b.columns[:3], pa.array(np.diff(at)), seqs, *map(pa.array, sums), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "key", "held_out", "n_tokens", "symbols", "head", "other", "bucket", "known", "rare"])
+
+    ready = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(fold).alias("held_out"), text_or_empty(F.col(f"`{text}`").cast("string")).alias("text"))
+    return in_arrow(ready, run, f"row long, key {kind}, held_out boolean, n_tokens long, symbols binary, head double, other double, bucket double, known double, rare array<long>")
+
+
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    """The symbols of each row, as views."""
+    if not len(column):
+        return []
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
+    flat = np.frombuffer(column.buffers()[2] or b"", "<u2")
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _gathered(batches, col: int):
+    """Lists of batches that have about GATHER symbols together, with the symbols of their rows."""
+    held, seqs, size = [], [], 0
+    for b in batches:
+        own = _sequences(b.column(col))
+        held.append(b)
+        seqs += own
+        size += sum(map(len, own))
+        if size >= GATHER:
+            yield held, seqs
+            held, seqs, size = [], [], 0
+    if seqs:
+        yield held, seqs
 
 
 # The model.
 
 
 class Hmm:
+    """States are rows and sequences columns in all arrays, so that each step works on long rows."""
+
     def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
         """first: states; move: states x states; emit: symbols x states."""
         self.first, self.move, self.emit = first, move, emit
 
-    def batches(self, seqs: list[np.ndarray]):
-        """Indexes of sequences, longest first, in batches of at most CELLS cells."""
-        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-        at = 0
-        while at < len(order):
-            n = max(1, min(512, CELLS // len(seqs[order[at]])))
-            yield order[at : at + n]
-            at += n
-
     @staticmethod
-    def _grid(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols as time x sequence, and how many sequences are as long as each time."""
-        size = np.array([len(s) for s in seqs])
-        grid = np.zeros((size[0], len(seqs)), np.int64)
-        for j, s in enumerate(seqs):
-            grid[: len(s), j] = s
-        return grid, np.searchsorted(-size, -np.arange(size[0]), side="left")
+    def batches(seqs: list[np.ndarray]):
+        """(indices, symbols as time x sequence, how many sequences are as long as each time), longest first."""
+        order = np.argsort([-len(s) for s in seqs], kind="stable")
+        for at in range(0, len(order), WIDTH):
+            some = order[at : at + WIDTH]
+            size = np.array([len(seqs[i]) for i in some])
+            grid = np.zeros((len(some), size[0]), np.uint16)
+            for row, i in zip(grid, some):
+                row[: len(seqs[i])] = seqs[i]
+            yield some, np.ascontiguousarray(grid.T), np.searchsorted(-size, -np.arange(size[0]), side="left")
 
     def log_likelihood(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithms; needs a row of states a sequence, however long that is."""
+        """Natural logarithms; needs a column of states a sequence, however long that is."""
         out = np.zeros(len(seqs))
-        for batch in self.batches(seqs):
-            grid, active = self._grid([seqs[i] for i in batch])
-            alpha, total = None, np.zeros(len(batch))
-            for t, n in enumerate(active):
-                alpha = (self.first if alpha is None else alpha[:n] @ self.move) * self.emit[grid[t, :n]]
-                scale = alpha.sum(1)
-                alpha /= scale[:, None]
+        emit, move, first = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T), self.first[:, None]
+        for some, grid, active in self.batches(seqs):
+            alpha, total = None, np.zeros(len(some))
+            for t, n in enumerate(active.tolist()):
+                seen = emit.take(grid[t, :n], 1)
+                alpha = first * seen if alpha is None else move @ alpha[:, :n] * seen
+                scale = alpha.sum(0)
+                alpha /= scale
                 total[:n] += np.log(scale)
-            out[batch] = total
+            out[some] = total
         return out
 
     def expected(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of first states, moves and emissions, in one vector."""
-        k = len(self.first)
-        first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(self.emit), k))
-        seqs = [s[i : i + CELLS] for s in seqs for i in range(0, len(s), CELLS)]
-        for batch in self.batches(seqs):
-            grid, active = self._grid([seqs[i] for i in batch])
+        """Expected counts of first states, moves and emissions, in one vector. Single precision, sums in double."""
+        k, kinds = len(self.first), len(self.emit)
+        emit, move = np.ascontiguousarray(self.emit.T, np.float32), self.move.astype(np.float32)
+        turn, first = np.ascontiguousarray(move.T), self.first.astype(np.float32)[:, None]
+        firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, kinds))
+        for _, grid, active in self.batches(seqs):
             steps, width = grid.shape
-            seen = self.emit[grid]
-            alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
-            for t, n in enumerate(active):
-                a = (self.first if t == 0 else alpha[t - 1, :n] @ self.move) * seen[t, :n]
-                scale[t, :n] = a.sum(1)
-                alpha[t, :n] = a / scale[t, :n, None]
-            seen /= scale[:, :, None]
-            beta = np.ones((steps, width, k))
-            back = self.move.T.copy()
-            for t in range(steps - 2, -1, -1):
-                n = active[t + 1]
-                seen[t + 1, :n] *= beta[t + 1, :n]
-                beta[t, :n] = seen[t + 1, :n] @ back
-            real = np.arange(width)[None] < active[:, None]
-            gamma = alpha * beta
-            gamma *= (real / gamma.sum(2).clip(1e-300))[:, :, None]
-            first += gamma[0].sum(0)
-            later = real[1:].reshape(-1)
-            move += self.move * (alpha[:-1].reshape(-1, k)[later].T @ seen[1:].reshape(-1, k)[later])
-            flat = grid.reshape(-1)
-            for s in range(k):
-                emit[:, s] += np.bincount(flat, gamma[:, :, s].reshape(-1), len(emit))
-        return np.concatenate([first, move.reshape(-1), emit.reshape(-1)])
+            count = active.tolist()
+            size = max(1, min(steps, CELLS // width))
+            alpha, beta, seen = (np.zeros((size, k, width), np.float32) for _ in range(3))
+
+            def forward(begin, before):
+                """States of a block's steps, given those before it; seen becomes the symbols' share of each step."""
+                for i, t in enumerate(range(begin, min(begin + size, steps))):
+                    n = count[t]
+                    s, a = seen[i, :, :n], alpha[i, :, :n]
+                    np.take(emit, grid[t, :n], 1, out=s, mode="clip")
+                    if t:
+                        np.matmul(turn, before[:, :n], out=a)
+                        a *= s
+                    else:
+                        np.multiply(first, s, out=a)
+                    scale = a.sum(0)
+                    a /= scale
+                    s /= scale
+                    before = alpha[i]
+                return before
+
+            begins, borders, before = list(range(0, steps, size)), [None], None
+            for begin in begins:
+                before = forward(begin, before)
+                borders.append(before.copy() if begin != begins[-1] else None)
+            later = None  # beta before the block that was gone through last, already times what it saw
+            for b in reversed(range(len(begins))):
+                begin, end = begins[b], min(begins[b] + size, steps)
+                if b < len(begins) - 1:
+                    forward(begin, borders[b])
+                own = np.zeros((k, k))
+                for t in range(end - 1, begin - 1, -1):
+                    i, n = t - begin, count[t]
+                    m = count[t + 1] if t + 1 < steps else 0
+                    x = beta[i, :, :n]
+                    if m:
+                        np.matmul(move, later[:, :m], out=x[:, :m])
+                        own += alpha[i, :, :m] @ later[:, :m].T
+                    x[:, m:] = 1  # where a sequence ends
+                    later = seen[i, :, :n]
+                    later *= x
+                    x *= alpha[i, :, :n]  # the states' probabilities
+                if b:
+                    later = later.copy()  # the arrays serve the block before
+                moves += own
+                have = end - begin
+                for i in range(have):
+                    beta[i, :, count[begin + i] :] = 0
+                gamma = beta[:have]
+                gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-30)
+                if not b:
+                    firsts += gamma[0].sum(1)
+                flat = grid[begin:end].reshape(-1).astype(np.int64)
+                for s in range(k):
+                    emits[s] += np.bincount(flat, gamma[:, s].reshape(-1), kinds)
+        return np.concatenate([firsts, (self.move * moves).reshape(-1), emits.T.reshape(-1)])
 
     @classmethod
     def from_counts(cls, counts: np.ndarray, overall: np.ndarray) -> Hmm:
@@ -223,50 +283,62 @@ class Hmm:
         return cls((first + 0.1) / (first + 0.1).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def start(seqs: list[np.ndarray], overall: np.ndarray) -> Hmm:
-    """Sticky states whose symbols are those of a mixture, fitted to whole documents."""
-    k, rng = STATES, np.random.default_rng(7)
-    m = np.zeros((len(seqs), len(overall)), np.float32)
-    for i, s in enumerate(seqs):
-        m[i] = np.bincount(s, minlength=len(overall))
-    share = rng.dirichlet(np.full(k, 0.3), len(seqs)) if len(seqs) else np.zeros((0, k))
+def start(bags: np.ndarray, overall: np.ndarray) -> Hmm:
+    """Sticky states whose symbols are those of a mixture, fitted to whole documents' counts of symbols."""
+    k, rng, n = STATES, np.random.default_rng(7), len(bags)
+    share = rng.dirichlet(np.full(k, 0.3), n) if n else np.zeros((0, k))
     emit = None
     for _ in range(40):
-        emit = m.T @ share + 50 * overall[:, None]
+        emit = bags.T @ share + 50 * overall[:, None]
         emit /= emit.sum(0)
-        score = m @ np.log(emit) * 0.05 + np.log(share.mean(0) + 1e-9) if len(seqs) else share
-        share = np.exp(score - score.max(1, keepdims=True)) if len(seqs) else share
+        score = bags @ np.log(emit) * 0.05 + np.log(share.mean(0) + 1e-9) if n else share
+        share = np.exp(score - score.max(1, keepdims=True)) if n else share
         share /= share.sum(1, keepdims=True)
     move = np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1))
-    first = share.mean(0) + 0.01 if len(seqs) else np.ones(k)
+    first = share.mean(0) + 0.01 if n else np.ones(k)
     return Hmm(first / first.sum(), move, emit)
 
 
+def _bags(rows: DataFrame) -> np.ndarray:
+    """Counts of symbols of the START_DOCS distinct rows (key, symbols) with the least hashes, whatever the partitions."""
+    hashed = rows.select(F.xxhash64(F.col("key"), F.col("symbols")).alias("h"), "symbols")
+    cut = hashed.select("h").orderBy("h").limit(START_DOCS).agg(F.max("h")).first()[0]
+    if cut is None:
+        return np.zeros((0, SYMBOLS), np.float32)
+
+    def run(batches):
+        for b in batches:
+            for h, s in zip(b.column(0), _sequences(b.column(1))):
+                u, n = np.unique(s, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([h.as_py()]), pa.array([u.tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int64()))], ["h", "symbol", "n"])
+
+    some = in_arrow(hashed.filter(F.col("h") <= cut), run, "h long, symbol array<int>, n array<long>").dropDuplicates(["h"]).orderBy("h").collect()
+    out = np.zeros((len(some), SYMBOLS), np.float32)
+    for row, r in zip(out, some):
+        row[r["symbol"]] = r["n"]
+    return out
+
+
 def train(encoded: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Hmm:
     """Baum-Welch over all training rows of encoded."""
     sc = encoded.sparkSession.sparkContext
     overall = (vocabulary.mass + ALPHA) / (vocabulary.mass + ALPHA).sum()
-    rows = encoded.filter("not held_out").select("row", "symbols")
-    count = rows.count()
-    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < max(1, int(min(1.0, START_DOCS / max(1, count)) * (1 << 20)))).limit(2 * START_DOCS)
-    hmm = start([np.frombuffer(r[0], "<u2").astype(np.int64) for r in some.select("symbols").collect()], overall)
+    rows = encoded.filter("not held_out").select("key", "symbols")
+    hmm = start(_bags(rows), overall)
     for _ in range(passes):
         now = sc.broadcast(hmm)
 
         def run(batches, now=now):
             total = None
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in b.column(0).slice(at, 512).to_pylist()]
-                    if seqs:
-                        found = now.value.expected(seqs)
-                        total = found if total is None else total + found
+            for _, seqs in _gathered(batches, 0):
+                found = now.value.expected(seqs)
+                total = found if total is None else total + found
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
 
         # One vector of bounded length for each partition; they meet by position.
-        sums = rows.select("symbols").mapInArrow(run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        sums = in_arrow(rows.select("symbols"), run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(STATES + STATES**2 + SYMBOLS * STATES)
         counts[sums.column("i").to_numpy()] = sums.column("n").to_numpy()
         hmm = Hmm.from_counts(counts, overall)
@@ -278,8 +350,10 @@ def score(docs: DataFrame, fold: str, key: str = "doc_id", text: str = "text", p
 
     Null and empty texts, and those of white space, are their end alone. Repeated rows are counted
     and scored each. With no row to learn from, every word is unknown; an empty table gives an empty one.
+    A very long text is scored whole. docs' other columns, whatever their names, don't matter.
     """
     sc = docs.sparkSession.sparkContext
+    docs = docs.select(*{f"`{c}`": 0 for c in (key, text, fold)})
     counts = save(_counts(docs.filter(~F.col(fold)), text), "word-counts")
     v = Vocabulary(counts)
     encoded = save(_encoded(docs, sc.broadcast(v.plain()), key, text, fold), "symbols")
@@ -287,15 +361,14 @@ def score(docs: DataFrame, fold: str, key: str = "doc_id", text: str = "text", p
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in part.column(4).to_pylist()]
-                ll = shared.value.log_likelihood(seqs) / np.log(10)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *part.columns[5:], pa.array(ll)], ["row", "key", "held_out", "n_tokens", "head", "other", "bucket", "known", "ll"])
+        for held, seqs in _gathered(batches, 4):
+            ll, at = shared.value.log_likelihood(seqs) / np.log(10), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], *b.columns[5:], pa.array(ll[at : at + b.num_rows])], ["row", "key", "held_out", "n_tokens", "head", "other", "bucket", "known", "ll"])
+                at += b.num_rows
 
     cols = ["row", "key", "held_out", "n_tokens", "symbols", "head", "other", "bucket", "known"]
-    scored = encoded.select(*cols).mapInArrow(run, f"row long, key {kind}, held_out boolean, n_tokens long, head double, other double, bucket double, known double, ll double")
+    scored = in_arrow(encoded.select(*cols), run, f"row long, key {kind}, held_out boolean, n_tokens long, head double, other double, bucket double, known double, ll double")
     if v.rare is not None:
         words = encoded.select("row", F.explode("rare").alias("word"))
         met = words.join(v.rare, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("rare"), F.count("n").alias("rare_known"))
