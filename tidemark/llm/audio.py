@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import in_arrow, save
 
 RATE = 8000
 FRAME, HOP = 2048, 512
@@ -35,40 +36,44 @@ def _filters():
     return [(kind, low, high, wide) for wide, kinds in ((8, (0, 1)), (6, (2, 3)), (4, (0, 2)), (3, (1, 4))) for kind in kinds for low, high in ((0, 12), (3, 8))]
 
 
+_WINDOW = np.hanning(FRAME).astype(np.float32)
+_HZ = np.fft.rfftfreq(FRAME, 1 / RATE)
+_LOW, _HIGH = int(np.searchsorted(_HZ, 55)), int(np.searchsorted(_HZ, 2200, "right"))
+_FOLD = np.zeros((_HIGH - _LOW, 12), np.float32)
+_FOLD[np.arange(_HIGH - _LOW), np.round(12 * np.log2(_HZ[_LOW:_HIGH] / 440)).astype(int) % 12] = 1
+
+
 def _chroma(pcm: np.ndarray) -> np.ndarray:
-    n = (len(pcm) - FRAME) // HOP + 1
-    if n < 1:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(pcm, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    hz = np.fft.rfftfreq(FRAME, 1 / RATE)
-    used = (hz >= 55) & (hz <= 2200)
-    fold = np.zeros((len(hz), 12))
-    fold[np.flatnonzero(used), np.round(12 * np.log2(hz[used] / 440)).astype(int) % 12] = 1
-    image = power @ fold
-    smooth = np.apply_along_axis(lambda c: np.convolve(c, [0.25, 0.75, 1.0, 0.75, 0.25], "same"), 0, image)
-    return smooth / np.maximum(np.linalg.norm(smooth, axis=1, keepdims=True), 1e-9)
+    """Frames x pitch classes of one recording, in blocks of frames."""
+    n = max(0, (len(pcm) - FRAME) // HOP + 1)
+    frames = np.lib.stride_tricks.sliding_window_view(pcm, FRAME)[::HOP] if n else ()
+    image = np.zeros((n, 12))
+    for at in range(0, n, 1024):
+        wave = np.fft.rfft(frames[at : at + 1024] * _WINDOW, axis=1)[:, _LOW:_HIGH]
+        image[at : at + 1024] = (wave.real**2 + wave.imag**2) @ _FOLD
+    return image
 
 
-def fingerprint(pcm: np.ndarray | None) -> np.ndarray:
-    """Unsigned 32-bit numbers, one a position; none for null, silence-only or too short sound."""
-    if pcm is None or not len(pcm):
-        return np.zeros(0, np.uint32)
-    pcm = np.nan_to_num(np.asarray(pcm, np.float32), posinf=0, neginf=0)
-    if not np.any(pcm):
-        return np.zeros(0, np.uint32)
-    image = _chroma(pcm)
-    n = len(image) - WIDTH + 1
-    if n < 1:
-        return np.zeros(0, np.uint32)
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(0).cumsum(1)
-    at = np.arange(n)
+def _prints(images: np.ndarray) -> np.ndarray:
+    """Recordings x positions of packed numbers, of images (recordings x frames x classes) of one length.
+
+    Each step treats a recording by itself, so its prints don't depend on which others are beside it.
+    """
+    count, frames, _ = images.shape
+    n = frames - WIDTH + 1
+    if n < 1 or not count:
+        return np.zeros((count, 0), np.uint32)
+    around = np.zeros((count, frames + 4, 12))
+    around[:, 2:-2] = images
+    smooth = sum(w * around[:, i : i + frames] for i, w in enumerate((0.25, 0.75, 1.0, 0.75, 0.25)))
+    smooth /= np.maximum(np.sqrt((smooth**2).sum(2, keepdims=True)), 1e-9)
+    total = np.zeros((count, frames + 1, 13))
+    total[:, 1:, 1:] = smooth.cumsum(1).cumsum(2)
 
     def area(x0, x1, y0, y1):
-        return total[at + x1, y1] - total[at + x0, y1] - total[at + x1, y0] + total[at + x0, y0]
+        return total[:, x1 : x1 + n, y1] - total[:, x0 : x0 + n, y1] - total[:, x1 : x1 + n, y0] + total[:, x0 : x0 + n, y0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((count, n), np.uint32)
     for kind, y0, high, wide in _filters():
         y1 = min(12, y0 + high)
         ym, xm = (y0 + y1) // 2, wide // 2
@@ -84,47 +89,84 @@ def fingerprint(pcm: np.ndarray | None) -> np.ndarray:
             a = area(0, wide, y0 + third, y1 - third) * (y1 - y0) / (2 * max(1, y1 - y0 - 2 * third))
         else:
             a = area(wide // 3, wide - wide // 3, y0, y1) * wide / (2 * max(1, wide - 2 * (wide // 3)))
-        level = np.searchsorted(_LEVELS, np.log((a + 0.01) / np.maximum(whole - a + 0.01, 0.01)))
+        ratio = (a + 0.01) / np.maximum(whole - a + 0.01, 0.01)
+        level = sum((ratio > edge).astype(np.uint32) for edge in np.exp(_LEVELS))
         out = (out << np.uint32(2)) | _GRAY[level]
     return out
 
 
-def fingerprints(media: DataFrame, key: str, pcm: str) -> DataFrame:
-    """key and prints (array<long>, each of 32 bits) of every row; pcm: array of numbers at RATE a second."""
-    kind = dict(media.dtypes)[key]
+def _sound(pcm) -> np.ndarray:
+    """Samples in single precision, empty for null and for silence; what is no finite number is 0."""
+    if pcm is None or not len(pcm):
+        return np.zeros(0, np.float32)
+    pcm = np.nan_to_num(np.asarray(pcm, np.float32), posinf=0, neginf=0)
+    return pcm if np.any(pcm) else pcm[:0]
+
+
+def fingerprints_of(sounds: list[np.ndarray]) -> list[np.ndarray]:
+    """Unsigned 32-bit numbers, one a position, for each sound; recordings of one length go through the filters together."""
+    images = [_chroma(_sound(s)) for s in sounds]
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(sounds)
+    by: dict[int, list[int]] = {}
+    for i, image in enumerate(images):
+        by.setdefault(len(image), []).append(i)
+    for some in by.values():
+        for i, own in zip(some, _prints(np.stack([images[i] for i in some]))):
+            out[i] = own
+    return out
+
+
+def fingerprint(pcm: np.ndarray | None) -> np.ndarray:
+    """Unsigned 32-bit numbers, one a position; none for null, silence or too short sound."""
+    return fingerprints_of([pcm])[0]
+
+
+def _fingerprinted(rows: DataFrame, key: str, value: str, sound) -> DataFrame:
+    """key and prints (array<long>, each of 32 bits) of every row, whose sound is sound(value, numbers not null)."""
+    kind = dict(rows.dtypes)[key]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                found = [fingerprint(None if x is None else [v or 0 for v in x]) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "prints"])
+                values = part.column(1)
+                ends = [0, *np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)).tolist()]
+                flat = np.asarray(pc.fill_null(values.flatten(), 0).to_numpy(zero_copy_only=False), float)
+                found = fingerprints_of([sound(flat[x:y]) for x, y in zip(ends[:-1], ends[1:])])
+                sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                prints = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), prints], ["key", "prints"])
+
+    return in_arrow(rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("value")), run, f"key {kind}, prints array<long>").withColumnRenamed("key", key)
+
+
+def fingerprints(media: DataFrame, key: str, pcm: str) -> DataFrame:
+    """key and prints (array<long>, each of 32 bits) of every row; pcm: array of numbers at RATE a second.
 
-    return media.select(F.col(key).alias("key"), F.col(pcm).alias("pcm")).mapInArrow(run, f"key {kind}, prints array<long>").withColumnRenamed("key", key)
+    Null, empty, silent and too short recordings have none; null samples are 0. Repeated rows are
+    fingerprinted each; a very long recording is gone through in blocks of frames; an empty table
+    gives an empty one; media's other columns don't matter.
+    """
+    return _fingerprinted(media, key, pcm, lambda samples: samples)
 
 
 def tune(vector: np.ndarray | None, note: int = 512) -> np.ndarray:
     """A melody of a vector: each value a note over three octaves with two overtones."""
-    v = np.zeros(0) if vector is None else np.nan_to_num(np.asarray([x or 0 for x in vector], float), posinf=0, neginf=0)
+    v = np.zeros(0) if vector is None else np.nan_to_num(np.asarray([x or 0 for x in vector] if isinstance(vector, list) else vector, float), posinf=0, neginf=0)
     if not len(v):
         return np.zeros(0, np.float32)
     pitch = 220 * 2 ** (np.clip(np.round(v * 16), -12, 24) / 12)
-    phase = 2 * np.pi * np.cumsum(np.repeat(pitch, note)) / RATE
-    return (np.sin(phase) + 0.5 * np.sin(2 * phase) + 0.25 * np.sin(3 * phase)).astype(np.float32)
+    once = np.exp(1j * (2 * np.pi * np.cumsum(np.repeat(pitch, note)) / RATE))
+    twice = once * once
+    return (once.imag + 0.5 * twice.imag + 0.25 * (twice * once).imag).astype(np.float32)
 
 
 def tunes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key and prints of each row's melody; the sound itself never leaves the task."""
-    kind = dict(vectors.dtypes)[key]
+    """key and prints of each row's melody, as fingerprints(); the sound itself never leaves the task.
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                found = [fingerprint(tune(x)) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "prints"])
-
-    return vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(run, f"key {kind}, prints array<long>").withColumnRenamed("key", key)
+    Null and empty vectors have no sound and no prints.
+    """
+    return _fingerprinted(vectors, key, vector, tune)
 
 
 def _signs(sizes: np.ndarray, words: bytes) -> np.ndarray:
