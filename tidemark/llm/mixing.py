@@ -19,6 +19,10 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Slices of the seeded order; a source's fraction ends in one of them, which alone is sorted.
 SLICES = 4096
+#: Parts in which rows of a hot key are numbered.
+SALTS = 64
+#: Rows of a plan, one a source, up to which it is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -43,18 +47,31 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """docs' rows, each as often as mix() takes it, with all columns.
 
     The seeded order needs no shuffle of texts: a row's repeats follow from its source's plan, but
-    for the slice in which a source's fraction ends, and those few rows are decided by key and size.
+    for the slice in which a source's fraction ends, and those few rows are decided by key and size. Of
+    rows alike in source, key and size, of which the fraction takes some, those whose columns have the
+    least hashes are taken; rows alike in all columns are one until they are repeated. Null texts have
+    no words and go with what their slice does. An empty table gives an empty one; columns of any name
+    but those that begin with two underscores may ride along.
     """
     plan, rows = _plan(docs, key=key, text=text, source=source, **how)
-    edge = _edge(rows, plan).filter("once_more").groupBy(F.col("key").alias("__k"), F.col("source").alias("__so"), F.col("size").alias("__size")).agg(F.lit(True).alias("__more"))
-    cols = docs.columns
+    groups = _edge(rows, plan).select(F.col("key").alias("__k"), F.col("source").alias("__so"), F.col("size").alias("__size"), F.col("n").alias("__n_all"), F.col("taken").alias("__taken"))
+    groups = save(groups.filter("taken > 0"), "edge")
+    cols = [f"`{c}`" for c in docs.columns]
+    most = F.lit(int(how.get("max_epochs", MAX_EPOCHS))).cast("long")
     own = docs.withColumn("__u", _u(F.col(f"`{key}`"), how.get("seed", SEED))).withColumn("__slice", F.expr(f"__u div {2**32 // SLICES}"))
-    own = own.join(plan.select(F.col("s").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")), F.col(f"`{source}`").eqNullSafe(F.col("__s")))
-    sized = own.withColumn("__n", F.when(F.col("__slice") == F.col("__cut"), _size(f"`{text}`")))
-    marked = sized.filter("__slice = __cut").join(edge, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & F.col(f"`{source}`").eqNullSafe(F.col("__so")) & (F.col("__n") == F.col("__size")), "left")
-    parts = sized.filter("__slice != __cut").withColumn("__more", F.col("__slice") < F.col("__cut")).unionByName(marked.drop("__k", "__so", "__size"))
-    n = F.least(F.col("__whole") + F.coalesce("__more", F.lit(False)).cast("long"), F.lit(int(how.get("max_epochs", MAX_EPOCHS))).cast("long"))
-    return parts.withColumn("__i", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[f"`{c}`" for c in cols])
+    own = own.join(_small(plan.select(F.col("s").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))), F.col(f"`{source}`").eqNullSafe(F.col("__s")))
+    clear = own.filter("__slice != __cut").withColumn("__times", F.least(F.col("__whole") + (F.col("__slice") < F.col("__cut")).cast("long"), most))
+    edge = own.filter("__slice = __cut").withColumn("__n", _size(f"`{text}`"))
+    met = edge.join(groups, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & F.col(f"`{source}`").eqNullSafe(F.col("__so")) & (F.col("__n") == F.col("__size")), "left")
+    # All of a group or none: no order is needed.
+    sure = met.filter("__taken is null or __taken = __n_all").withColumn("__times", F.least(F.col("__whole") + F.col("__taken").isNotNull().cast("long"), most))
+    some = met.filter("__taken < __n_all").groupBy("__k", "__so", "__size", F.xxhash64(*cols).alias("__h"), F.xxhash64(F.lit("h2"), *cols).alias("__h2"))
+    some = some.agg(F.first(F.struct(*cols)).alias("__row"), F.count("*").alias("__copies"), F.first("__whole").alias("__whole"), F.first("__taken").alias("__taken"))
+    before = F.sum("__copies").over(Window.partitionBy("__k", "__so", "__size").orderBy("__h", "__h2").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__copies")
+    more = F.greatest(F.lit(0), F.least(F.col("__copies"), F.col("__taken") - before))
+    some = some.withColumn("__more", more).withColumn("__times", F.least(F.col("__whole") + 1, most) * F.col("__more") + F.least("__whole", most) * (F.col("__copies") - F.col("__more")))
+    parts = clear.select("__times", *cols).unionByName(sure.select("__times", *cols)).unionByName(some.select("__times", "__row.*"))
+    return parts.withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*cols)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -66,14 +83,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     words have target 0. An empty table gives an empty one.
     """
     plan, rows = _plan(docs, weights, max_epochs, seed, key, text, source)
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    dealt = rows.join(_small(plan), F.col("source").eqNullSafe(F.col("s")))
     rest = dealt.filter("slice != cut").withColumn("once_more", F.col("slice") < F.col("cut"))
+    groups = save(_edge(rows, plan).select(F.col("key").alias("k"), F.col("source").alias("so"), F.col("size").alias("sz"), "n", "taken"), "edge")
+    edge = dealt.filter("slice = cut").join(groups, F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("so")) & (F.col("size") == F.col("sz")))
+    sure = edge.filter("taken = 0 or taken = n").withColumn("once_more", F.col("taken") > 0)
+    # Numbers within a group that is taken in part, by salts: a task numbers a part, parts are added up.
+    some = edge.filter("taken > 0 and taken < n").withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    alike = Window.partitionBy("source", "key", "size")
+    parts = some.groupBy("source", "key", "size", "salt").agg(F.count("*").alias("m"))
+    parts = parts.withColumn("base", F.sum("m").over(alike.orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m"))
+    parts = parts.select(F.col("source").alias("p_so"), F.col("key").alias("p_k"), F.col("size").alias("p_sz"), F.col("salt").alias("p_salt"), "base")
+    place = F.row_number().over(Window.partitionBy("source", "key", "size", "salt").orderBy("row"))
+    some = some.withColumn("place", place).join(parts, F.col("source").eqNullSafe(F.col("p_so")) & F.col("key").eqNullSafe(F.col("p_k")) & (F.col("size") == F.col("p_sz")) & (F.col("salt") == F.col("p_salt")))
+    some = some.withColumn("once_more", F.col("base") + F.col("place") <= F.col("taken"))
     repeats = F.least(F.col("whole") + F.col("once_more").cast("long"), F.lit(int(max_epochs)).cast("long"))
+    cols = ["key", "size", "source", "source_size", "target", "whole", "once_more"]
     return (
-        rest.unionByName(_edge(rows, plan))
+        rest.select(*cols).unionByName(sure.select(*cols)).unionByName(some.select(*cols))
         .withColumn("repeats", repeats)
         .select(F.col("key").alias(key), "size", F.col("source").alias("source"), "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
-    )
+    )
+
+
+def _small(plan: DataFrame) -> DataFrame:
+    """The plan marked for broadcasting while it has few sources; else it is joined by shuffling."""
+    return F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
 
 
 def _u(key, seed: str):
@@ -88,7 +123,7 @@ def _size(text: str):
 def _plan(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source"):
     """What each source takes (s, source_size, target, whole, more, cut, start), and the rows without texts."""
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), _size(f"`{text}`").alias("size"))
-    rows = save(named.withColumn("u", _u(F.col("key"), seed)).withColumn("slice", F.expr(f"u div {2**32 // SLICES}")), "sizes")
+    rows = save(named.withColumn("row", F.monotonically_increasing_id()).withColumn("u", _u(F.col("key"), seed)).withColumn("slice", F.expr(f"u div {2**32 // SLICES}")), "sizes")
     sliced = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sizes = sliced.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     goal = targets(sizes, weights, max_epochs).withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
@@ -104,7 +139,15 @@ def _plan(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed
 
 
 def _edge(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of the slices in which fractions end, with once_more: taken while their middle is before the end."""
+    """Of the slices in which fractions end, the groups of rows alike in key and size: n, and taken, how many of them are taken once more.
+
+    A row is taken while its middle is before the end. Rows alike are counted, not sorted.
+    """
     inside = Window.partitionBy("source").orderBy("u", F.col("key").isNull(), "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter("slice = cut").withColumn("upto", F.col("start") + F.sum("size").over(inside))
-    return edge.withColumn("once_more", F.col("upto") - F.col("size") / 2 <= F.col("more")).drop("upto")
+    slim = plan.select("s", F.col("cut").alias("p_cut"), "start", "more")
+    groups = rows.join(_small(slim), F.col("source").eqNullSafe(F.col("s"))).filter("slice = p_cut").groupBy("source", "u", "key", "size", "start", "more").agg(F.count("*").alias("n"))
+    groups = groups.withColumn("before", F.col("start") + F.sum(F.col("size") * F.col("n")).over(inside) - F.col("size") * F.col("n"))
+    fit = F.floor((F.col("more") - F.col("before")) / F.nullif(F.col("size"), F.lit(0)) + 0.5)
+    first = F.col("before") + F.col("size") - F.col("size") / 2 <= F.col("more")
+    taken = F.when(~first, 0).when((F.col("n") == 1) | (F.col("size") == 0), F.col("n")).otherwise(F.greatest(F.lit(1), F.least(F.col("n"), fit)))
+    return groups.select("source", "key", "size", "n", taken.cast("long").alias("taken"))
