@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import audio, exact_dedup, hmm_lm, language_id, mixing, near_dedup, packing, sharding, token_counts, url_filter
-from .common import bucket_of, table
+from .common import bucket_of, save, table
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -19,17 +19,20 @@ def op2_language_id(spark, sf_dir):
 
 
 def op3_token_counts(spark, sf_dir):
-    """Every document counted, then edited twice: words put in at one place, others taken out at another."""
+    """Every document counted and kept with its tree; then edited twice, words put in at one place, others taken out at another."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.coalesce(F.length("text"), F.lit(0)) + 1
-    i = F.coalesce("doc_id", F.lit(0))
+    state = save(token_counts.count(docs), "token-trees")
+    n = (F.col("n_chars") + 1).cast("long")
+    i = F.coalesce(F.col("doc_id").try_cast("long"), F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
 
-    def change(start, taken, put):
+    def change(times, taken, put):
+        start = F.pmod(F.pmod(i, n) * times, n)
         return F.struct(start.cast("int").alias("start"), (start + taken).cast("int").alias("stop"), F.lit(put).alias("put"))
 
-    edits = F.array(change(F.pmod(i * 7919, n), 0, " put in 'll 42 "), change(F.pmod(i * 104729, n), 40, ""))
-    counted = token_counts.count(docs.withColumn("edits", edits), edits="edits")
-    return counted.withColumn("n_leaves", F.size("leaf_chars").cast("long")).drop("leaf_chars", "leaf_tokens")
+    edits = F.array(change(7919, 0, " put in 'll 42 "), change(104729, 40, ""))
+    before = {"was_chars": F.col("n_chars"), "was_tokens": F.col("n_tokens"), "n_leaves": F.size("leaf_chars").cast("long")}
+    edited = token_counts.update(state.withColumns({**before, "edits": edits}), keep=[*before])
+    return edited.select("doc_id", F.col("was_chars").alias("n_chars"), F.col("was_tokens").alias("n_tokens"), "n_leaves", F.col("n_chars").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), "encoded_chars")
 
 
 def op4_url_filter(spark, sf_dir):

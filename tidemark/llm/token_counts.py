@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, slices, text_or_empty
+
 BLOCK = 64
 #: Characters after a pre-token that can decide where it ends: a letter after an apostrophe, and
 #: one after white space.
@@ -152,45 +154,65 @@ def edit(text: str, tree: Tree, start: int, end: int, put: str, by: Counter) ->
     return new, pos - at
 
 
-def count(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", edits: str | None = None) -> DataFrame:
-    """key, n_chars, n_tokens, the tree's leaves (leaf_chars, leaf_tokens); with edits, the state after them as well.
+_LEAVES = "leaf_chars array<int>, leaf_tokens array<int>"
+
 
-    edits: a column of array<struct<start int, stop int, put string>>, applied in turn; then
-    edited_chars, edited_tokens and encoded_chars (encoded anew) follow. Positions are cut to the
-    text; null edits are none. A null text is empty and has no tokens and no leaves. Repeated rows are counted
-    each; an empty table gives an empty one.
+def count(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """key, text, n_chars, n_tokens and the tree's leaves (leaf_chars, leaf_tokens) of every row: the state that update() takes.
+
+    Columns in keep ride along; they may not have these names. A null text is empty and has no tokens
+    and no leaves. A very long text is counted whole. Repeated rows are counted each; an empty table
+    gives an empty one; docs' other columns don't matter.
     """
-    path = path or ranks_path()
-    kind = dict(docs.dtypes)[key]
-    cols = [F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *([F.col(edits).alias("edits")] if edits else [])]
+    path, keep = path or ranks_path(), keep or []
+    kinds = dict(docs.dtypes)
+    cols = [F.col(f"`{key}`").alias("key"), text_or_empty(F.col(f"`{text}`").cast("string")).alias("text"), *[F.col(f"`{c}`") for c in keep]]
 
     def run(batches):
         by = counter(path)
-        for b in batches:
-            for first in range(0, b.num_rows, 200):
-                part = b.slice(first, 200)
-                out: list[list] = [[] for _ in range(7)]
-                changes = part.column(2).to_pylist() if edits else [None] * part.num_rows
-                for t, todo in zip(part.column(1).to_pylist(), changes):
-                    t = t or ""
-                    chars, tokens = by.leaves(t)
-                    row = [len(t), sum(tokens), chars, tokens]
-                    if edits:
-                        tree, anew = Tree(chars, tokens), 0
-                        for e in todo or ():
-                            if e is not None:
-                                t, n = edit(t, tree, e["start"] or 0, e["stop"] or 0, e["put"] or "", by)
-                                anew += n
-                        row += [len(t), tree.tokens, anew]
-                    for c, v in zip(out, row):
-                        c.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
-                n = 7 if edits else 4
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out[:n], kinds))], ["key", *_NAMES[:n]])
+        for b in slices(batches, 1):
+            texts = b.column(1).to_pylist()
+            found = [by.leaves(t) for t in texts]
+            new = [
+                pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(n) for _, n in found], pa.int64()),
+                pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], ["key", "text", *keep, "n_chars", "n_tokens", "leaf_chars", "leaf_tokens"])
         by.known = {}  # workers outlive tasks
 
-    schema = f"key {kind}, n_chars long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>" + ", edited_chars long, edited_tokens long, encoded_chars long" * bool(edits)
-    return docs.select(*cols).mapInArrow(run, schema).withColumnRenamed("key", key)
+    more = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return in_arrow(docs.select(*cols), run, f"key {kinds[key]}, text string{more}, n_chars long, n_tokens long, {_LEAVES}").withColumnsRenamed({"key": key, "text": text})
+
 
+def update(state: DataFrame, edits: str = "edits", path: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The state after its rows' edits, in count()'s form, with encoded_chars: how many characters were encoded anew.
 
-_NAMES = ["n_chars", "n_tokens", "leaf_chars", "leaf_tokens", "edited_chars", "edited_tokens", "encoded_chars"]
+    state: what count() gave, with a column edits of array<struct<start int, stop int, put string>>,
+    applied in turn. Each tree is set up from the leaves as they were kept; only the runs that an edit
+    touches, and at most the one before, are encoded. Positions are cut to the text; null edits are none.
+    Columns in keep ride along.
+    """
+    path, keep = path or ranks_path(), keep or []
+    types = dict(state.dtypes)
+
+    def run(batches):
+        by = counter(path)
+        for b in slices(batches, 1):
+            out: list[list] = [[] for _ in range(6)]
+            for t, chars, tokens, todo in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                tree, anew = Tree(chars, tokens), 0
+                for e in todo or ():
+                    if e is not None:
+                        t, n = edit(t, tree, e["start"] or 0, e["stop"] or 0, e["put"] or "", by)
+                        anew += n
+                runs = tree.runs()
+                for c, v in zip(out, (t, len(t), tree.tokens, [c for c, _ in runs], [n for _, n in runs], anew)):
+                    c.append(v)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
+            new = [pa.array(c, k) for c, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *new, *b.columns[5:]], ["key", "text", "n_chars", "n_tokens", "leaf_chars", "leaf_tokens", "encoded_chars", *keep])
+        by.known = {}
+
+    cols = [F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), "leaf_chars", "leaf_tokens", F.col(f"`{edits}`").alias("edits"), *[F.col(f"`{c}`") for c in keep]]
+    more = "".join(f", `{c}` {types[c]}" for c in keep)
+    return in_arrow(state.select(*cols), run, f"key {types[key]}, text string, n_chars long, n_tokens long, {_LEAVES}, encoded_chars long{more}").withColumnsRenamed({"key": key, "text": text})
