@@ -173,7 +173,7 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     built = url_filter.Digests.build([("block", "ab.c", "/"), ("allow", "xy.z", "/"), ("block", "lm.n", "/")])
     for name, data in built.items():
         (tmp_path / name).write_bytes(data)
-    d = url_filter.Digests.open(tmp_path / "keys", tmp_path / "strings", [1])
+    d = url_filter.Digests.open(*(tmp_path / name for name in built), [1])
     found = d.find(["xy.z\0/", "ab.c\0/", "qq.q\0/", "x\0/"])
     assert [None if i < 0 else int(d.verdicts[i]) for i in found] == [0, 1, None, None]
 
@@ -181,15 +181,21 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
 # 5
 
 
-def test_tokens_are_the_tokenizers_own(docs):
+@pytest.mark.parametrize("cache", [packing.CACHE, 40])
+def test_tokens_are_the_tokenizers_own(docs, monkeypatch, cache):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
     rng = random.Random(1)
     some = [r.text for r in docs.limit(60).collect()] + ["it's I'LL don't 'sx", "ÀÉÎ straße ﬁ ① Ⅻ é ́x a b c　d İstanbul ΑΣ <|endoftext|>x a<|startoftext|>b", "日本語 ok… 1234 ab12 x²½ ªº µm ĀāĂ\x1c\x85 z", "😀😀 a_b-c"]
     some += ["".join(rng.choice("aÀé'sS tLl1<|́ß ²œŒÿŸ") for _ in range(30)) for _ in range(800)]
-    got = packing.WordEncoder(packing.tokenizer_path()).ids(some)
-    assert all(np.frombuffer(g, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for x, g in zip(some, got))
+    want = [t.encode(x, add_special_tokens=False).ids for x in some]
+    monkeypatch.setattr(packing, "CACHE", cache)
+    enc = packing.WordEncoder(packing.tokenizer_path())
+    for lot in (50, 7, 200):  # twice and more, so that words come from the cache as well
+        for a in range(0, len(some), lot):
+            ids, at = enc.ids(some[a : a + lot], 2)
+            assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == [w + [2] for w in want[a : a + lot]]
 
 
 def test_pieces_join_to_documents(spark, odd):

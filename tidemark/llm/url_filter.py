@@ -3,8 +3,10 @@
 Rules are (host, path) pairs. A url's candidates are the suffixes of its host at dots, each with the
 prefixes of its path in those lengths that rules have; all candidates of a batch are looked up by
 one searchsorted, longest first, and a hit counts only when the stored string equals the candidate.
-The two files are built once on the driver and written to the shared folder, from which Spark hands
-them to every executor, also to those that join later.
+The files (keys, starts of strings, verdicts, strings) are built once on the driver, which has the
+rules anyway, at about 100 bytes of memory each, and written to the shared folder, from which Spark
+hands them to every executor, also to those that join later. The keys have a file of their own, so that
+the binary search runs on the mapped pages, which a machine's workers share.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put
+from .common import in_arrow, put
 
 #: (verdict, host, path) of the contract.
 RULES = (
@@ -29,9 +31,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Rules that one filter may have: the arrays are built in the driver's memory, about 100 bytes each.
-MOST_RULES = 5_000_000
-
 
 def split_url(url: str | None) -> tuple[str, str]:
     """Host, A-Z lower-cased, and path; both empty for null and for what has no `://`."""
@@ -63,28 +62,25 @@ class Digests:
 
     @staticmethod
     def build(rules) -> dict[str, bytes]:
-        """The files keys and strings; of rules alike, the first holds."""
+        """The files keys, starts, blocks and strings; of rules alike, the first holds."""
         known: dict[str, str] = {}
         for verdict, host, path in rules:
             known.setdefault(host.translate(_LOWER) + "\0" + path, verdict)
-        if len(known) > MOST_RULES:
-            raise ValueError(f"{len(known)} rules; a filter takes at most {MOST_RULES}")
         rows = sorted((_digest(k), k.encode("utf-8", "surrogatepass"), v) for k, v in known.items())
-        table = np.zeros(len(rows), [("key", "<u8"), ("start", "<i8"), ("block", "u1")])
-        table["key"] = [r[0] for r in rows]
-        table["start"] = np.cumsum([0, *(len(r[1]) for r in rows)])[:-1] if rows else []
-        table["block"] = [r[2] == "block" for r in rows]
-        return {"keys": table.tobytes(), "strings": b"".join(r[1] for r in rows)}
+        starts = np.cumsum([0, *(len(r[1]) for r in rows)])
+        return {
+            "keys": np.array([r[0] for r in rows], "<u8").tobytes(), "starts": starts.astype("<i8").tobytes(),
+            "blocks": np.array([r[2] == "block" for r in rows], "u1").tobytes(), "strings": b"".join(r[1] for r in rows),
+        }
 
     @classmethod
-    def open(cls, keys: str, strings: str, lengths) -> Digests:
-        kind = [("key", "<u8"), ("start", "<i8"), ("block", "u1")]
-        table = np.memmap(keys, kind, "r") if os.path.getsize(keys) else np.zeros(0, kind)
+    def open(cls, keys: str, starts: str, blocks: str, strings: str, lengths) -> Digests:
         blob = b""
         if os.path.getsize(strings):
             with open(strings, "rb") as f:
                 blob = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        return cls(np.ascontiguousarray(table["key"]), table["start"], table["block"], blob, lengths)
+        arrays = (np.memmap(p, kind, "r") if os.path.getsize(p) else np.zeros(0, kind) for p, kind in ((keys, "<u8"), (starts, "<i8"), (blocks, "u1")))
+        return cls(*arrays, blob, lengths)
 
     def find(self, items: list[str]) -> np.ndarray:
         """Rows of the items, -1 where there is none. Keys that collide are told apart by the strings."""
@@ -94,9 +90,7 @@ class Digests:
         for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == digests)) if len(self.keys) else ():
             j, want = int(at[i]), items[i].encode("utf-8", "surrogatepass")
             while j < len(self.keys) and self.keys[j] == digests[i]:
-                start = int(self.starts[j])
-                end = int(self.starts[j + 1]) if j + 1 < len(self.starts) else len(self.strings)
-                if self.strings[start:end] == want:
+                if self.strings[int(self.starts[j]) : int(self.starts[j + 1])] == want:
                     out[i] = j
                     break
                 j += 1
@@ -119,7 +113,8 @@ def filter_urls(pages: DataFrame, rules=RULES, key: str = "page_id", url: str =
 
     A url without a rule gets the default: the filter is a list, and what isn't in it is allowed.
     Null and unusable urls have empty host and path, and so no rule. Repeated rows are judged each;
-    an empty table gives an empty one.
+    a very long url is judged whole; an empty table gives an empty one; pages' other columns, whatever
+    their names, don't matter.
     """
     spark = pages.sparkSession
     rules = [(v, h, p) for v, h, p in rules]
@@ -149,5 +144,5 @@ def filter_urls(pages: DataFrame, rules=RULES, key: str = "page_id", url: str =
             cols = [b.column(0), *(pa.array(c, pa.string()) for c in ([p[0] for p in parts], [p[1] for p in parts], rule, verdict))]
             yield pa.RecordBatch.from_arrays(cols, ["key", "host", "path", "rule", "verdict"])
 
-    out = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url")).mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string")
+    out = in_arrow(pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url")), run, f"key {kind}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("key", key)
