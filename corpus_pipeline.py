@@ -7,40 +7,74 @@ Scratch tables of a stage go when the next begins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, exact_dedup, language_id, mixing, near_dedup, packing
 
 
+def _stage(f: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Scratch tables belong to the pipeline over sf_dir: what the stages before left there goes when the next begins."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        owner = f"pipeline over {sf_dir}"
+        common.release(owner)
+        with common.owned(owner):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language. What has no letter, or resembles no language, goes."""
+    """Documents in a learned language. What has no letter, or resembles no language, goes.
+
+    Null and empty texts have no letter. Where no row has a language to learn from, documents with letters
+    stay. Repeated rows are judged alike; an empty table gives an empty one; other columns ride along, those
+    that are named like the operator's as well.
+    """
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    judged = language_id.identify(docs, model)
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.LEAST_SCORE)).select(*docs.columns)
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language_id.judged(docs, model)
+    return found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= language_id.LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts but for white space, one."""
-    common.release()
+    """Of documents with equal texts but for white space, the longest, then that with the smallest doc_id.
+
+    Null texts count as empty, and those are equal; of rows alike one stays; an empty table gives an empty one.
+    """
     return exact_dedup.keep_one(docs)
 
 
+@_stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal shingle sets, one."""
-    common.release()
+    """Of documents linked by near-equal shingle sets, that with the smallest doc_id.
+
+    Documents without words are linked with nothing and stay; of rows alike one stays; an empty table gives an empty one.
+    """
     return near_dedup.keep_one(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: never, or up to the cap."""
-    common.release()
+    """Each document as often as the mix takes it: never, or up to the cap.
+
+    A null source is a source; null and empty texts have no words to take; rows alike are taken one by one;
+    an empty table gives an empty one.
+    """
     return mixing.repeated(docs)
 
 
+@_stage
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences."""
-    common.release()
+    """Pieces of the sequences. Null texts are empty and have their end alone; repeated rows are packed each; an empty table gives an empty one."""
     return packing.pack(docs)
 
 
@@ -60,4 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), name)
+    common.release(f"pipeline over {sf_dir}")
     return docs
