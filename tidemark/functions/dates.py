@@ -55,7 +55,7 @@ def parse_date(text: Column, now_ms: Column, kind: Column | None = None) -> Colu
     return judged(ms, now_ms)
 
 
-def sort_ms(text: Column, now_ms: Column) -> Column:
+def sort_ms(text: Column, now_ms: Column, kind: Column | None = None) -> Column:
     """For ranking: undated rows come last."""
-    got = parse_date(text, now_ms)
+    got = parse_date(text, now_ms, kind)
     return F.when(got["estimated"], F.lit(0).cast("long")).otherwise(got["ms"])

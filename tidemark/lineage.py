@@ -11,5 +11,8 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed and kept in the folder of spark.checkpoint.dir; in a temporary one only where that is unset, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

@@ -15,7 +15,8 @@ SOURCES = (
     "poll_minutes int, take_per_run int, enabled boolean, in_config boolean, etag string, last_modified string, last_fetch_at long, "
     "last_status string, last_error string, last_item_count int, consecutive_failures int"
 )
-LANDED = "source_id string, adapter_kind string, attempt int, url string, status int, etag string, last_modified string, body string, bytes binary, fetched_at long"
+#: page: the place of a body among those of its attempt; error: why there is none.
+LANDED = "source_id string, attempt int, page int, url string, status int, etag string, last_modified string, body string, bytes binary, error string, fetched_at long"
 SEEN_URLS = "source_id string, canonical_hash string, seen_at long"
 PRUNED_URLS = "canonical_hash string, pruned_at long"
 FETCHES = "source_id string, status string, error string, item_count int, etag string, last_modified string, fetched_at long"

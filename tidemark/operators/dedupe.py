@@ -28,16 +28,23 @@ def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.join(seen.select("source_id", "canonical_hash"), ["source_id", "canonical_hash"], "left_anti")
 
 
-def first_per_hash(rows: DataFrame, *order) -> DataFrame:
-    w = Window.partitionBy("canonical_hash").orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+def first_per_hash(rows: DataFrame, *order: str) -> DataFrame:
+    """The first row of each hash by the columns of order, which tell rows apart; combined before the shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy("canonical_hash").agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
+
+
+def seen_after(seen: DataFrame, rows: DataFrame, now_ms: int) -> DataFrame:
+    """What becomes seen by a visit to rows, without what was seen already."""
+    new = unseen(rows.select("source_id", "canonical_hash").distinct(), seen)
+    return new.withColumn("seen_at", F.lit(now_ms).cast("long")).select("source_id", "canonical_hash", "seen_at")
 
 
 def title_matches(rows: DataFrame, items: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Pairs of rows and stored items with one institution, one key and dates at most the window apart."""
-    stored = items.filter("title_key != ''").select("institution", "title_key", F.col("item_id").alias("stored_id"), F.col("published_at").alias("stored_at"))
-    met = rows.filter("title_key != ''").join(stored, ["institution", "title_key"])
-    return met.filter(F.abs(F.col("published_at") - F.col("stored_at")) <= window_ms)
+    """Rows that have a stored item of one institution, one key and a date at most the window apart: a semi-join, no pairs."""
+    i = items.filter("title_key != ''").alias("i")
+    close = (F.col("r.institution") == F.col("i.institution")) & (F.col("r.title_key") == F.col("i.title_key")) & (F.abs(F.col("r.published_at") - F.col("i.published_at")) <= window_ms)
+    return rows.filter("title_key != ''").alias("r").join(i, close, "left_semi")
 
 
 def not_near_stored(rows: DataFrame, items: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:

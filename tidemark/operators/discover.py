@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
+import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import shapes
+from tidemark.functions.urls import absolute, canonical
 from tidemark.sources.html import parse
 from tidemark.sources.plain import when
 
@@ -128,28 +131,61 @@ def candidates(bodies: DataFrame, now_ms: Column, top: int = 5) -> DataFrame:
 
 
 def samples(found: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """call, path, text: the first distinct texts of a field."""
-    own = found.filter((F.col("key") == key) & F.col("is_text") & (F.trim("text") != "")).groupBy("call", "path", F.trim("text").alias("text")).agg(F.min("record").alias("at"))
+    """call, path, text: the first distinct texts of a field, of its arrays as well."""
+    texts = F.when(F.col("is_text"), F.array("text")).when(F.col("has_texts"), F.filter(F.try_variant_get(F.try_parse_json("text"), "$", "array<string>"), lambda s: s.isNotNull()))
+    each = found.filter(F.col("key") == key).select("call", "path", "record", F.posexplode(texts).alias("place", "t")).withColumn("text", F.trim("t")).filter("text != ''")
+    own = each.groupBy("call", "path", "text").agg(F.min(F.struct("record", "place")).alias("at"))
     w = Window.partitionBy("call", "path").orderBy("at")
     return own.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
-CONVENTIONAL_FEEDS = ("/feed", "/feed/", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml", "/rss/index.xml", "/blog/feed")
+# Where feeds and sitemaps usually are.
+CONVENTIONAL_FEEDS = ("/rss", "/feed", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml", "/feeds/all.xml", "/rss/all.xml", "/en/rss")
+CONVENTIONAL_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml")
+MOST_SITEMAPS = 8
+
+
+def feed_addresses(page_url: str, html: str) -> dict[str, str]:
+    """Addresses to try for feeds: those that the page declares, then the usual ones of its site; each with which it is."""
+    out: dict[str, str] = {}
+    for link in parse(html).select('link[rel="alternate"]'):
+        kind, href = link.attrs.get("type", "").lower(), link.attrs.get("href")
+        if href and any(k in kind for k in ("rss", "atom", "xml")) and (found := canonical(href, page_url)):
+            out[found] = "declared"
+    home = re.match(r"(?i)https?://[^/?#]+", page_url)
+    for path in CONVENTIONAL_FEEDS if home else ():
+        out.setdefault(home[0] + path, "probed")
+    return out
+
+
+def sitemap_addresses(page_url: str, robots: str | None = None) -> list[str]:
+    """Addresses to try for sitemaps: the usual ones of the site, then those that its robots.txt declares; MOST_SITEMAPS at most."""
+    home = re.match(r"(?i)https?://[^/?#]+", page_url)
+    if not home:
+        return []
+    declared = re.findall(r"(?im)^[^\S\n]*sitemap:[^\S\n]*(\S+)", robots or "")
+    return list(dict.fromkeys([*(home[0] + p for p in CONVENTIONAL_SITEMAPS), *declared]))[:MOST_SITEMAPS]
 
 
 def feed_candidates(bodies: DataFrame) -> DataFrame:
-    """Landed bodies that are feeds, with their number of entries."""
+    """url and entries of landed bodies (url, status, body) that are feeds and have entries."""
     from tidemark.sources.feeds import feed
 
     head = F.substring("body", 1, 2000)
     some = bodies.filter((F.col("status") < 400) & head.rlike(r"(?i)<(rss|feed|rdf:rdf)[\s>]"))
-    return some.select("url", F.size(feed("body")["entries"]).alias("entries"))
+    return some.select("url", F.size(feed("body")["entries"]).alias("entries")).filter("entries > 0")
+
+
+def last_segment(url: str) -> str:
+    path = re.sub(r"[?#].*$", "", re.sub(r"(?i)^https?://[^/?#]*", "", url))
+    return ([""] + [p for p in path.split("/") if p])[-1]
 
 
 def sitemap_matches(entries: DataFrame, page_url: str) -> DataFrame:
-    """For each sitemap (url, loc): addresses, and how many hold the page's last segment."""
-    last = page_url.rstrip("/").rpartition("/")[2].lower()
-    return entries.groupBy("url").agg(F.count("*").alias("locs"), F.count_if(F.contains(F.lower("loc"), F.lit(last))).alias("matching"))
+    """For each sitemap (url, loc): addresses, and how many hold the page's last segment; all where it has none."""
+    last = last_segment(page_url).lower()
+    match = F.contains(F.lower("loc"), F.lit("/" + last)) if last else F.lit(True)
+    return entries.groupBy("url").agg(F.count("*").alias("locs"), F.count_if(match).alias("matching"))
 
 
 def embedded_payloads(pages: DataFrame) -> DataFrame:
@@ -161,48 +197,139 @@ def embedded_payloads(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(F.udf(blocks, "array<string>", useArrow=True)("body")).alias("body")).withColumn("status", F.lit(200))
 
 
-def listing_classes(pages: DataFrame, hint: str = r"(?i)(article|card|item|post|insight|story|teaser|result)", top: int = 5) -> DataFrame:
-    """url, class, nodes, hinted: classes around links that look like articles, on at least three of them."""
-    kind = "array<struct<name:string,node:int,length:int>>"
-
-    def around(html):
-        tree, out = parse(html), []
-        for a in tree.select("a[href]"):
-            text = " ".join(a.text.split())
-            if not 12 <= len(text) <= 300 or " " not in text:
-                continue
-            up, level = a, 0
-            while up is not None and level <= 4:
-                out += [{"name": f"{up.tag}.{c}", "node": id(up) % (1 << 31), "length": len(text)} for c in up.classes]
-                up, level = up.parent, level + 1
-        return out
+STATE_CLASS = re.compile(r"(is|has|js)-")
+
+
+def _around(html: str | None, url: str | None) -> list[dict]:
+    """Classes of up to four ancestors of each link that may be an article's: within the site, with a text, outside of navigation."""
+    out, number = [], {}
+    home = re.match(r"(?i)https?://[^/?#]+", url or "")
+    hint = last_segment(url or "").lower()
+    for a in parse(html).select("a[href]"):
+        href, up = a.attrs["href"], a
+        if href.startswith(("#", "javascript:", "mailto:")) or len(a.text.strip()) < 12:
+            continue
+        target = absolute(href, url) or ""
+        if home and not target.lower().startswith(home[0].lower()):
+            continue
+        above = []
+        while (up := up.parent) is not None and up.tag:
+            above.append(up)
+        if any(n.tag in ("nav", "header", "footer") for n in [a, *above]):
+            continue
+        title = " ".join(a.text.split())[:90]
+        for node in above[:4]:
+            for c in node.classes:
+                if not STATE_CLASS.match(c):
+                    out.append({"name": c, "node": number.setdefault(id(node), len(number)), "hinted": bool(hint) and hint in target.lower(), "title": title})
+    return out
+
+
+def listing_classes(pages: DataFrame, top: int = 5) -> DataFrame:
+    """url, name, nodes, hinted, rank of pages (url, body): classes on at least three containers of links that look like articles.
 
-    rows = pages.select("url", F.explode(F.udf(around, kind, useArrow=True)("body")).alias("c")).select("url", "c.*")
-    found = rows.groupBy("url", "name").agg(F.countDistinct("node").alias("nodes"), F.avg("length").alias("length")).filter("nodes >= 3").withColumn("hinted", F.col("name").rlike(hint))
-    w = Window.partitionBy("url").orderBy(F.desc("hinted"), F.desc("nodes"), F.desc("length"), "name")
+    Those that hold a link with the page's last segment come first, then those on more containers, then longer names.
+    """
+    kind = "array<struct<name:string,node:int,hinted:boolean,title:string>>"
+    rows = pages.select("url", F.explode(F.udf(_around, kind, useArrow=True)("body", "url")).alias("c")).select("url", "c.*")
+    found = rows.groupBy("url", "name").agg(F.countDistinct("node").alias("nodes"), F.max("hinted").alias("hinted")).filter("nodes >= 3")
+    w = Window.partitionBy("url").orderBy(F.desc("hinted"), F.desc("nodes"), F.desc(F.length("name")), "name")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def suggestion(page_url: str, calls: list, feeds: list, sitemaps: list, classes: list) -> dict:
-    """An adapter for the page: an interface, else a feed, else a sitemap that lists such pages, else selectors."""
+# Fixed value: where pages keep the token that their interface asks for.
+TOKEN = r'"(?:accessToken|apiKey|searchToken)"\s*:\s*"([^"]+)"'
+
+
+def suggestion(page_url: str, calls: list, feeds: list, sitemaps: list, classes: list, rendered: bool = False) -> dict | None:
+    """An adapter for the page: an interface, else a feed, else a sitemap that lists such pages, else selectors; None without any.
+
+    Each list is best first; a call may have method, headers (redacted) and request_body.
+    """
     if calls:
-        c = calls[0]
-        fields = {f: c[f"best_{f}"] for f in NAMES if c[f"best_{f}"]}
-        return {"kind": "json", "request": {"url": c["call"], "method": "GET"}, "items_path": c["path"], "fields": fields}
+        c = calls[0] if isinstance(calls[0], dict) else calls[0].asDict(True)
+        headers = c.get("headers") or {}
+        request = {"method": c.get("method") or "GET", "url": c["call"], "headers": headers} | ({"body": c["request_body"]} if c.get("request_body") else {})
+        out = {"kind": "json", "request": request, "items_path": c["path"], "fields": {f: c[f"best_{f}"] for f in NAMES if c.get(f"best_{f}")}}
+        if {"authorization", "x-api-key"} & set(headers):
+            out["auth"] = {"kind": "from_page", "page_url": page_url, "token_regex": TOKEN}
+        return out
     if feeds:
-        return {"kind": "rss", "url": max(feeds, key=lambda f: f["entries"])["url"]}
+        return {"kind": "rss", "url": feeds[0]["url"]}
     good = [s for s in sitemaps if s["matching"]]
     if good:
-        return {"kind": "sitemap", "url": max(good, key=lambda s: s["matching"])["url"], "include": [page_url.rstrip("/").rpartition("/")[2]]}
-    item = classes[0]["name"] if classes else "article"
-    return {"kind": "html", "url": page_url, "selectors": {"item": item, "link": "a@href", "title": "a"}}
+        return {"kind": "sitemap", "url": good[0]["url"], "include": [f"/{last_segment(page_url) or 'insights'}/"], "max_new_per_run": 25}
+    if classes:
+        item = "." + re.sub(r"([^a-zA-Z0-9_-])", r"\\\1", classes[0]["name"])
+        more = {"wait_for": item, "scroll": 2} if rendered else {}
+        return {"kind": "browser" if rendered else "html", "url": page_url, **more, "selectors": {"item": item, "title": "a", "link": "a@href", "date": "time@datetime"}}
+    return None
+
+
+def config_text(page_url: str, adapter: dict | None) -> str | None:
+    """The suggestion as a block for the configuration of sources."""
+    if adapter is None:
+        return None
+    site = re.sub(r"(?i)^https?://(www\.)?", "", page_url)
+    name = re.split(r"[/?#:]", site)[0].lower()
+    label = name.split(".")[-2] if "." in name else name
+    sid = re.sub(r"[^a-z0-9]+", "-", f"{label}-{last_segment(page_url)}".lower()).strip("-")
+    home = re.match(r"(?i)https?://[^/?#]+", page_url)
+    row = {"id": sid, "institution": label.replace("-", " ").title(), "name": "Insights", "homepage": home[0] if home else page_url, "static_tags": ["type:insight"], "adapter": adapter}
+    return yaml.safe_dump({"sources": [row]}, sort_keys=False, allow_unicode=True)
+
+
+def discover(page: dict, landed: DataFrame, now_ms: int) -> dict:
+    """All probes over what was landed for one page (url, html, rendered, robots): a report with warnings instead of failures.
+
+    landed: url, status, body of captured answers, feeds and sitemaps. The report has at most a few rows of each kind.
+    """
+    from tidemark.sources.feeds import sitemap_entries
+
+    spark, url = landed.sparkSession, page["url"]
+    found: dict = {"url": url, "warnings": []}
+    own = spark.createDataFrame([(url, page.get("html") or "")], "url string, body string")
+
+    def probe(name: str, run) -> None:
+        try:
+            found[name] = [r.asDict(True) if hasattr(r, "asDict") else r for r in run()]
+        except Exception as bad:  # a probe that fails is a warning
+            found[name] = []
+            found["warnings"].append(f"{name}: {str(bad).splitlines()[0][:200]}")
+
+    answers = landed.filter(F.length("body") <= MOST_BODY).select("url", "status", "body").unionByName(embedded_payloads(own).select("url", "status", "body"))
+    feeds = feed_addresses(url, page.get("html") or "")
+    some = spark.createDataFrame(list(feeds.items()), "url string, how string") if feeds else spark.createDataFrame([], "url string, how string")
+    maps = landed.filter(F.col("url").isin(sitemap_addresses(url, page.get("robots")))).filter("status < 400")
+    maps = maps.select(F.lit("-").alias("source_id"), "url", "body", F.lit(None).cast("binary").alias("bytes"))
+    probe("calls", lambda: candidates(answers, F.lit(now_ms).cast("long")).collect())
+    probe("feeds", lambda: feed_candidates(landed).join(some, "url").orderBy(F.col("how") != "declared", F.desc("entries"), "url").collect())
+    probe("sitemaps", lambda: sitemap_matches(sitemap_entries(maps), url).orderBy(F.desc("matching"), "url").collect())
+    probe("classes", lambda: listing_classes(own).orderBy("rank").collect())
+    adapter = suggestion(url, found["calls"], found["feeds"], found["sitemaps"], found["classes"], bool(page.get("rendered")))
+    return found | {"suggestion": adapter, "config": config_text(url, adapter)}
+
+
+def write_report(report: dict, path: str) -> None:
+    """The report as a JSON file."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(report, f, indent=2, ensure_ascii=False, default=str)
+
+
+#: Longer answers aren't looked at.
+MOST_BODY = 4_000_000
+# Headers that make a request work; two of them are credentials.
+KEPT_HEADERS = ("content-type", "accept", "origin", "referer", "authorization", "x-api-key")
+CREDENTIALS = ("authorization", "x-api-key")
 
 
-SECRET = r"(?i)^(authorization|cookie|x-api-key|.*token.*|.*secret.*)$"
-KEPT_HEADERS = ("accept", "content-type", "origin", "referer", "x-requested-with", "user-agent")
+def redacted(headers: Column) -> Column:
+    """Headers fit to be shown, names in lower case: those that make a request work, credentials as a placeholder, the rest gone."""
+    entries = F.map_entries(headers)
 
+    def value(name: str) -> Column:
+        v = F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
+        return F.when(v.isNotNull(), F.concat(F.when(F.startswith(v, F.lit("Bearer ")), "Bearer ").otherwise(""), F.lit("{{token}}"))) if name in CREDENTIALS else v
 
-def redacted(headers: Column) -> Column:
-    """Headers fit to be shown: the harmless ones as they are, credentials as a placeholder, the rest gone."""
-    some = F.map_filter(headers, lambda k, v: F.lower(k).isin(*KEPT_HEADERS) | k.rlike(SECRET))
-    return F.transform_values(some, lambda k, v: F.when(k.rlike(SECRET), F.lit("{{token}}")).otherwise(v))
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), value(n).alias("value")) for n in KEPT_HEADERS])
+    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))

@@ -14,7 +14,7 @@ def normalise(raw: DataFrame, sources: DataFrame, taxonomy: Taxonomy, now_ms: in
 
     Tags come last in the plan; drop rows before they are needed and they are never computed.
     """
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), "institution", "homepage", "static_tags"))
+    s = sources.select(F.col("id").alias("source_id"), "institution", "homepage", "static_tags")
     j = raw.join(s, "source_id")
     exact = F.udf(urls.canonical, "string", useArrow=True)(F.col("url"), F.col("homepage"))
     absolute = F.udf(urls.absolute, "string", useArrow=True)(F.col("url"), F.col("homepage"))

@@ -33,6 +33,11 @@ def tombstones(items: DataFrame, pruned: DataFrame, cutoff_ms, now_ms) -> DataFr
     return pruned.union(new).groupBy("canonical_hash").agg(F.min("pruned_at").alias("pruned_at"))
 
 
+def swept_count(item_tags: DataFrame, items: DataFrame) -> DataFrame:
+    """How many tags a sweep removes."""
+    return item_tags.join(items.select("item_id"), "item_id", "left_anti").agg(F.count("*").alias("orphans"))
+
+
 def swept(item_tags: DataFrame, items: DataFrame) -> DataFrame:
     return item_tags.join(items.select("item_id"), "item_id", "left_semi")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.regexes import compiled
+from tidemark.lineage import settled
 
 
 def newest_per_source(fresh: DataFrame, take: Column) -> DataFrame:
@@ -66,10 +67,11 @@ def child_sitemaps(children: DataFrame, most: int = 5) -> DataFrame:
 def numbered(rows: DataFrame, after: int, *order) -> DataFrame:
     """item_id from after + 1 on in arrival order, without gaps and without one large sort in one task.
 
-    Rows are range-partitioned by the order; each partition's rows follow those of the ones before.
+    Rows are range-partitioned by the order; each partition's rows follow those of the ones before. They are
+    saved with their places, as two evaluations of the plan needn't partition alike.
     """
     ranged = rows.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).sortWithinPartitions(*order)
-    local = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
+    local = settled(ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)))
     sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return local.join(F.broadcast(starts), "__part").withColumn("item_id", F.lit(after) + 1 + F.col("__start") + F.col("__at")).drop("__id", "__part", "__at", "__start")

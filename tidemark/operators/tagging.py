@@ -82,7 +82,7 @@ def all_tags(taxonomy: Taxonomy, title: Column, summary: Column, categories: Col
 
 def retag(items: DataFrame, sources: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """items with tags made anew; items of sources that are gone have no static tags."""
-    static = F.broadcast(sources.select(F.col("id").alias("source_id"), "static_tags"))
+    static = sources.select(F.col("id").alias("source_id"), "static_tags")
     joined = items.drop("tags").join(static, "source_id", "left")
     return joined.withColumn("tags", all_tags(taxonomy, F.col("title"), F.col("summary"), F.col("native_categories"), F.col("static_tags"))).select(*items.columns)
 
@@ -90,5 +90,5 @@ def retag(items: DataFrame, sources: DataFrame, taxonomy: Taxonomy) -> DataFrame
 def unmapped(items: DataFrame, native: DataFrame, top: int = 25) -> DataFrame:
     """category, n: the most frequent categories that the map lacks; ties by name."""
     seen = items.select(F.explode("native_categories").alias("category"))
-    lacking = seen.withColumn("category_key", category_key(F.col("category"))).join(F.broadcast(native.select("category_key")), "category_key", "left_anti")
+    lacking = seen.withColumn("category_key", category_key(F.col("category"))).join(native.select("category_key"), "category_key", "left_anti")
     return lacking.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(top)

@@ -10,12 +10,18 @@ RULES = r"""list_filter([
     CASE WHEN regexp_matches(hay, '\+\d|@\w', 'i') THEN 'theme:contact' END,
     CASE WHEN NOT regexp_matches(hay, '\d|[#|*]', 'i') THEN 'theme:plain' END], lambda x: x IS NOT NULL)"""
 
+_BARE = r"regexp_replace(regexp_replace(regexp_replace({col}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "''")):
+    _BARE = f"regexp_replace({_BARE}, '(?i){_entity}', '{_char}', 'g')"
+_FLAT = rf"trim(regexp_replace({_BARE}, '[\s\x{{{{00a0}}}}\x{{{{0b}}}}]+', ' ', 'g'))"
+EXCERPT = f"list_transform([{_FLAT}], lambda t: CASE WHEN t = '' THEN NULL WHEN length(t) > 400 THEN rtrim(substr(t, 1, 399)) || '…' ELSE t END)[1]"
+
 ARTICLES = f"""a0 AS (
     SELECT doc_id AS item_id, source || '-' || lang AS source_id, source AS institution, lang,
-           substr(trim(split_part(text, chr(10), 1)), 1, 120) AS title, substr(text, 1, 400) AS summary,
+           trim(split_part(text, chr(10), 1)) AS title, {EXCERPT.format(col="text")} AS summary,
            CAST({START} + doc_id * {HOUR} AS BIGINT) AS published_at, doc_id % 5 < 2 AS date_estimated,
            CAST({START} + doc_id * {HOUR} + {DAY} AS BIGINT) AS first_seen_at, n_chars FROM documents),
-  a1 AS (SELECT *, title || chr(10) || summary AS hay FROM a0),
+  a1 AS (SELECT *, title || chr(10) || coalesce(summary, '') AS hay FROM a0),
   a2 AS (SELECT *, {RULES} AS themes FROM a1),
   a AS (SELECT *, list_sort(list_concat([CASE WHEN n_chars > 2000 THEN 'type:long' ELSE 'type:short' END, 'region:' || lang], themes)) AS tags FROM a2),
   now AS (SELECT max(published_at) + 1 AS ms FROM a)"""
@@ -59,7 +65,7 @@ SQL = {
     "panel_page_oldest": _page(f"{SINCE} AND {REGION} AND {LONG}", 20, "ASC"),
     "panel_cursor_page2": _page(f"date_estimated OR published_at < {START + 500 * HOUR} OR (published_at = {START + 500 * HOUR} AND item_id < 500)", 20),
     "panel_since_7d": _page(f"published_at >= (SELECT ms FROM now) - {7 * DAY}", 50),
-    "panel_search_literal": _page("contains(lower(title), 'the_%') OR contains(lower(summary), 'the_%')", 50),
+    "panel_search_literal": _page("contains(title, '%') OR contains(summary, '%')", 50),
     "panel_search": _page("contains(lower(title), 'license') OR contains(lower(summary), 'license')", 50),
     "panel_institution_in": _page("institution IN ('src1', 'src2')", 50),
     "panel_tags_or_within_and_across": _page("list_has_any(tags, ['region:fr', 'region:es']) AND list_contains(tags, 'theme:plain')", 50),
@@ -115,7 +121,14 @@ SQL = {
         SELECT event_id, source_id FROM r WHERE b < 3""",
     "sitemap_include_exclude": r"SELECT page_id FROM pages WHERE regexp_matches(url, '/EN/\d|\.example\.net/', 'i') AND NOT regexp_matches(url, 'spam|\?page=', 'i')",
     "sitemap_newest": f"""WITH {URLS}, r AS (SELECT page_id AS source_pos, canonical_hash, row_number() OVER (ORDER BY (page_id * 37) % 101 DESC, page_id) AS rank FROM uh WHERE regexp_matches(url, '/en/', 'i'))
-        SELECT source_pos, rank FROM r x WHERE rank <= 100 AND NOT EXISTS (SELECT 1 FROM r y WHERE y.canonical_hash = x.canonical_hash AND y.rank < x.rank)""",
+        SELECT source_pos, rank FROM r x WHERE rank <= 5000 AND NOT EXISTS (SELECT 1 FROM r y WHERE y.canonical_hash = x.canonical_hash AND y.rank < x.rank)""",
+    "insert_decisions": f"""WITH {TITLED}, x AS (SELECT pos, institution, title_key, published_at AS ms, sha256(concat_ws('|', institution, title_key, CAST(pos % 2 AS VARCHAR))) AS h, CASE pos % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS o FROM t),
+        g AS (SELECT institution, title_key, list_sort(list({{'o': o, 'pos': pos, 'ms': ms, 'h': h, 'named': title_key <> ''}})) AS l FROM x GROUP BY ALL),
+        f AS (SELECT list_reduce(l, lambda acc, r: list_append(acc, {{'pos': r.pos, 'ms': r.ms, 'h': r.h, 'd': CASE WHEN r.o = 0 THEN 'stored' WHEN r.o = 1 THEN 'pruned'
+            WHEN len(list_filter(acc, lambda y: y.h = r.h AND y.d IN ('stored', 'pruned', 'inserted'))) > 0 THEN 'duplicate_url'
+            WHEN r.named AND len(list_filter(acc, lambda y: y.d IN ('stored', 'inserted') AND abs(y.ms - r.ms) <= {7 * DAY})) > 0 THEN 'duplicate_title' ELSE 'inserted' END}}),
+            CAST([] AS STRUCT(pos BIGINT, ms BIGINT, h VARCHAR, d VARCHAR)[])) AS l FROM g),
+        u AS (SELECT unnest(l) AS r FROM f) SELECT r.pos AS pos, r.d AS decision FROM u WHERE r.d NOT IN ('stored', 'pruned')""",
     "tag_rules": f"WITH {ARTICLES} SELECT item_id, array_to_string(list_sort(themes), ',') AS tags FROM a",
     "tag_native_map": f"WITH {ARTICLES} SELECT item_id, CASE WHEN lang IN ('en', 'fr', 'de') THEN 'region:' || lang ELSE '' END AS tags FROM a",
     "tag_union_sorted": f"WITH {ARTICLES} SELECT item_id, array_to_string(list_sort(list_concat(['scope:macro'], CASE WHEN lang IN ('en', 'fr', 'de') THEN ['region:' || lang] ELSE [] END, themes)), ',') AS tags FROM a",
@@ -134,13 +147,7 @@ SQL = {
     "orphan_tags": f"WITH {ARTICLES} SELECT item_id, unnest(list_distinct(tags)) AS tag FROM a WHERE item_id % 4 = 0",
     "source_upsert": """SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS institution, CASE WHEN c_custkey % 3 <> 1 THEN c_name || '!' ELSE c_name END AS name, c_custkey % 3 <> 1 AS in_config,
         CASE WHEN c_custkey % 3 <> 0 THEN 'ok' END AS last_status, CAST(CASE WHEN c_custkey % 3 <> 0 THEN 2 ELSE 0 END AS INT) AS consecutive_failures FROM customer""",
-    "field_match_rates": r"""WITH p AS (SELECT page_id, url, substr(html, 1, 200) AS html FROM pages),
-        s AS (SELECT url, list_filter(string_split(regexp_extract(url, '^(?i:https?)://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')[-1] AS slug FROM p),
-        c AS (SELECT url, coalesce(trim(regexp_replace(regexp_replace(slug, '\.(html?|aspx|php)$', '', 'i'), '[-_]+', ' ', 'g')), '') AS c FROM s),
-        r AS (SELECT 'url' AS key, url AS t FROM p UNION ALL SELECT 'html', html FROM p UNION ALL SELECT 'headline', CASE WHEN c = '' THEN url ELSE upper(substr(c, 1, 1)) || substr(c, 2) END FROM c),
-        k AS (SELECT key, trim(t) AS t, regexp_matches(trim(t), '^(https?://|/[^/\s])') AND NOT contains(t, ' ') AS u FROM r)
-        SELECT key, avg(u::INT) AS url_rate, avg((length(t) BETWEEN 12 AND 300 AND regexp_matches(t, '\s') AND NOT u AND NOT regexp_matches(t, '^[{\[<]'))::INT) AS title_rate, avg((length(t) > 60)::INT) AS summary_rate FROM k GROUP BY key""",
-    "record_score": r"""WITH c AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, trim(substr(text, 1, 80)) AS t FROM conversations WHERE true),
+    "record_score": r"""WITH c AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, trim(text) AS t FROM conversations WHERE true),
         k AS (SELECT conv_id, n, turn, (regexp_matches(t, '^(https?://|/[^/\s])') AND NOT contains(t, ' ')) AS u, t FROM c WHERE turn < 20),
         s AS (SELECT conv_id, max(n) AS n, count(DISTINCT turn) AS urls, count(DISTINCT CASE WHEN length(t) BETWEEN 12 AND 300 AND regexp_matches(t, '\s') AND NOT u AND NOT regexp_matches(t, '^[{\[<]') THEN turn END) AS titles FROM k GROUP BY conv_id)
         SELECT CAST(conv_id AS VARCHAR) AS call, round(CASE WHEN titles = 0 THEN 0.0 ELSE 3.0 * urls / least(n, 20) + 3.0 * titles / least(n, 20) + least(n / 20.0, 1.0) END, 6) AS score FROM s""",
@@ -148,4 +155,6 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from tidemark import landed_oracles
+
+    return SQL | landed_oracles.SQL

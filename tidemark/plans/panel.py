@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import contains_text
 from tidemark.model import SINCE_MS, Cursor, ItemQuery, facet_of
+from tidemark.operators import health
 
 
 def _all(parts: list[Column]) -> Column:
@@ -120,6 +121,18 @@ def answer(items: DataFrame, query: ItemQuery, now_ms: int, facet_values: DataFr
     return Page(rows, cursor, total(items, query, now_ms).first()[0], institution_facet(items, query, now_ms), tag_facets(items, query, now_ms, facet_values))
 
 
+def taxonomy_answer(taxonomy) -> dict:
+    """The declared facets, in order, as a reader gets them."""
+    return {"facets": [{"id": f, "label": label, "values": list(values)} for f, label, values in taxonomy.facets]}
+
+
+def health_answer(sources: DataFrame, items: DataFrame) -> dict:
+    """How the active sources fare, a row each, with totals and the number of broken ones."""
+    rows = [r.asDict(True) for r in health.health_rows(sources).collect()]
+    n, last = corpus_totals(items).first()
+    return {"sources": rows, "total_items": n, "last_ingest_at": last, "broken": sum(r["broken"] for r in rows)}
+
+
 def corpus_totals(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total_items"), F.max("first_seen_at").alias("last_ingest_at"))
 

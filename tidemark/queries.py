@@ -41,7 +41,7 @@ def articles(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame
     at = F.lit(START) + F.col("doc_id") * HOUR
     out = d.select(
         F.col("doc_id").alias("item_id"), F.concat_ws("-", "source", "lang").alias("source_id"), F.col("source").alias("institution"),
-        F.substring(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), 1, 120).alias("title"), F.substring("text", 1, 400).alias("summary"),
+        F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), text.excerpt(F.col("text")).alias("summary"),
         at.alias("published_at"), (F.col("doc_id") % 5 < 2).alias("date_estimated"), (at + DAY_MS).alias("first_seen_at"),
         F.array("lang").alias("native_categories"), F.when(F.col("n_chars") > 2000, "type:long").otherwise("type:short").alias("kind"),
     )
@@ -234,7 +234,7 @@ def sitemap_include_exclude(spark, sf_dir):
 
 def sitemap_newest(spark, sf_dir):
     rows = _url_rows(spark, sf_dir).select(F.lit("all").alias("source_id"), F.col("url").alias("loc"), ((F.col("page_id") * 37) % 101).alias("date_key"), F.col("page_id").alias("source_pos"), "canonical_hash")
-    return rations.sitemap_candidates(rows, [r"/en/"], [], 100).select("source_pos", F.col("rank").cast("long").alias("rank"))
+    return rations.sitemap_candidates(rows, [r"/en/"], []).select("source_pos", F.col("rank").cast("long").alias("rank"))
 
 
 def insert_decisions(spark, sf_dir):
@@ -358,21 +358,12 @@ def source_upsert(spark, sf_dir):
 # Discovery.
 
 
-def field_match_rates(spark, sf_dir):
-    """Rates of url-like, title-like and long texts over the fields of pages, as records of one answer."""
-    p = _t(spark, sf_dir, "pages")
-    cols = F.explode(F.array(F.struct(F.lit("url").alias("key"), F.col("url").alias("text")), F.struct(F.lit("html").alias("key"), F.substring("html", 1, 200).alias("text")), F.struct(F.lit("headline").alias("key"), urls.title_from_url(F.col("url")).alias("text"))))
-    rows = p.select(cols.alias("f")).select("f.*")
-    s = text.shapes(F.col("text"))
-    return rows.groupBy("key").agg(F.avg(s["url"].cast("double")).alias("url_rate"), F.avg(s["title"].cast("double")).alias("title_rate"), F.avg((F.length(F.trim("text")) > 60).cast("double")).alias("summary_rate"))
-
-
 def record_score(spark, sf_dir):
     """conversations as interfaces that each return their turns: how much like articles they are."""
     c = _t(spark, sf_dir, "conversations").withColumn("size", F.count("*").over(Window.partitionBy("conv_id")))
     rows = c.select(
         F.col("conv_id").cast("string").alias("call"), F.lit("turns").alias("path"), F.lit(0).alias("rank"), F.col("turn").cast("int").alias("record"), "size",
-        F.explode(F.array(F.struct(F.lit("title").alias("key"), F.substring("text", 1, 80).alias("text")), F.struct(F.lit("link").alias("key"), F.concat(F.lit("/t/"), F.col("turn").cast("string")).alias("text")))).alias("f"),
+        F.explode(F.array(F.struct(F.lit("title").alias("key"), F.col("text").alias("text")), F.struct(F.lit("link").alias("key"), F.concat(F.lit("/t/"), F.col("turn").cast("string")).alias("text")))).alias("f"),
     ).select("call", "path", "rank", "record", "size", "f.*").withColumns({"is_number": F.lit(False), "is_text": F.lit(True), "has_texts": F.lit(False)})
     return discover.record_scores(rows, F.lit(START).cast("long")).select("call", F.round("score", 6).alias("score"))
 
@@ -383,7 +374,7 @@ def queries() -> dict:
         "panel_page_oldest": _panel(SELECTED.but(sort="oldest")),
         "panel_cursor_page2": _panel(ItemQuery(since="all", limit=20, cursor=f"0.{START + 500 * HOUR}.500")),
         "panel_since_7d": _panel(ItemQuery(limit=50)),
-        "panel_search_literal": _panel(ItemQuery(q="THE_%", since="all", limit=50)),
+        "panel_search_literal": _panel(ItemQuery(q="%", since="all", limit=50)),
         "panel_search": _panel(ItemQuery(q="License", since="all", limit=50)),
         "panel_institution_in": _panel(ItemQuery(institutions=("src1", "src2"), since="all", limit=50)),
         "panel_tags_or_within_and_across": _panel(ItemQuery(tags=("region:fr", "region:es", "theme:plain"), since="all", limit=50)),
@@ -393,6 +384,8 @@ def queries() -> dict:
         panel_total, facet_institution, facet_tags_self_excluded, facet_zero_fill, corpus_totals, items_with_source_name, item_tags_exploded, item_tags_joined, tags_semi_join, url_canonical, url_canonical_exact,
         url_canonical_hash, url_exact_dedupe, title_key, display_title, excerpt, title_from_url, url_origin, json_path_props, date_parse_classes, age_labels, robots_allowed, newest_n_per_source, ration_held, known_hash_anti,
         unseen_per_source, near_duplicate_band_join, near_duplicate_greedy, undated_ration, sitemap_include_exclude, sitemap_newest, insert_decisions, tag_rules, tag_native_map, tag_union_sorted, retag_by_source, unmapped_top25,
-        untagged_items, due_sources, health_rows, broken_count, failure_streak, prune_preview, prune_by_institution, prune_kept, prune_tombstones, orphan_tags, source_upsert, field_match_rates, record_score,
+        untagged_items, due_sources, health_rows, broken_count, failure_streak, prune_preview, prune_by_institution, prune_kept, prune_tombstones, orphan_tags, source_upsert, record_score,
     )
-    return q | {f.__name__: f for f in own}
+    from tidemark import landed_queries
+
+    return q | {f.__name__: f for f in own} | landed_queries.queries()

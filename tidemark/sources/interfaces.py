@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import sort_ms
 from tidemark.functions.paths import as_string, as_strings, get_path
 from tidemark.functions.text import excerpt
+from tidemark.operators.rations import newest_records
+
+#: Items that one run takes from an interface.
+MOST_NEW = 25
 
 
 def records(landed: DataFrame, items_path: str) -> DataFrame:
@@ -18,6 +25,22 @@ def records(landed: DataFrame, items_path: str) -> DataFrame:
     return found.select("source_id", "page", F.col("items").isNull().alias("bad"), F.coalesce(F.size("items"), F.lit(0)).alias("size"), F.posexplode_outer("items").alias("pos", "record"))
 
 
+def json_problems(landed: DataFrame, items_path: str) -> DataFrame:
+    """source_id, page, error: pages that are no JSON, or whose items path leads to no array."""
+    payload = F.try_parse_json("body")
+    found = F.try_variant_get(get_path(payload, items_path), "$", "array<variant>")
+    error = F.when(payload.isNull(), "not JSON").when(found.isNull(), F.lit(f"items_path {items_path or '(root)'} is not an array"))
+    return landed.select("source_id", "page", error.alias("error")).filter("error is not null")
+
+
+def newest(rows: DataFrame, now_ms: int, most: int = MOST_NEW) -> DataFrame:
+    """Of a source with more than most raw items, the most recent, in that order; undated ones come last."""
+    keyed = rows.withColumn("date_key", sort_ms(F.col("published_raw"), F.lit(now_ms).cast("long"), F.col("published_kind")))
+    over = keyed.withColumn("__n", F.count("*").over(Window.partitionBy("source_id")))
+    ranked = newest_records(over, most)
+    return ranked.withColumn("source_pos", F.when(F.col("__n") > most, F.col("rank") - 1).otherwise(F.col("source_pos")).cast("long")).drop("__n", "rank", "date_key")
+
+
 def json_items(landed: DataFrame, items_path: str, fields: dict, page_size: int | None = None) -> DataFrame:
     """Raw items in page order, each url once; pages after an empty, a short or a useless one don't count.
 
@@ -36,7 +59,8 @@ def json_items(landed: DataFrame, items_path: str, fields: dict, page_size: int
         F.lit(False).alias("date_is_weak"), categories.alias("categories"),
     )
     good = F.col("url").isNotNull() & F.col("title").isNotNull()
-    first = Window.partitionBy("source_id", "url").orderBy("page", "pos")
+    # A record without url or title doesn't make its url known.
+    first = Window.partitionBy("source_id", "url", good).orderBy("page", "pos")
     out = out.withColumn("__use", good & (F.row_number().over(first) == 1))
     pages = out.groupBy("source_id", "page").agg(F.count_if("__use").alias("__usable"), F.max("size").alias("__size"))
     ends = (F.col("__usable") == 0) | (F.lit(False) if page_size is None else F.col("__size") < page_size)
@@ -58,7 +82,20 @@ def offsets(page_size: int, pages: int) -> list[int]:
     return [page * page_size for page in range(pages)]
 
 
-def token(page: str, pattern: str) -> str | None:
-    """What the pattern's first group finds in a page that hands out short-lived keys."""
-    m = re.search(pattern, page)
-    return m[1] if m and m.groups() else None
+class AuthError(ValueError):
+    """A token that can't be had."""
+
+
+def token(auth: dict, page: str | None = None, env: Mapping[str, str] = os.environ) -> str | None:
+    """The token of an interface: none, a variable of the environment, or the first group of a pattern over a page."""
+    kind = auth.get("kind", "none")
+    if kind == "none":
+        return None
+    if kind == "env":
+        if not env.get(auth["var"]):
+            raise AuthError(f"{auth['var']} is not set")
+        return env[auth["var"]]
+    m = re.search(auth["token_regex"], page or "")
+    if not m or not m.groups() or not m[1]:
+        raise AuthError(f"no token on {auth.get('page_url', 'the page')}")
+    return m[1]

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import parse_date
 from tidemark.functions.python import arrow
 from tidemark.functions.urls import absolute
 
@@ -24,6 +25,7 @@ DATE_META = (
     ("property", "article:published_time"), ("name", "article:published_time"), ("itemprop", "datePublished"), ("name", "date"),
     ("name", "publish-date"), ("name", "pubdate"), ("name", "dc.date"), ("name", "DC.date.issued"),
 )
+# Names of meta tags that state a date of publication, and that state another one.
 _DATE_NAME = re.compile(r"pub[-_.]?(lish|date)|date[-_.]?(published|posted|created)")
 _NOT_DATE = re.compile(r"modif|updat|revis|expir")
 MOST_CATEGORIES = 20
@@ -134,16 +136,17 @@ def listing_items(landed: DataFrame, selectors: dict) -> DataFrame:
     )
 
 
-def article_items(entries: DataFrame, bodies: DataFrame) -> DataFrame:
+def article_items(entries: DataFrame, bodies: DataFrame, now_ms: int) -> DataFrame:
     """Raw items of sitemap entries (source_id, source_pos, loc, lastmod) with their pages (url, body).
 
-    A page's own date is believed; the sitemap's stands in, marked weak. Title from the address at worst.
+    A page's own date is believed if it is plausible; the sitemap's stands in, marked weak. Title from the
+    address at worst.
     """
     from tidemark.functions.urls import title_from_url
 
     own = bodies.select(F.col("url").alias("loc"), meta("body").alias("m"), "body")
     j = entries.join(own, "loc")
-    dated = F.udf(lambda s: when(s) is not None, "boolean", useArrow=True)(F.col("m.published_raw"))
+    dated = F.coalesce(~parse_date(F.col("m.published_raw"), F.lit(now_ms).cast("long"))["estimated"], F.lit(False))
     return j.select(
         "source_id", "source_pos", F.col("loc").alias("url"), F.coalesce("m.title", title_from_url(F.col("loc"))).alias("title"), "m.summary",
         F.when(dated, F.col("m.published_raw")).otherwise(F.coalesce("lastmod", "m.published_raw")).alias("published_raw"), F.lit("string").alias("published_kind"), (~dated).alias("date_is_weak"), "m.categories",

@@ -33,6 +33,6 @@ def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     path = F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^#]*)", 1)
     keyed = urls.withColumn("__o", origin(F.col(url))).withColumn("__p", F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)))
     compiled = rules.select(F.col("origin").alias("__o"), F.col("allow"), F.length("path").alias("__len"), F.udf(robots_pattern, "string", useArrow=True)("path").alias("__re"))
-    hit = keyed.select(url, "__o", "__p").distinct().join(F.broadcast(compiled), "__o").filter(F.expr("__p rlike __re"))
+    hit = keyed.select(url, "__o", "__p").distinct().join(compiled, "__o").filter(F.expr("__p rlike __re"))
     best = hit.groupBy(url).agg(F.max(F.struct("__len", "allow")).alias("best")).select(url, F.col("best.allow").alias("__allow"))
     return keyed.join(best, url, "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__o", "__p", "__allow")

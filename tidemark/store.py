@@ -1,4 +1,4 @@
-"""Tables as Parquet snapshots: a write is a new folder and one small pointer file, so readers see all of it or none."""
+"""Tables as lists of Parquet folders: a write is a new folder and one small pointer file, so readers see all of it or none."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import model
-from tidemark.operators import dedupe, health, prune, rations
+from tidemark.operators import dedupe, health, ingest, prune, rations
 
 SCHEMAS = {"items": model.ITEMS, "sources": model.SOURCES, "seen_urls": model.SEEN_URLS, "pruned_urls": model.PRUNED_URLS, "fetches": model.FETCHES}
-VERSION = 2
+#: 3: a table is a list of folders; it was one folder in version 2, which is still read and replaced by the next write.
+VERSION = 3
 
 
 class Store:
@@ -41,7 +42,7 @@ class Store:
         finally:
             stream.close()
 
-    def _point(self, tables: dict[str, str]) -> None:
+    def _point(self, tables: dict[str, list[str]]) -> None:
         """One rename makes all of the tables current together."""
         state = {"version": VERSION, "tables": self._state().get("tables", {}) | tables}
         new, fs, jvm = self._fs(f"{self.root}/_state.{uuid.uuid4().hex}")
@@ -54,23 +55,34 @@ class Store:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         ctx.rename(new, target, options)
 
+    def _folders(self, name: str) -> list[str]:
+        at = self._state().get("tables", {}).get(name, [])
+        return [at] if isinstance(at, str) else at  # version 2 had one folder a table
+
     def read(self, name: str) -> DataFrame:
-        at = self._state().get("tables", {}).get(name)
-        if at is None:
+        folders = self._folders(name)
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{at}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def _put(self, name: str, df: DataFrame) -> str:
+        path = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return path
+
+    def change(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None) -> None:
+        """Adds a folder to some tables and replaces others, all or none: what a batch writes is its own size, not the table's."""
+        folders = {name: [*self._folders(name), self._put(name, df)] for name, df in (append or {}).items()}
+        self._point(folders | {name: [self._put(name, df)] for name, df in (replace or {}).items()})
 
     def write(self, **tables: DataFrame) -> None:
         """Replaces the tables, all or none."""
-        paths = {}
-        for name, df in tables.items():
-            paths[name] = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{paths[name]}")
-        self._point(paths)
-
-    def compact(self) -> int:
-        """Removes snapshots that are not current; the number removed. Not while others read them."""
-        current = set(self._state().get("tables", {}).values())
+        self.change(replace=tables)
+
+    def compact(self, most: int = 32) -> int:
+        """Rewrites tables of more than most folders as one, and removes folders that no table has; the number removed. Not while others read them."""
+        self.write(**{name: self.read(name) for name in SCHEMAS if len(self._folders(name)) > most})
+        current = {f for name in SCHEMAS for f in self._folders(name)}
         gone = 0
         for name in SCHEMAS:
             p, fs, _ = self._fs(f"{self.root}/{name}")
@@ -100,14 +112,24 @@ class Store:
         last = items.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
         new = rations.numbered(decided.filter("decision = 'inserted'"), last, "pos")
         new = new.withColumn("first_seen_at", F.lit(now_ms).cast("long")).withColumn("tags", F.array_sort(F.array_distinct("tags")))
-        self.write(items=items.unionByName(new.select(*items.columns)))
-        found = dedupe.stats(decided)
-        return found
+        self.change(append={"items": new.select(*items.columns)})
+        return dedupe.stats(decided)
+
+    def ingest(self, landed: DataFrame, taxonomy, now_ms: int) -> DataFrame:
+        """One run over landed bodies: stores what is new, marks what was visited, records how sources fared; returns the outcomes.
+
+        Items, visits and the registry change together.
+        """
+        items, seen = self.read("items"), self.read("seen_urls")
+        found = ingest.run(landed, self.read("sources"), items, self.read("pruned_urls"), seen, taxonomy, now_ms)
+        last = items.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
+        new = rations.numbered(found.items, last, "pos").withColumn("first_seen_at", F.lit(now_ms).cast("long"))
+        new = new.withColumn("tags", F.array_sort(F.array_distinct("tags"))).select(*items.columns)
+        self.change({"items": new, "seen_urls": dedupe.seen_after(seen, found.visited, now_ms)}, {"sources": health.record_fetches(self.read("sources"), found.fetches)})
+        return found.outcomes
 
     def mark_seen(self, rows: DataFrame, now_ms: int) -> None:
-        seen = self.read("seen_urls")
-        new = dedupe.unseen(rows.select("source_id", "canonical_hash").distinct(), seen).withColumn("seen_at", F.lit(now_ms).cast("long"))
-        self.write(seen_urls=seen.unionByName(new.select(*seen.columns)))
+        self.change(append={"seen_urls": dedupe.seen_after(self.read("seen_urls"), rows, now_ms)})
 
     def record(self, fetches: DataFrame) -> None:
         self.write(sources=health.record_fetches(self.read("sources"), fetches))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import model
 from tidemark.operators.dedupe import WINDOW_MS
+from tidemark.operators.health import run_summary
 from tidemark.operators.normalise import normalise, usable
 from tidemark.operators.tagging import Taxonomy
 from tidemark.store import Store
@@ -34,6 +35,26 @@ def run(spark: SparkSession, store: Store, taxonomy: Taxonomy, landing: str, che
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def ingest(spark: SparkSession, store: Store, taxonomy: Taxonomy, landing: str, checkpoint: str, clock: Callable[[], int], every: str | None = "60 seconds", compact_every: int = 100):
+    """The loop from landed bodies (model.LANDED) on: each micro-batch is a run over the sources that it has bodies of."""
+    landed = spark.readStream.schema(model.LANDED).parquet(landing)
+
+    def step(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            store.ingest(batch, taxonomy, clock())
+            if number % compact_every == compact_every - 1:
+                store.compact()
+
+    writer = landed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def once(spark: SparkSession, store: Store, taxonomy: Taxonomy, landed: DataFrame, now_ms: int) -> tuple[DataFrame, int]:
+    """One run whatever the clock: its outcomes, and what a command would exit with, 1 if any source is broken."""
+    outcomes = store.ingest(landed, taxonomy, now_ms)
+    return outcomes, int(run_summary(outcomes).first()["broken"] > 0)
+
+
 def fresh_only(stream: DataFrame, store: Store) -> DataFrame:
     """A stream's rows whose hash is neither stored nor pruned: a stream-to-static anti-join."""
     from tidemark.operators.dedupe import not_known
