@@ -251,11 +251,12 @@ def test_records_are_found(spark):
     r = discover.candidates(spark.createDataFrame([("https://x/api", 200, body), ("https://x/no", 500, body), ("https://x/t", 200, "no json")], "url string, status int, body string"), F.lit(NOW)).collect()
     assert len(r) == 1 and (r[0].path, r[0].best_url, r[0].best_title, r[0].best_published_at, r[0].best_summary, r[0].best_categories) == ("data.hits", "raw.link", "raw.headline", "raw.posted", "raw.teaser", "raw.tags")
     assert discover.suggestion("https://x/insights", r, [], [], [])["items_path"] == "data.hits"
-    assert discover.suggestion("https://x/insights/", [], [], [{"url": "s", "matching": 2}], [])["include"] == ["insights"]
+    assert discover.suggestion("https://x/insights/", [], [], [{"url": "s", "matching": 2}], [])["include"] == ["/insights/"]
+    assert discover.suggestion("https://x/", [], [], [], []) is None and discover.config_text("https://x/", None) is None
 
 
 def test_headers_are_redacted(spark):
     h = spark.createDataFrame([({"Accept": "a", "Authorization": "Bearer 1", "X-Odd": "2"},)], "h map<string,string>").select(discover.redacted(F.col("h"))).first()[0]
-    assert h == {"Accept": "a", "Authorization": "{{token}}"}
+    assert h == {"accept": "a", "authorization": "Bearer {{token}}"}
 
 

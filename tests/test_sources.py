@@ -51,7 +51,7 @@ def test_article_meta(spark):
     assert pages.article_meta(None) == {"title": None, "summary": None, "published_raw": None, "categories": []}
     entries = spark.createDataFrame([("s", 0, "https://e.com/a-b", "2024-01-01"), ("s", 1, "https://e.com/c-d.html", "2024-01-02")], "source_id string, source_pos long, loc string, lastmod string")
     bodies = spark.createDataFrame([("https://e.com/a-b", PAGE), ("https://e.com/c-d.html", "<p>")], "url string, body string")
-    a, b = pages.article_items(entries, bodies).orderBy("source_pos").collect()
+    a, b = pages.article_items(entries, bodies, 1_790_000_000_000).orderBy("source_pos").collect()
     assert (a.title, a.published_raw, a.date_is_weak) == ("The title", "2024-05-01", False) and (b.title, b.published_raw, b.date_is_weak) == ("C d", "2024-01-02", True)
 
 
@@ -75,7 +75,25 @@ def test_json_pages(spark):
     df = landed(spark, body).union(landed(spark, '{"r": [{"u": "/3", "t": "Three", "d": "2024-05-01", "c": []}]}', page=1)).union(landed(spark, '{"r": [{"u": "/4", "t": "Four"}]}', page=2))
     rows = interfaces.json_items(df, "r", {"url": "u", "title": "t", "published_at": "d", "categories": "c[].n"}, page_size=3).orderBy("source_pos").collect()
     assert [(r.url, r.title, r.published_kind, r.categories) for r in rows] == [("/1", "One", "number", ["x", "y"]), ("/3", "Three", "string", [])]
-    assert interfaces.records(landed(spark, '{"r": 1}'), "r").first().bad and interfaces.offsets(10, 3) == [0, 10, 20] and interfaces.token("k='abc'", r"k='(\w+)'") == "abc"
+    assert interfaces.records(landed(spark, '{"r": 1}'), "r").first().bad and interfaces.offsets(10, 3) == [0, 10, 20] 
+    assert interfaces.token({"kind": "from_page", "token_regex": r"k='(\w+)'"}, "k='abc'") == "abc" and interfaces.token({}) is None and interfaces.token({"kind": "env", "var": "V"}, env={"V": "x"}) == "x"
+    for auth in ({"kind": "env", "var": "V"}, {"kind": "from_page", "token_regex": "k=(x)"}):
+        with pytest.raises(interfaces.AuthError):
+            interfaces.token(auth, "k=y", {})
+
+
+def test_a_record_without_title_does_not_take_its_address(spark):
+    rows = interfaces.json_items(landed(spark, '[{"u": "/a"}, {"u": "/a", "t": "good"}]'), "", {"url": "u", "title": "t"}).collect()
+    assert [(r.url, r.title) for r in rows] == [("/a", "good")]
+    bad = landed(spark, '{"r": 1}').union(landed(spark, "no", page=1))
+    assert {r.error for r in interfaces.json_problems(bad, "r").collect()} == {"not JSON", "items_path r is not an array"}
+
+
+def test_implausible_own_dates_are_weak(spark):
+    entries = spark.createDataFrame([("s", 0, "https://e.com/a", "2024-01-01")], "source_id string, source_pos long, loc string, lastmod string")
+    body = spark.createDataFrame([("https://e.com/a", '<meta name="date" content="1970-05-01">')], "url string, body string")
+    r = pages.article_items(entries, body, 1_790_000_000_000).first()
+    assert (r.published_raw, r.date_is_weak) == ("2024-01-01", True)
 
 
 def test_robots(spark):

@@ -66,10 +66,12 @@ def display_title(title: Column, institution: Column) -> Column:
 
 def excerpt(html: Column, most: int = 400) -> Column:
     """Text of a piece of HTML, cut with an ellipsis; null where nothing is left."""
-    t = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
-    t = F.regexp_replace(t, "<[^>]+>", " ")
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+    t = F.when(F.contains(html, F.lit("<")), F.regexp_replace(bare, "<[^>]+>", " ")).otherwise(html)
+    plain = t
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'")):
         t = F.regexp_replace(t, f"(?i){entity}", char)
+    t = F.when(F.contains(html, F.lit("&")), t).otherwise(plain)
     t = collapse(t)
     cut = F.concat(F.regexp_replace(F.substring(t, 1, most - 1), f"[{_SPACE}]+$", ""), F.lit("…"))
     return F.when(t == "", None).when(F.length(t) > most, cut).otherwise(t)

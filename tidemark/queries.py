@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,25 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def articles(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
-    """documents as items."""
+    """documents as items: a stored table, as the engine has it, written once a program and folder.
+
+    Titles are first lines, summaries excerpts of whole texts, tags come from the rules over both.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        path = f"{root.rstrip('/')}/items-{uuid.uuid4().hex}"
+        _items(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    out = spark.read.parquet(_stored[key])
+    return out if tagged else out.drop("tags")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
     at = F.lit(START) + F.col("doc_id") * HOUR
     out = d.select(
@@ -45,8 +65,6 @@ def articles(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame
         at.alias("published_at"), (F.col("doc_id") % 5 < 2).alias("date_estimated"), (at + DAY_MS).alias("first_seen_at"),
         F.array("lang").alias("native_categories"), F.when(F.col("n_chars") > 2000, "type:long").otherwise("type:short").alias("kind"),
     )
-    if not tagged:
-        return out.drop("kind")
     themes = tagging.rule_tags(TAXONOMY.rules, tagging.haystack(F.col("title"), F.col("summary")))
     region = F.array(F.concat(F.lit("region:"), F.element_at("native_categories", 1)))
     return out.withColumn("tags", F.array_sort(F.concat(F.array("kind"), region, themes))).drop("kind")
