@@ -473,3 +473,165 @@ def test_word_hashes_tell_words_apart():
         for w, x in zip(words(t), own):
             assert by.setdefault(w.translate(LOWER), x) == x
     assert len(set(by.values())) == len(by)
+
+
+# What must not depend on sizes, names, partitions or other runs.
+
+
+def plain_grams(text):
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    code = f" {' '.join(low.split())} " if low.split() else " "
+    return [code[i : i + n] for n in language_id.ORDERS for i in range(len(code) - n + 1)]
+
+
+def gram_hash(gram):
+    h = np.full(1, len(gram), np.uint64)
+    for j, c in enumerate(gram):
+        h += np.full(1, ord(c), np.uint64) * language_id._STEPS[j]
+    return int(common.mix(h)[0])
+
+
+def test_language_as_plain_sets(spark, docs):
+    """Hits of each document counted one n-gram at a time with Python's sets; the filters' false positives are all that may differ."""
+    train = docs.filter(common.bucket_of("doc_id", 5) != 0)
+    counts = collections.defaultdict(collections.Counter)
+    for r in train.collect():
+        counts[r.lang].update(plain_grams(r.text))
+    n_docs = collections.Counter(r.lang for r in train.collect())
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in langs}
+    rate = {x: {g: c / total[x] for g, c in counts[x].items() if c >= max(1, min(language_id.LEAST_COUNT, language_id.LEAST_COUNT * n_docs[x] // language_id.LEAST_DOCS))} for x in langs}
+    top = collections.defaultdict(float)
+    for x in langs:
+        for g, v in rate[x].items():
+            top[g] = max(top[g], v)
+    own = {x: {g for g, v in rate[x].items() if v >= top[g] * language_id.SHARE} for x in langs}
+    usual = {x: sum(rate[x][g] for g in own[x]) for x in langs}
+    want = {}
+    for r in docs.collect():
+        grams = plain_grams(r.text)
+        want[r.doc_id] = {x: sum(g in own[x] for g in grams) / len(grams) / usual[x] for x in langs}
+    off = 0
+    for r in queries.op2_language_id(spark, DATA).collect():
+        shares = want[r.doc_id]
+        off += r.lang_pred != max(langs, key=lambda x: shares[x])
+        assert abs(r.score - min(1, max(shares.values()))) < 0.05
+    assert off <= 0.01 * len(want)
+
+
+def test_ngrams_run_over_windows():
+    texts = ["Größe und  Straße, 12 x!" * 30, "", "a", "日本 語"]
+    joined = lambda window: sorted((i, int(x)) for h, at in language_id.ngrams(texts, window) for i in range(len(texts)) for x in h[at[i] : at[i + 1]])
+    assert joined(7) == joined(1 << 18) == sorted((i, gram_hash(g)) for i, t in enumerate(texts) for g in plain_grams(t) if len(g) > 1 and any(map(str.isalpha, t)))
+
+
+def test_the_largest_share_decides():
+    a, b = ([gram_hash(g) for g in grams] for grams in ([" a", "ab"], ["ab", "b "]))
+    m = language_id.build(["aa", "bb"], np.array([0, 0, 1, 1]), np.array(a + b, np.uint64), np.array([0.01, 0.01, 0.005, 0.005]))
+    assert m.predict(["ab"])[0] == ["bb"] and m.predict(["ab"])[1][0] == 1
+
+
+def test_folded_filters_change_no_result(spark, docs, odd, monkeypatch):
+    want = sorted(exact_dedup.decide(docs).collect()), sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()), sorted(r.doc_id for r in near_dedup.keep_one(docs).collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", 4)
+    assert want == (sorted(exact_dedup.decide(docs).collect()), sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()), sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()))
+    plan = exact_dedup.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    exchanged = plan[plan.rfind("Exchange hashpartitioning(__sha") :]
+    assert "SortMergeJoin" not in plan and re.search(r"Filter .*__bits", exchanged) and "BroadcastHashJoin" in exchanged  # texts are sent behind the filter only
+
+
+def test_scratch_goes_by_owner(spark, docs):
+    lazy = exact_dedup.decide(docs)
+    with common.owned("another"):
+        other = common.save(docs.limit(3), "other")
+    common.release("another")
+    assert lazy.count() == docs.count()
+    with pytest.raises(Exception, match="(?i)exist"):
+        other.count()
+
+
+def test_names_with_dots_and_clashes(spark):
+    df = spark.createDataFrame([(1, "Some text of five words here", "en", "s", 7, 8.0, "x"), (1, "Some text of five words here", "en", "s", 7, 8.0, "x")], "doc_id long, text string, lang string, source string, `a.b` long, score double, lang_pred string")
+    assert exact_dedup.keep_one(df).columns == df.columns and exact_dedup.keep_one(df).count() == 1
+    assert near_dedup.keep_one(df).columns == df.columns and near_dedup.keep_one(df).count() == 1
+    assert mixing.repeated(df).columns == df.columns
+    found = language_id.identify(df, language_id.fit(df))
+    assert found.columns == [*df.columns, "lang_pred_found", "score_found"] and {r.score for r in found.collect()} == {8.0}
+
+
+def test_repeats_of_rows_alike(spark):
+    rows = [(7, "w " * 5, "a")] * 6 + [(None, "v " * 5, "a")] * 4 + [(i, "u " * (i % 9 + 1), "bc"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for weights in ((5.0, 2.0, 1.0), (1.0, 2.0, 5.0), (1.3, 1.1, 1.7)):
+        count = collections.Counter()
+        for r in mixing.mix(df, weights=weights).collect():
+            count[(r.doc_id, r.source)] += r.repeats
+        got = collections.Counter((r.doc_id, r.source) for r in mixing.repeated(df, weights=weights).collect())
+        assert got == +count
+
+
+def test_token_trees_are_kept(spark, docs):
+    state = common.save(token_counts.count(docs.select("doc_id", "text")), "state")
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("New words. ").alias("put")))
+    once = token_counts.update(state.withColumn("edits", edits))
+    by = token_counts.counter(token_counts.ranks_path())
+    for r in once.collect():
+        assert r.n_tokens == sum(by.leaves(r.text)[1]) == sum(r.leaf_tokens) and r.n_chars == len(r.text) == sum(r.leaf_chars)
+    twice = token_counts.update(once.withColumn("edits", edits))
+    assert twice.agg(F.sum("encoded_chars")).first()[0] < 0.7 * twice.agg(F.sum("n_chars")).first()[0]
+
+
+def test_edits_at_any_key(spark, tmp_path):
+    for kind, keys in (("long", [2**62, -5, None]), ("string", ["x", "12", None])):
+        spark.createDataFrame([(k, "Some text here " * 9) for k in keys], f"doc_id {kind}, text string").write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        assert queries.op3_token_counts(spark, f"{tmp_path}/{kind}").count() == 3
+
+
+def test_blocks_of_steps_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    h = hmm_lm.Hmm(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(50), 4).T.copy())
+    seqs = [rng.integers(0, 50, n) for n in (400, 1, 7, 399, 30, 120)]
+    want, ll = h.expected(seqs), h.log_likelihood(seqs)
+    for cells, width in ((12, 512), (40, 2), (7, 3)):
+        monkeypatch.setattr(hmm_lm, "CELLS", cells)
+        monkeypatch.setattr(hmm_lm, "WIDTH", width)
+        assert np.allclose(h.expected(seqs), want, rtol=1e-4, atol=1e-4) and np.allclose(h.log_likelihood(seqs), ll)
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    df = docs.select("doc_id", "text").withColumn("out", F.col("doc_id") % 10 == 0)
+    a, b = ({r.doc_id: r.score for r in hmm_lm.score(d, "out", passes=1).collect()} for d in (df, df.repartition(5)))
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-3) for k in a)
+
+
+def test_shards_as_plain_sums(spark, docs):
+    """Scan order, sizes and middles, one row after another."""
+    got = sharding.shard(docs).collect()
+    total, at, slots = sum(r.size for r in got), 0, collections.Counter()
+    want = {}
+    for r in docs.collect():
+        size = len((r.text or "").encode()) + 1
+        shard = min(7, (2 * at + size) * 8 // (2 * total))
+        want[r.doc_id] = (size, shard, slots[shard])
+        slots[shard] += 1
+        at += size
+    assert {r.doc_id: (r.size, r.shard, r.slot) for r in got} == want
+
+
+def test_urls_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 50000, "r", "v")] * 2 + [(None, None, None, None)], "page_id long, url string, rule string, verdict string")
+    got = url_filter.filter_urls(df).collect()
+    assert len(got) == 3 and sorted((str(r.rule), r.verdict) for r in got) == [("None", "allow"), ("net/es/", "block"), ("net/es/", "block")]
+
+
+def test_recordings_of_odd_tables(spark):
+    v = np.random.default_rng(1).normal(0, 0.13, 64).tolist()
+    df = spark.createDataFrame([(0, v, "a"), (0, v, "b"), (None, v, "c"), (50, None, "d"), (100, v[:3], "e"), (7, [None] * 64, "f")], "vec_id long, embedding array<double>, prints string")
+    got = audio.align(audio.tunes(df, "vec_id", "embedding"), "vec_id").collect()
+    assert len(got) == 6 and sum(r.class_id == 0 for r in got) == 3 and all(r.n_matches == 0 for r in got)
+
+
+def test_packing_of_null_keys(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "c"), (3, None), (3, "")], "doc_id long, text string")
+    got = packing.pack(df, length=3).collect()
+    assert sum(r.length for r in got) == sum({(r.doc_id, r.start, r.ids_crc32): r.length for r in got}.values()) + 1 and {r.doc_id for r in got} == {None, 3}

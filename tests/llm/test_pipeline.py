@@ -41,3 +41,27 @@ def test_stages(spark):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string"
+
+
+def through(spark, docs, where):
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.written(stage(spark, docs, where), name)
+        assert name == "packing" or after.columns == docs.columns
+        docs = after
+    return docs
+
+
+def test_stages_of_odd_and_empty_tables(spark):
+    assert through(spark, spark.createDataFrame([], SCHEMA), "none").count() == 0
+    words = "the quick brown fox jumps over the lazy dog and runs away into the dark wood again"
+    rows = [(i, f"{words} {i} {words[i:]}", "en", "a", 1, 0.0, "und") for i in range(40)] + [(1, f"{words} 1 {words[1:]}", "en", None, 1, None, None), (None, None, None, None, None, None, None), (99, "", "en", "a", 0, 0.0, ""), (98, "123 !", "en", "a", 0, 0.0, "")]
+    got = through(spark, spark.createDataFrame(rows, SCHEMA), "odd").collect()
+    assert got and {r.doc_id for r in got} <= set(range(40))
+
+
+def test_no_language_to_learn(spark):
+    df = spark.createDataFrame([(1, "words of some language", None, "a", 1, 0.0, "x"), (2, "12 34", None, "a", 1, 0.0, "x")], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, df, "x").collect()] == [1]

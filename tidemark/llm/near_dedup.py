@@ -12,8 +12,8 @@
    cluster the full sets are compared, skipping pairs that are already connected, so that a group of
    thousands of copies costs one comparison each. Clusters over BLOCK are compared in blocks.
 
-With q = the chance that a pair at the threshold meets in a tree, misses are (1 - q) ** TREES: q is
-1 - (1 - s) ** BRANCHES at one level, 0.9375, and about 0.90 at the third; five trees leave 1e-5.
+A pair at the threshold meets in a tree with a chance q that is 0.9375 at one level and about 0.90 at
+the third, so trees miss it with (1 - q) ** trees; there are as many trees as RECALL asks for.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from .exact_dedup import known_filter, suspects
 WORDS = 5
 #: Linked from 100 * intersection >= PERCENT * union.
 PERCENT = 75
-TREES, BRANCHES, DEPTH = 5, 2, 3
+BRANCHES, DEPTH = 2, 3
+#: Share of the pairs at the threshold that meet in some leaf.
+RECALL = 0.99999
 LEAF = 200
 BLOCK = 1000
 COORDS = 64
@@ -42,6 +44,17 @@ NEAR, LAST = (56, 27), (32, 8)
 LEADERS = 64
 SALTS = 64
 
+
+
+def trees_for(recall: float, similarity: float = PERCENT / 100) -> int:
+    """How many trees a pair of the similarity needs to meet in one with the recall: a branching process of DEPTH levels."""
+    q = 1.0
+    for _ in range(DEPTH):
+        q = 1 - (1 - similarity * q) ** BRANCHES
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - q))))
+
+
+TREES = trees_for(RECALL)
 _rng = np.random.default_rng(6)
 _A = _rng.integers(0, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, COORDS, dtype=np.uint64)
