@@ -20,7 +20,7 @@ SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch of rows with texts: bounds what the JVM and a worker hold of them at once.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 #: Scratch tables by who made them; tables and files that stay till the end.
 _scratch: dict[str | None, list[tuple[SparkSession, str]]] = defaultdict(list)
@@ -29,6 +29,7 @@ _owner: contextvars.ContextVar[str | None] = contextvars.ContextVar("owner", def
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,11 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Settings of the session that rows with whole texts need lower than Spark has them: rows and bytes of an Arrow
+#: batch, and rows of a batch of columns, whose strings are one array on the heap.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.parquet.columnarReaderBatchSize": 128}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH bytes, if they are larger."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH:
-        spark.conf.set(name, f"{BATCH}b")
+    """Lowers the session's SETTINGS where they are higher."""
+    for name, most in SETTINGS.items():
+        if int(spark.conf.get(name).rstrip("b")) > most:
+            spark.conf.set(name, str(most))
 
 
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
@@ -78,6 +84,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
 def written(df: DataFrame, label: str, kept: list | None = None) -> DataFrame:
     """As save(), but release() leaves the table: it lives until the end of the program."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     (_tables if kept is None else kept).append((spark, path.rpartition("/")[0]))
