@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +29,33 @@ class Groups:
         self.up[max(i, j)] = min(i, j)
 
 
+#: Links that a task contracts at once.
+GATHER = 250_000
+
+
 def _forests(links: DataFrame) -> DataFrame:
-    """Links that connect the same nodes, each to the smallest of those that one batch connects: stars, and fewer of them."""
+    """Links that connect the same nodes, each to the smallest of those that GATHER links connect: stars, and fewer of them."""
+
+    def contracted(held):
+        a, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, c]), return_inverse=True)
+        groups = Groups(len(nodes))
+        for x, y in set(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+            groups.join(x, y)
+        first = nodes[[groups.find(i) for i in range(len(nodes))]] if len(nodes) else nodes
+        own = first != nodes
+        return pa.RecordBatch.from_arrays([pa.array(first[own]), pa.array(nodes[own])], ["a", "b"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            nodes = sorted(set(a) | set(c))
-            at = {n: i for i, n in enumerate(nodes)}
-            groups = Groups(len(nodes))
-            for x, y in zip(a, c):
-                groups.join(at[x], at[y])
-            found = [(nodes[groups.find(i)], n) for i, n in enumerate(nodes)]
-            found = [(x, y) for x, y in found if x != y]
-            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+            held.append(b)
+            size += b.num_rows
+            if size >= GATHER:
+                yield contracted(held)
+                held, size = [], 0
+        if held:
+            yield contracted(held)
 
     return links.mapInArrow(run, "a long, b long")
 
