@@ -272,6 +272,29 @@ def test_near_components(spark, monkeypatch, leaf, block):
     assert [r.n_shingles for r in got] == n and [r.component_id for r in got] == comp and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_nodes_that_stay_large_branch_on(spark, monkeypatch):
+    for name, value in (("LEAF", 3), ("LEADERS", 4), ("MORE_LEADERS", 4)):
+        monkeypatch.setattr(near_dedup, name, value)
+    labels, save = [], near_dedup.save
+    monkeypatch.setattr(near_dedup, "save", lambda df, label: labels.append(label) or save(df, label))
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(vocabulary, k=60)
+    texts = [passage + rng.choices(vocabulary, k=rng.randrange(40, 70)) for _ in range(300)]
+    for t in rng.sample(texts, 60):  # copies with a word changed, which is what has to be found
+        at = rng.randrange(len(t))
+        texts.append([*t[:at], "changed", *t[at + 1 :]])
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    got = sorted(near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r.component_id for r in got] == brute_components(texts)[1]
+    assert "tree-4" in labels and f"tree-{near_dedup.DEEPEST}" not in labels
+
+
+def test_trees_follow_from_the_recall():
+    assert near_dedup.trees_for(0.9999) == near_dedup.TREES == 5 and near_dedup.trees_for(0.9999, 0.9) < 5
+
+
 def test_near_dedup_of_odd_texts(odd):
     got = near_dedup.near_dedup(odd).collect()
     assert len(got) == 14 and all(r.component_id == r.doc_id for r in got if r.n_shingles == 0)

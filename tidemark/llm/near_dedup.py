@@ -5,15 +5,19 @@
    picks, so two classes of similarity s share each branch with probability s. Nodes of at most LEAF
    classes are compared exhaustively by their signatures; larger ones branch again, TREES times
    independently. In a large node each class is first compared with a few leaders, and one that is
-   nearly a leader's copy goes no further; a node that is still large at DEPTH is settled by leaders
-   alone. What is linked to a leader is loose enough that by the triangle inequality no pair is lost:
-   a partner of a class within a distance d of its leader is within d + 0.25 of that leader.
+   nearly a leader's copy (from DEPTH on: half alike) goes no further; the others branch on, at DEEPEST
+   alone with no bound on leaders. What is linked to a leader is loose enough that by the triangle
+   inequality no pair is lost: a partner of a class within a distance d of its leader is within d + 0.25
+   of that leader. From DEPTH on, what goes further is less than half alike with the leaders, so that of
+   its two branches it shares less than one with each of them: unlike classes come apart, and the number
+   of rows hardly grows.
 3. What the leaves link loosely (estimated similarity of a half and more) falls into clusters; in a
    cluster the full sets are compared, skipping pairs that are already connected, so that a group of
    thousands of copies costs one comparison each. Clusters over BLOCK are compared in blocks.
 
-A pair at the threshold meets in a tree with a chance q that is 0.9375 at one level and about 0.90 at
-the third, so trees miss it with (1 - q) ** trees; there are as many trees as RECALL asks for.
+A pair at the threshold meets in a tree with a chance q that is 0.9375 at one level, about 0.90 at the
+third and never below 8/9, so trees miss it with (1 - q) ** trees; there are as many trees as RECALL
+asks for at DEEPEST.
 """
 
 from __future__ import annotations
@@ -30,26 +34,26 @@ from .exact_dedup import known_filter, suspects
 WORDS = 5
 #: Linked from 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BRANCHES, DEPTH = 2, 3
+BRANCHES, DEPTH, DEEPEST = 2, 3, 16
 #: Share of the pairs at the threshold that meet in some leaf.
-RECALL = 0.99999
+RECALL = 0.9999
 LEAF = 200
 BLOCK = 1000
 COORDS = 64
 #: Of 64 equal signature bytes: 3.46 is a deviation at the threshold, 48 its mean.
 LOOSE = 32
-#: Followers of a leader, and links to it: distances of 1/8 and 3/8; at the last level 1/2 and 3/4.
-NEAR, LAST = (56, 27), (32, 8)
-#: Leaders of a node above the last level.
-LEADERS = 64
+#: Followers of a leader, and links to it: distances of 1/8 and 3/8; from DEPTH on 1/2 and 3/4.
+NEAR, FAR = (56, 27), (32, 8)
+#: Leaders of a node above DEPTH, and from there to DEEPEST.
+LEADERS, MORE_LEADERS = 64, 256
 SALTS = 64
 
 
 
 def trees_for(recall: float, similarity: float = PERCENT / 100) -> int:
-    """How many trees a pair of the similarity needs to meet in one with the recall: a branching process of DEPTH levels."""
+    """How many trees a pair of the similarity needs to meet in one with the recall: a branching process of DEEPEST levels."""
     q = 1.0
-    for _ in range(DEPTH):
+    for _ in range(DEEPEST):
         q = 1 - (1 - similarity * q) ** BRANCHES
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - q))))
 
@@ -187,13 +191,15 @@ def leaf_links(cids: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def _walk(rows: DataFrame, last: bool) -> DataFrame:
-    """Rows sorted by node: links of small nodes as (a, b), and rows of large nodes with their signature.
+def _walk(rows: DataFrame, level: int) -> DataFrame:
+    """Rows sorted by node: links of small nodes as (a, b), and rows (node, cid) of large nodes that follow no leader.
 
     Memory is bounded by LEAF rows and the leaders. A row is linked to one leader of each group that
-    it touches, groups so joined are one from then on: no more links than rows and leaders.
+    it touches, groups so joined are one from then on: no more links than rows and leaders. From DEPTH
+    on, leaders are settled as well: what is near them, or near what follows them, is linked to them.
     """
-    follow, touch = LAST if last else NEAR
+    follow, touch = NEAR if level < DEPTH else FAR
+    most = LEADERS if level < DEPTH else MORE_LEADERS if level < DEEPEST else None
 
     def run(batches):
         links, more = [], []
@@ -226,7 +232,8 @@ def _walk(rows: DataFrame, last: bool) -> DataFrame:
                 groups.join(first, i)
             if len(same) and same.max() >= follow:
                 return
-            if last or len(leaders) < LEADERS:
+            leads = most is None or len(leaders) < most
+            if leads:
                 if len(leaders) == len(matrix):
                     matrix = np.concatenate([matrix, np.empty_like(matrix)])
                 matrix[len(leaders)] = own
@@ -234,7 +241,7 @@ def _walk(rows: DataFrame, last: bool) -> DataFrame:
                 groups.up.append(len(groups.up))
                 if first is not None:
                     groups.join(first, len(leaders) - 1)
-            if not last:
+            if level < DEPTH or not leads:
                 more.append((n, cid))
 
         for b in batches:
@@ -263,14 +270,13 @@ def _walk(rows: DataFrame, last: bool) -> DataFrame:
 def candidate_links(classes: DataFrame, count: int) -> DataFrame:
     """Loose links (a, b) between count classes (cid, sig)."""
     links, rows, count = None, classes, count * TREES
-    for level in range(1, DEPTH + 1):
+    for level in range(1, DEEPEST + 1):
         children = _branch(rows, level == 1)
-        last = level == DEPTH
-        walked = save(_walk(children.repartition("node").coalesce(tasks_for(count * BRANCHES)).sortWithinPartitions("node"), last), f"tree-{level}")
+        walked = save(_walk(children.repartition("node").coalesce(tasks_for(count * BRANCHES)).sortWithinPartitions("node"), level), f"tree-{level}")
         found = walked.filter("a is not null").select("a", "b")
         links = found if links is None else links.union(found)
         large = walked.filter("cid is not null").select("node", "cid")
-        count = 0 if last else large.count()
+        count = large.count()
         if not count:
             break
         rows = large.join(classes.select("cid", "sig"), "cid").coalesce(tasks_for(count)).select("node", "cid", "sig")
