@@ -260,3 +260,19 @@ def test_headers_are_redacted(spark):
     assert h == {"accept": "a", "authorization": "Bearer {{token}}"}
 
 
+
+
+def test_shared_folder_is_never_a_local_one_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidemark.lineage import shared_dir
+
+    conf = {}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(spark)
+    conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_dir(spark) == "hdfs:///shared"
+    conf.clear()
+    spark.sparkContext.master = "local[2]"
+    assert shared_dir(spark).startswith("file://") and shared_dir(spark) == conf["spark.checkpoint.dir"]

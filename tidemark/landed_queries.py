@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import dates, paths, regexes, urls
-from tidemark.lineage import settled
+from tidemark.lineage import settled, shared_dir
 from tidemark.model import DAY_MS, ItemQuery
 from tidemark.operators import dedupe, discover, health, ingest, normalise, prune, rations
 from tidemark.operators.tagging import Taxonomy
@@ -524,8 +523,7 @@ def ingest_drains(spark, sf_dir):
 def _store(spark):
     from tidemark.store import Store
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return Store(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
 
 def registry_health(spark, sf_dir):
@@ -541,7 +539,7 @@ def declared_facets(spark, sf_dir):
 
 def streamed_fold(spark, sf_dir):
     """The fold over titles with state, rows coming as a stream."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _titled(spark, sf_dir).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("pos long, institution string, title_key string, published_at long").parquet(f"{root}/in")
     q = loop.greedy_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start(f"{root}/out")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, paths, text, urls
+from tidemark.lineage import shared_dir
 from tidemark.model import DAY_MS, ItemQuery
 from tidemark.operators import dedupe, discover, health, prune, rations, tagging
 from tidemark.operators.tagging import Rule, Taxonomy
@@ -48,8 +48,7 @@ def articles(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        path = f"{root.rstrip('/')}/items-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
         _items(spark, sf_dir).write.parquet(path)
         _stored[key] = path
     out = spark.read.parquet(_stored[key])
