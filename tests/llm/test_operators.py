@@ -658,3 +658,49 @@ def test_packing_of_null_keys(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "c"), (3, None), (3, "")], "doc_id long, text string")
     got = packing.pack(df, length=3).collect()
     assert sum(r.length for r in got) == sum({(r.doc_id, r.start, r.ids_crc32): r.length for r in got}.values()) + 1 and {r.doc_id for r in got} == {None, 3}
+
+
+# Words whose polynomial hashes are equal, whatever the base.
+
+
+def thue_morse(times):
+    t = "a"
+    for _ in range(times):
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("times", [10, 12])
+def test_words_of_a_pattern_don_t_collide(spark, times):
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(times)
+    assert len(set(common.word_hashes([one, other])[0].tolist())) == 2
+    df = spark.createDataFrame([(1, f"one two three four {one}"), (2, f"one two three four {other}"), (3, other)], "doc_id long, text string").coalesce(1)
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    for r in packing.pack(df, with_ids=True).collect():
+        want = [*whole.encode(df.filter(F.col("doc_id") == r.doc_id).first().text, add_special_tokens=False).ids, 2]
+        assert np.frombuffer(r.ids, "<u4").tolist() == want[r.start : r.start + r.length]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()} == {1: 1, 2: 2, 3: 3}
+    scored = hmm_lm.score(df.withColumn("out", F.col("doc_id") == 1), "out").collect()
+    assert {r.doc_id: r.n_known for r in scored} == {1: 5, 2: 6, 3: 2}
+
+
+def test_a_batch_whose_hashes_collide_is_encoded_word_by_word(monkeypatch, docs):
+    texts = [r.text for r in docs.limit(40).collect()]
+    want, _ = packing.WordEncoder(packing.tokenizer_path()).ids(texts, 2)
+    plain = packing.span_hashes
+    monkeypatch.setattr(packing, "span_hashes", lambda *a, seed=0, **k: plain(*a, seed=seed, **k) & np.uint64(2**64 - 1 if seed else 255))
+    assert packing.WordEncoder(packing.tokenizer_path()).ids(texts, 2)[0].tolist() == want.tolist()
+
+
+def test_settings_with_units(spark):
+    most, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most), spark.conf.get(rows)
+    for name, value, want in ((most, "64m", common.BATCH), (most, "1k", 1024), (most, "4096b", 4096), (rows, "-1", 1000), (rows, "7", 7)):
+        spark.conf.set(name, value)
+        common.small_batches(spark)
+        got = spark.conf.get(name)
+        assert int(got.rstrip("kb")) * (1024 if "k" in got else 1) == want
+    spark.conf.set(most, before[0])
+    spark.conf.set(rows, before[1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextvars
+import re
 import uuid
 from collections import defaultdict
 from contextlib import contextmanager
@@ -39,10 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.parquet.columnarReaderBatchSize": 128}
 
 
+_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's SETTINGS where they are higher."""
+    """Lowers the session's SETTINGS where they are higher or have no limit; sizes may have units."""
     for name, most in SETTINGS.items():
-        if int(spark.conf.get(name).rstrip("b")) > most:
+        value = spark.conf.get(name).strip().lower()
+        number = re.match(r"-?\d+", value)
+        size = int(number[0]) * _UNITS.get(value[number.end() :].strip().rstrip("b"), 1) if number else -1
+        if size > most or size <= 0:  # Spark's sign for no limit
             spark.conf.set(name, str(most))
 
 
@@ -137,15 +144,16 @@ def text_or_empty(col):
 
 # Vectorised hashing of words, on the UTF-8 bytes of many texts at once.
 
-_PRIME = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: By how many of eight bytes belong to a word.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -157,16 +165,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 18)
-        for i, base in enumerate((_PRIME, pow(_PRIME, -1, 2**64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def string_array(texts) -> pa.Array:
     """Texts as an Arrow array of strings without nulls; null counts as empty."""
     out = texts if isinstance(texts, pa.Array) else pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())
@@ -194,21 +192,31 @@ def spans(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, stops, np.searchsorted(starts, at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = True, window: int = 1 << 18) -> np.ndarray:
-    """64-bit hashes of the words at the spans, with fold of A-Z as a-z; memory is bounded by the window and the longest word."""
-    table = _FOLDED if fold else _BYTE
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        base = starts[first]
-        last = max(first + 1, int(np.searchsorted(stops, base + window, "right")))
-        part = data[base : stops[last - 1]]
-        up, down = _powers_to(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * up[: len(part)], out=total[1:])
-        a, b = starts[first:last] - base, stops[first:last] - base
-        out[first:last] = mix((total[b] - total[a]) * down[a])
-        first = last
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = True, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words at the spans, with fold of A-Z as a-z; another seed gives an independent hash.
+
+    Eight bytes at a time are mixed in by a bijection that isn't linear, so no words collide by their
+    make-up. Words over LONG_WORD bytes go through XXH64. Memory is bounded by the number of words.
+    """
+    data = _LOWER[data] if fold else data
+    sizes = stops - starts
+    out = mix(sizes.astype(np.uint64) * _STEP + np.uint64(seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    rows = np.arange(len(starts)) if not len(sizes) or sizes.max() <= LONG_WORD else np.flatnonzero(sizes <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            rows = rows[sizes[rows] > at]
+        if not len(rows):
+            break
+        h = eight[starts[rows] + at] & _MASKS[np.minimum(sizes[rows] - at, 8)]
+        out[rows] = mix(out[rows] ^ h) + _STEP
+    long = np.flatnonzero(sizes > LONG_WORD)
+    if len(long):
+        import xxhash
+
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), stops[long].tolist())]
     return out
 
 

@@ -26,6 +26,8 @@ LENGTH = 4096
 END_ID = 2
 #: Entries of a worker's cache of words; when there are more, the half that is used most stays.
 CACHE = 300_000
+#: Seed of the words' second hash.
+SECOND = 0x2545F4914F6CDD1D
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -62,8 +64,8 @@ class WordEncoder:
 
     No token of it spans white space, and neither composition nor lower-casing looks across it, so
     a text's ids are those of its words in turn. Words are known by 64-bit hashes of their bytes, taken
-    from whole batches at once; only a word that the cache lacks becomes a Python object. (Two words of
-    a cache's 200,000 share a hash with a probability of 1e-9.) New words of plain Latin letters and signs
+    from whole batches at once; only a word that the cache lacks becomes a Python object. A second,
+    independent hash is compared for every word: a batch where it differs is encoded word by word. New words of plain Latin letters and signs
     are cut into the tokenizer's own pre-tokens, whose merges are then applied; any other is encoded whole.
     """
 
@@ -77,7 +79,8 @@ class WordEncoder:
         self._t = Tokenizer.from_file(path)
         self._piece = _fast_merges(path)
         # Of each known word, by sorted hash: where its ids begin, how many there are, in how many batches it was.
-        self._keys, self._starts, self._sizes, self._uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._keys, self._seconds = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._starts, self._sizes, self._uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
 
     def _encoded(self, words: list[bytes]) -> list[list[int]]:
@@ -113,13 +116,13 @@ class WordEncoder:
                 out[i] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, seconds: np.ndarray, words: list[bytes]) -> None:
         got = self._encoded(words)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         starts = len(self._flat) + np.cumsum(sizes) - sizes
         self._flat = np.concatenate([self._flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))])
         order = np.argsort(merged := np.concatenate([self._keys, keys]), kind="stable")
-        self._keys = merged[order]
+        self._keys, self._seconds = merged[order], np.concatenate([self._seconds, seconds])[order]
         self._starts, self._sizes = np.concatenate([self._starts, starts])[order], np.concatenate([self._sizes, sizes])[order]
         self._uses = np.concatenate([self._uses, np.zeros(len(keys), np.int64)])[order]
 
@@ -130,12 +133,13 @@ class WordEncoder:
         starts, sizes = self._starts[keep], self._sizes[keep]
         fresh = np.cumsum(sizes) - sizes
         self._flat = self._flat[np.repeat(starts - fresh, sizes) + np.arange(sizes.sum())]
-        self._keys, self._starts, self._sizes, self._uses = self._keys[keep], fresh, sizes, self._uses[keep] // 2
+        self._keys, self._seconds, self._starts, self._sizes, self._uses = self._keys[keep], self._seconds[keep], fresh, sizes, self._uses[keep] // 2
 
     def ids(self, texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each text's followed by end; and where each text's begin, one entry more."""
         data, starts, stops, at = spans(texts)
         words, which = distinct(span_hashes(data, starts, stops, fold=False))
+        seconds = span_hashes(data, starts, stops, fold=False, seed=SECOND)
         if len(self._keys) > CACHE:
             self._thin()
         row = np.searchsorted(self._keys, words)
@@ -145,19 +149,26 @@ class WordEncoder:
             first[which[::-1]] = np.arange(len(which))[::-1]
             first = first[new]
             raw = data.tobytes()
-            self._learn(words[new], [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
+            self._learn(words[new], seconds[first], [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
             row = np.searchsorted(self._keys, words)
         self._uses[row] += 1
         row = row[which]
-        sizes = self._sizes[row]
+        flat = self._flat
+        if (self._seconds[row] == seconds).all():
+            begins, sizes = self._starts[row], self._sizes[row]
+        else:
+            raw = data.tobytes()
+            own = self._encoded([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())])
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            begins, flat = np.cumsum(sizes) - sizes, np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(sizes.sum()))
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.repeat(self._starts[row] - upto[:-1], sizes)
+        places = np.repeat(begins - upto[:-1], sizes)
         places += np.arange(len(places))
         bounds = upto[at] + np.arange(len(at))
         out = np.empty(bounds[-1], np.uint32)
         own = np.ones(len(out), bool)
         own[bounds[1:] - 1] = False
-        out[own] = self._flat[places]
+        out[own] = flat[places]
         out[bounds[1:] - 1] = end
         return out, bounds
 
