@@ -71,16 +71,16 @@ def components(links: DataFrame) -> DataFrame:
     both = save(stars.union(stars.select("b", "a")).distinct().coalesce(tasks), "links")
     labels = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").coalesce(tasks), "labels")
     while True:
-        near = _looked_up(both, "b", labels, "label").groupBy("a").agg(F.min("label").alias("near"))
+        near = looked_up(both, "b", labels, "label").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near.withColumnRenamed("a", "node").coalesce(tasks), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = _looked_up(lower, "label", labels.withColumnRenamed("label", "up"), "up", left=True)
+        up = looked_up(lower, "label", labels.withColumnRenamed("label", "up"), "up", left=True)
         nxt = save(up.select("node", "old", F.least(F.coalesce("up", "label"), "label").alias("label")).coalesce(tasks), "labels")
         labels = nxt.select("node", "label")
         if nxt.filter("old != label").isEmpty():
             return labels
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, left: bool = False) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, left: bool = False) -> DataFrame:
     """rows with the value that the table (node, value) has for a key of theirs.
 
     A key may be that of all rows, as the label of a large component is: its value goes to SALTS parts.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, exact_dedup, hmm_lm, language_id, mixing, near_dedup, packing, sharding, token_counts, url_filter
+from . import alignment, audio, exact_dedup, filter_audit, hmm_lm, language_id, mixing, near_dedup, packing, sharding, simhash, token_counts, url_filter
 from .common import bucket_of, save, table
 
 
@@ -65,6 +65,19 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.near_simhash(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    rows = filter_audit.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(rows, list("ABCDE"), ["good", "toxic"])
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
@@ -107,6 +120,22 @@ SQL = {
                CAST(size * least(3, whole + CASE WHEN more > 0 AND upto - size / 2.0 <= more THEN 1 ELSE 0 END) AS BIGINT) AS taken,
                CAST(least(3, whole + CASE WHEN more > 0 AND upto - size / 2.0 <= more THEN 1 ELSE 0 END) AS BIGINT) AS repeats
         FROM x""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE l(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o(filter_order, mask) AS (SELECT f, bit FROM l UNION ALL SELECT filter_order || f, mask | bit FROM o, l WHERE mask & bit = 0),
+        steps AS (SELECT filter_order, CAST(s AS INT) AS step, substr(filter_order, CAST(s AS INT), 1) AS f FROM o, range(1, 6) r(s) WHERE length(filter_order) = 5),
+        cut AS (SELECT filter_order, step, f, bit, CAST(coalesce(sum(bit) OVER (PARTITION BY filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS before FROM steps JOIN l USING (f)),
+        t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents),
+        d AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS INT)
+                     + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > low, false) AS INT) AS m,
+                     doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM t),
+        v AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, m),
+        x AS (SELECT part, filter_order, step, f, sum(n) FILTER (m & (before | bit) = 0) AS kept, sum(n) FILTER (m & bit > 0 AND m & before = 0) AS removed, sum(n) FILTER (m & bit > 0 AND m & before > 0) AS redundant,
+                     sum(n) FILTER (m = bit) AS unique_fails, sum(good) FILTER (m & bit > 0 AND m & before = 0) AS good_lost, sum(toxic) FILTER (m & bit > 0 AND m & before = 0) AS toxic_lost
+              FROM v, cut GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, f AS filter, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+               CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM x""",
 }
 
 
