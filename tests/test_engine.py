@@ -206,6 +206,7 @@ def test_streamed_fold(spark, tmp_path):
     for n, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    spark.conf.set(*loop.STATE_STORE)
     q = loop.greedy_stream(stream).writeStream.format("memory").queryName("folded").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert {r.pos for r in spark.sql("SELECT * FROM folded WHERE kept").collect()} >= {9, 10} and spark.sql("SELECT * FROM folded").count() == 6

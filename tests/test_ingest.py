@@ -92,7 +92,7 @@ def test_a_backlog_drains_by_each_sources_own_ration(spark, store):
 
 def test_empty_run(spark, store):
     assert run(spark, store, [source("a", RSS)], []) == {} and store.read("items").count() == 0
-    assert ingest.adapters(store.read("sources")) == ([("a", 0, RSS)], [])
+    assert ingest.chain("a", store.read("sources").first().config_json) == ([RSS], None)
 
 
 def test_streamed_bodies(spark, store, tmp_path):
@@ -101,7 +101,7 @@ def test_streamed_bodies(spark, store, tmp_path):
     q = loop.ingest(spark, store, TAX, f"file://{tmp_path}/land/*", f"file://{tmp_path}/ck", lambda: NOW, None)
     q.awaitTermination(180)
     assert q.exception() is None and store.read("items").count() == 3
-    outcomes, code = loop.once(spark, store, TAX, spark.createDataFrame([body("a", None, status=500)], model.LANDED), NOW)
+    outcomes, code = loop.once(store, TAX, spark.createDataFrame([body("a", None, status=500)], model.LANDED), NOW)
     assert code == 1 and outcomes.first().status == "error"
 
 

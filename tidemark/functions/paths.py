@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _SEGMENT = re.compile(r"([^\[\]]*)((?:\[\d+\])*)$")
 
 
-def _json_path(path: str) -> str | None:
+def json_path(path: str) -> str | None:
     out = "$"
     for segment in path.split(".") if path else []:
         m = _SEGMENT.match(segment)
@@ -25,7 +25,7 @@ def _json_path(path: str) -> str | None:
 def get_path(value: Column, path: str) -> Column:
     """The VARIANT at the path, null where there is none; over elements, an array<variant> of what is there."""
     head, fan, rest = path.partition("[]")
-    where = _json_path(head)
+    where = json_path(head)
     if where is None:
         return F.lit(None).cast("variant")
     found = F.try_variant_get(value, where, "variant") if head else value

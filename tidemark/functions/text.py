@@ -23,9 +23,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def folded(needle: str) -> str:
+    """A needle as ascii_lower() leaves texts."""
+    return needle.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def contains_text(needle: str, *columns: Column) -> Column:
     """Whether any column has the needle, every character of it literal; null columns count as empty."""
-    want = F.lit(needle.translate(str.maketrans(_UPPER, _LOWER)))
+    want = F.lit(folded(needle))
     out = F.lit(False)
     for c in columns:
         out = out | F.contains(ascii_lower(F.coalesce(c, F.lit(""))), want)

@@ -145,6 +145,12 @@ def origin(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
 
 
+def host(url: Column) -> Column:
+    """The host with its port, lower-cased; the url itself where there is none."""
+    found = F.regexp_replace(origin(url), "^https?://", "")
+    return F.when(found != "", found).otherwise(url)
+
+
 def _site(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#:@]+)", 1)), r"^(www|m)\.", "")
     labels = F.split(host, r"\.")

@@ -102,12 +102,12 @@ def _seen(spark, sf_dir) -> DataFrame:
 
 def sitemap_scan(spark, sf_dir):
     """Index, newest children, filters, newest entries, unseen ones, pages, and the share of undated ones."""
-    items, _, _ = sitemaps.scan(settled(_mapped(spark, sf_dir)), _MAP, _seen(spark, sf_dir), NOW)
+    items, _, _ = sitemaps.scan_one(settled(_mapped(spark, sf_dir)), _MAP, lambda _: _seen(spark, sf_dir), NOW)
     return items.select("source_id", "source_pos", "url", "title", "published_raw", "date_is_weak")
 
 
 def sitemap_visited(spark, sf_dir):
-    _, visited, _ = sitemaps.scan(settled(_mapped(spark, sf_dir)), _MAP, _seen(spark, sf_dir), NOW)
+    _, visited, _ = sitemaps.scan_one(settled(_mapped(spark, sf_dir)), _MAP, lambda _: _seen(spark, sf_dir), NOW)
     return visited.groupBy("source_id").agg(F.count("*").alias("visited"))
 
 
@@ -494,7 +494,8 @@ def _landed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame,
 
 
 def _run(spark, sf_dir) -> ingest.Run:
-    return ingest.run(*_landed(spark, sf_dir), TAXONOMY, NOW)
+    landed, registry, *stored = _landed(spark, sf_dir)
+    return ingest.run(landed, registry, dedupe.Tables(*stored), TAXONOMY, NOW)
 
 
 def ingest_outcomes(spark, sf_dir):
@@ -542,6 +543,7 @@ def streamed_fold(spark, sf_dir):
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _titled(spark, sf_dir).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("pos long, institution string, title_key string, published_at long").parquet(f"{root}/in")
+    spark.conf.set(*loop.STATE_STORE)
     q = loop.greedy_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start(f"{root}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("pos", "kept")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import rations
+
 GOOD = ("ok", "not-modified")
 
 
@@ -18,10 +20,42 @@ def due_sources(sources: DataFrame, now_ms: Column) -> DataFrame:
     return sources.filter(is_due(now_ms)).orderBy(F.coalesce("last_fetch_at", F.lit(0).cast("long")), "id")
 
 
+def to_run(sources: DataFrame, now_ms: int, force: bool = False) -> DataFrame:
+    """What a run reads: the sources that are due, or with force all that are active."""
+    return forced(sources) if force else due_sources(sources, F.lit(now_ms).cast("long"))
+
+
 def forced(sources: DataFrame) -> DataFrame:
     return sources.filter("enabled and in_config")
 
 
+#: Sources that are read side by side, and the least time between two requests to one host.
+LANES, GAP_MS = 4, 1000
+
+
+def schedule(due: DataFrame, host: Column, requests: Column | None = None, lanes: int = LANES, gap_ms: int = GAP_MS) -> DataFrame:
+    """due with host, lane, place (from 1 on, in the lane) and start_ms: when each source's first request may go out.
+
+    A host's sources are read one after another, those that wait longest first, a gap between any two requests
+    (requests: how many a source needs, 1 by default); so all of a host's are in one lane. Hosts go to the lanes
+    in turn, those with most to do first, and a lane reads one host after another. Starts are running sums: those
+    of a host's sources, and those of a lane's hosts, of which only a row each is summed by lane.
+    """
+    takes = (F.greatest(F.coalesce(requests, F.lit(1)), F.lit(1)) if requests is not None else F.lit(1)).cast("long") * gap_ms
+    every = due.withColumn("host", F.coalesce(F.lower(host), F.lit(""))).withColumn("__takes", takes)
+    mine = Window.partitionBy("host").orderBy(F.coalesce("last_fetch_at", F.lit(0).cast("long")), "id")
+    ahead = mine.rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("__at", F.coalesce(F.sum("__takes").over(ahead), F.lit(0).cast("long"))).withColumn("__nth", F.row_number().over(mine))
+    hosts = every.groupBy("host").agg(F.sum("__takes").alias("__all"), F.count("*").alias("__n"))
+    ranked = rations.numbered(hosts, 0, F.desc("__all"), "host").withColumnRenamed("item_id", "__rank")
+    lane = ranked.withColumn("lane", F.pmod(F.col("__rank") - 1, F.lit(lanes)).cast("int"))
+    before = Window.partitionBy("lane").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    lane = lane.select("host", "lane", F.coalesce(F.sum("__all").over(before), zero).alias("__from"), F.coalesce(F.sum("__n").over(before), zero).alias("__done"))
+    out = every.join(lane, "host").withColumns({"place": F.col("__done") + F.col("__nth"), "start_ms": F.col("__from") + F.col("__at")})
+    return out.select(*due.columns, "host", "lane", "place", "start_ms")
+
+
 def listed(sources: DataFrame) -> DataFrame:
     return sources.orderBy("institution", "name")
 

@@ -17,54 +17,70 @@ from tidemark.operators.tagging import Taxonomy
 from tidemark.sources import config, feeds, interfaces, pages, sitemaps
 
 TAKE = 5
+#: Kinds of adapters by the branch that scans them.
+KINDS = (("rss",), ("json",), ("sitemap",), ("html", "browser"))
 NOTES = 5
 _RAW = ["source_id", "source_pos", "url", "title", "summary", "published_raw", "published_kind", "date_is_weak", "categories"]
 _FACTS = "source_id string, healthy_empty boolean, error string"
 
 
-def adapters(sources: DataFrame) -> tuple[list[tuple[str, int, dict]], list[tuple[str, str]]]:
-    """(source, attempt, adapter) of all chains, and what is wrong with stored configurations.
+def chain(sid: str, text: str | None) -> tuple[list[dict], str | None]:
+    """The adapters of a stored configuration in the order of attempts, and what is wrong with it.
 
-    The registry is configuration, a row a source. A stored adapter is checked again when it is used;
-    of fallbacks, those that are no adapters are left out.
+    A stored adapter is checked again when it is used; of fallbacks, those that are no adapters are left out.
     """
-    chains, wrong = [], []
-    for sid, text in sources.select("id", "config_json").collect():
-        try:
-            raw = json.loads(text or "{}")
-            primary = raw["adapter"]
-            errors = config.adapter_errors(sid, primary, 200)
-        except (ValueError, KeyError, TypeError, AttributeError) as bad:
-            errors = [f"{sid}: no adapter ({bad})"]
-        if errors:
-            wrong.append((sid, "stored configuration: " + "; ".join(errors)))
-            continue
-        good = [primary, *(f for f in raw.get("fallback") or () if isinstance(f, dict) and not config.adapter_errors(sid, f, 200))]
-        chains += [(sid, i, a) for i, a in enumerate(good)]
-    return chains, wrong
+    try:
+        raw = json.loads(text or "{}")
+        primary = raw["adapter"]
+        errors = config.adapter_errors(sid, primary, 200)
+    except (ValueError, KeyError, TypeError, AttributeError) as bad:
+        errors = [f"{sid}: no adapter ({bad})"]
+    if errors:
+        return [], "stored configuration: " + "; ".join(errors)
+    return [primary, *(f for f in raw.get("fallback") or () if isinstance(f, dict) and not config.adapter_errors(sid, f, 200))], None
+
+
+def _settings(adapter: dict) -> str:
+    """What the scan of an adapter's kind needs to know, as JSON."""
+    kind = adapter["kind"]
+    if kind == "json":
+        return json.dumps(interfaces.settings(adapter))
+    if kind == "sitemap":
+        return json.dumps(sitemaps.settings(adapter))
+    return json.dumps(adapter.get("selectors") or {})
 
 
-def _scan(kind: str, adapter: dict, landed: DataFrame, seen: DataFrame, now_ms: int):
-    """Raw items, facts (healthy_empty, error), and what was visited, of landed bodies of one configuration."""
-    spark = landed.sparkSession
-    none = spark.createDataFrame([], _FACTS)
+def _planned(sid: str, text: str | None) -> dict:
+    good, wrong = chain(sid, text)
+    return {"tries": [{"attempt": i, "kind": a["kind"], "settings": _settings(a)} for i, a in enumerate(good)], "wrong": wrong}
+
+
+_PLAN = "struct<tries:array<struct<attempt:int,kind:string,settings:string>>,wrong:string>"
+
+
+def adapters(sources: DataFrame) -> DataFrame:
+    """source_id, tries (attempt, kind, settings as JSON) and wrong, a row a source."""
+    plan = F.udf(_planned, _PLAN, useArrow=True)(F.col("id"), F.col("config_json"))
+    return sources.select(F.col("id").alias("source_id"), plan.alias("p")).select("source_id", "p.*")
+
+
+def _scan(kind: str, landed: DataFrame, seen, now_ms: int):
+    """Raw items, facts (healthy_empty, error), and what was visited, of landed bodies of one kind of adapter, with what each needs in a column."""
+    none = landed.sparkSession.createDataFrame([], _FACTS)
     if kind == "rss":
         bad = feeds.feed_problems(landed).select("source_id", F.lit(False).alias("healthy_empty"), "error")
         return feeds.feed_items(landed), bad, None
     if kind == "json":
-        size = (adapter.get("pagination") or {}).get("page_size")
-        items = interfaces.json_items(landed, adapter.get("items_path", ""), adapter["fields"], size)
-        bad = interfaces.json_problems(landed, adapter.get("items_path", "")).groupBy("source_id").agg(F.min_by("error", "page").alias("error"))
-        return interfaces.newest(items, now_ms, adapter.get("max_new_per_run", interfaces.MOST_NEW)), bad.select("source_id", F.lit(False).alias("healthy_empty"), "error"), None
+        landed = landed.withColumn("settings", F.from_json("settings", interfaces.SETTINGS))
+        bad = interfaces.problems(landed).groupBy("source_id").agg(F.min_by("error", "page").alias("error"))
+        return interfaces.newest(interfaces.items(landed), now_ms, F.col("settings.most")), bad.select("source_id", F.lit(False).alias("healthy_empty"), "error"), None
     if kind == "sitemap":
-        items, visited, facts = sitemaps.scan(landed, adapter, seen, now_ms)
+        items, visited, facts = sitemaps.scan(landed.withColumn("settings", F.from_json("settings", sitemaps.SETTINGS)), seen, now_ms)
         matching, new = F.coalesce("matching", F.lit(0)), F.coalesce("new", F.lit(0))
         every = landed.select("source_id").distinct().join(facts, "source_id", "left")
         error = F.when(F.coalesce("entries", F.lit(0)) == 0, "no addresses in the sitemap").when(matching == 0, "no address matches the include patterns")
         return items, every.select("source_id", ((matching > 0) & (new == 0)).alias("healthy_empty"), error.alias("error")), visited
-    if kind in ("html", "browser"):  # a rendered page is a landed page
-        return pages.listing_items(landed, adapter["selectors"]), none, None
-    raise ValueError(f"no such adapter: {kind}")
+    return pages.listing_items(landed, F.col("settings")), none, None  # a rendered page is a landed page
 
 
 @dataclass
@@ -77,33 +93,38 @@ class Run:
     visited: DataFrame
 
 
-def run(landed: DataFrame, sources: DataFrame, items: DataFrame, pruned: DataFrame, seen: DataFrame, taxonomy: Taxonomy, now_ms: int) -> Run:
+def run(landed: DataFrame, sources: DataFrame, stored, taxonomy: Taxonomy, now_ms: int) -> Run:
     """From landed bodies (model.LANDED) of some sources to rows to store, as if each source had been fetched now.
 
     A source's attempts are its primary adapter (0) and fallbacks; the first that is unchanged, has items or
     is rightly empty decides, else the last one. Known hashes leave before a source's own take_per_run is
-    counted. Emptiness is judged on usable rows. Validators are kept from the primary adapter only. There is
-    a plan for each distinct configuration of an adapter, not for each source.
+    counted. stored: what is there already, a store or dedupe.Tables. Emptiness is judged on usable rows.
+    Validators are kept from the primary adapter only. There is a branch of the plan for each kind of adapter; what adapters of a kind differ in is a column.
     """
     spark = landed.sparkSession
     present = landed.select("source_id").distinct()
-    chains, wrong = adapters(sources.join(present, sources["id"] == present["source_id"], "left_semi"))
-    groups: dict[str, list[tuple[str, int, str]]] = {}
-    for sid, attempt, a in chains:
-        same = json.dumps(a if a["kind"] == "sitemap" else {k: v for k, v in a.items() if k not in ("url", "request")}, sort_keys=True)
-        groups.setdefault(same, []).append((sid, attempt, a["kind"]))
-    plan = spark.createDataFrame([(s, i, f"{s}\x01{i}", kind, g) for g, rows in enumerate(groups.values()) for s, i, kind in rows], "source_id string, attempt int, key string, kind string, grp int")
+    known = settled(adapters(sources.join(present, sources["id"] == present["source_id"], "left_semi")))
+    wrong = known.filter("wrong is not null").select("source_id", F.col("wrong").alias("error"))
+    plan = known.select("source_id", F.explode("tries").alias("t")).select("source_id", "t.*").withColumn("key", F.concat("source_id", F.lit("\x01"), F.col("attempt").cast("string")))
     # key: source and attempt together, so that scans of sources serve as scans of attempts.
     bodies = landed.join(plan, ["source_id", "attempt"])
     tries = bodies.groupBy("key").agg(
         F.first("source_id").alias("source_id"), F.first("attempt").alias("attempt"), F.first("kind").alias("kind"), F.max(F.coalesce(F.col("status") == 304, F.lit(False))).alias("not_modified"),
         F.min_by(F.struct("status", "error", "etag", "last_modified"), "page").alias("main"), F.max("fetched_at").alias("fetched_at"),
     )
+
+    def seen(rows: DataFrame) -> DataFrame:
+        """The visits of before that rows (of keys and hashes) may repeat."""
+        of = rows.select(F.split_part("source_id", F.lit("\x01"), F.lit(1)).alias("source_id"), "canonical_hash")
+        return stored.holding("seen_urls", of).join(plan.select("source_id", "key"), "source_id").drop("source_id").withColumnRenamed("key", "source_id")
+
     raws, facts, visits = [], [], []
-    for g, same in enumerate(groups):
-        adapter = json.loads(same)
-        own = bodies.filter((F.col("grp") == g) & (F.col("status") < 300)).drop("source_id").withColumnRenamed("key", "source_id")
-        raw, fact, visited = _scan(adapter["kind"], adapter, own, seen.join(plan.filter(F.col("grp") == g).select("source_id", "key"), "source_id").drop("source_id").withColumnRenamed("key", "source_id"), now_ms)
+    present = {r.kind for r in plan.select("kind").distinct().collect()}  # at most as many as there are kinds
+    for kinds in KINDS:
+        if not present & {*kinds}:
+            continue
+        own = bodies.filter(F.col("kind").isin(*kinds) & (F.col("status") < 300)).drop("source_id", "kind").withColumnRenamed("key", "source_id")
+        raw, fact, visited = _scan(kinds[0], own, seen, now_ms)
         raws.append(raw.select(*_RAW))
         facts.append(fact.select("source_id", "healthy_empty", "error"))
         if visited is not None:
@@ -124,13 +145,14 @@ def run(landed: DataFrame, sources: DataFrame, items: DataFrame, pruned: DataFra
     rows = settled(normalise(live, sources, taxonomy, now_ms))
     good = rows.filter("reason is null").drop("reason")
     notes = rows.filter("reason is not null").groupBy("source_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("source_pos", "reason"))), 1, NOTES), lambda x: x["reason"]).alias("notes"))
-    known = good.join(dedupe.known_hashes(items, pruned), "canonical_hash", "left_semi").groupBy("source_id").agg(F.countDistinct("canonical_hash").alias("known"))
-    fresh = dedupe.not_known(good, items, pruned)
+    there = settled(good.select("canonical_hash").distinct().join(stored.known(good), "canonical_hash", "left_semi"))
+    known = good.join(there, "canonical_hash", "left_semi").groupBy("source_id").agg(F.countDistinct("canonical_hash").alias("known"))
+    fresh = good.join(there, "canonical_hash", "left_anti")
     take = sources.select(F.col("id").alias("source_id"), F.when(F.col("take_per_run") > 0, F.col("take_per_run")).otherwise(TAKE).alias("__take"))
     ranked = settled(rations.newest_per_source(fresh.join(take, "source_id"), F.col("__take")))
     at = F.when(F.col("fresh") > F.col("__take"), F.col("rank")).otherwise(F.col("source_pos"))
     taken = ranked.filter("taken").withColumn("pos", F.concat("source_id", F.lit("\x01"), F.lpad(at.cast("string"), 20, "0")))
-    decided = dedupe.decide(taken.select(*good.columns, "pos"), items, pruned)
+    decided = dedupe.decide_fresh(taken.select(*good.columns, "pos"), stored.near(taken))
     stats = decided.groupBy("source_id").agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("inserted", "duplicate_url", "duplicate_title")])
     counts = good.groupBy("source_id").agg(F.count("*").alias("fetched"))
     held = ranked.groupBy("source_id").agg(F.max("held").alias("held"))
@@ -147,9 +169,8 @@ def run(landed: DataFrame, sources: DataFrame, items: DataFrame, pruned: DataFra
         (F.coalesce("duplicate_url", zero) + F.coalesce("known", zero)).alias("duplicate_url"), F.coalesce("duplicate_title", zero).alias("duplicate_title"), F.coalesce("held", zero).alias("held"), why.alias("error"),
         F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.col("main.etag").alias("etag"), F.col("main.last_modified").alias("last_modified"), "fetched_at",
     )
-    if wrong:
-        gone = spark.createDataFrame(wrong, "source_id string, error string").select("source_id", F.lit("error").alias("status"), "error", F.array().cast("array<string>").alias("notes"), F.lit(now_ms).cast("long").alias("fetched_at"))
-        out = out.unionByName(gone.withColumns({c: zero for c in ("fetched", "inserted", "duplicate_url", "duplicate_title", "held")}), allowMissingColumns=True)
+    gone = wrong.select("source_id", F.lit("error").alias("status"), "error", F.array().cast("array<string>").alias("notes"), F.lit(now_ms).cast("long").alias("fetched_at"))
+    out = out.unionByName(gone.withColumns({c: zero for c in ("fetched", "inserted", "duplicate_url", "duplicate_title", "held")}), allowMissingColumns=True)
     out = settled(out)
     own = (F.col("attempt") == 0) & (F.col("status") == "ok")
     fetches = out.select("source_id", "status", "error", F.col("fetched").cast("int").alias("item_count"), F.when(own, F.col("etag")).alias("etag"), F.when(own, F.col("last_modified")).alias("last_modified"), "fetched_at")

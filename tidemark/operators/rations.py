@@ -36,7 +36,7 @@ def newest_records(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= most)
 
 
-def undated_ration(rows: DataFrame, most: int, order: str = "source_pos") -> DataFrame:
+def undated_ration(rows: DataFrame, most: int | Column, order: str = "source_pos") -> DataFrame:
     """Rows before the run has met most undated ones; later dated rows wait as well."""
     before = Window.partitionBy("source_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("undated_before", F.coalesce(F.sum(F.col("undated").cast("long")).over(before), F.lit(0))).filter(F.col("undated_before") < most)

@@ -71,6 +71,11 @@ SQL = {
     "panel_tags_or_within_and_across": _page("list_has_any(tags, ['region:fr', 'region:es']) AND list_contains(tags, 'theme:plain')", 50),
     "panel_facetless_tag_ignored": _page("true", 50),
     "panel_total": f"WITH {ARTICLES} SELECT count(*) AS total FROM a WHERE {SINCE} AND {REGION} AND {LONG}",
+    "panel_page_store": _page(f"{SINCE} AND {REGION} AND {LONG}", 20),
+    "facet_tags_store": f"WITH {ARTICLES}, {COUNTS} SELECT tag, n FROM n",
+    "facet_tags_from_bitmaps": f"WITH {ARTICLES}, {COUNTS} SELECT tag, n FROM n",
+    "facet_institution_from_bitmaps": f"WITH {ARTICLES} SELECT institution, count(*) AS n FROM a WHERE {SINCE} AND {REGION} AND {LONG} GROUP BY institution",
+    "panel_search_by_trigrams": f"WITH {ARTICLES} SELECT item_id, institution, title, published_at FROM a WHERE contains(lower(title), 'license') OR contains(lower(summary), 'license')",
     "facet_institution": f"WITH {ARTICLES} SELECT institution, count(*) AS n FROM a WHERE {SINCE} AND {REGION} AND {LONG} GROUP BY institution",
     "facet_tags_self_excluded": f"WITH {ARTICLES}, {COUNTS} SELECT tag, n FROM n",
     "facet_zero_fill": f"""WITH {ARTICLES}, {COUNTS},
@@ -111,6 +116,7 @@ SQL = {
         SELECT page_id, deny < 0 OR allow >= deny AS allowed FROM b""",
     "newest_n_per_source": f"""WITH {ARTICLES}, r AS (SELECT source_id, item_id, row_number() OVER (PARTITION BY source_id ORDER BY date_estimated, published_at DESC, item_id) AS rank FROM a) SELECT * FROM r WHERE rank <= 5""",
     "ration_held": f"WITH {ARTICLES} SELECT source_id, least(count(*), 5) AS taken, greatest(count(*) - 5, 0) AS held FROM a GROUP BY source_id",
+    "known_hash_store": f"WITH {URLS} SELECT page_id, canonical_hash FROM uh WHERE page_id % 3 = 2 AND canonical_hash NOT IN (SELECT canonical_hash FROM uh WHERE page_id % 3 <> 2)",
     "known_hash_anti": f"WITH {URLS} SELECT page_id, canonical_hash FROM uh WHERE page_id % 3 = 2 AND canonical_hash NOT IN (SELECT canonical_hash FROM uh WHERE page_id % 3 <> 2)",
     "unseen_per_source": f"WITH {URLS} SELECT page_id, source_id FROM uh x WHERE NOT EXISTS (SELECT 1 FROM uh y WHERE y.page_id % 2 = 0 AND y.source_id = x.source_id AND y.canonical_hash = x.canonical_hash)",
     "near_duplicate_band_join": f"""WITH {TITLED} SELECT pos FROM t x WHERE pos % 2 = 1 AND NOT EXISTS (SELECT 1 FROM t y WHERE y.pos % 2 = 0 AND y.title_key <> '' AND y.institution = x.institution AND y.title_key = x.title_key
@@ -136,6 +142,11 @@ SQL = {
     "unmapped_top25": "SELECT c AS category, count(*) AS n FROM (SELECT unnest([lang, source]) AS c FROM documents) WHERE lower(trim(c)) NOT IN ('en', 'fr', 'de') GROUP BY c ORDER BY n DESC, c LIMIT 25",
     "untagged_items": "SELECT doc_id AS item_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "due_sources": f"""WITH {LOG} SELECT id, last_fetch_at, consecutive_failures FROM reg WHERE enabled AND in_config AND last_fetch_at + 1800000 * CAST(pow(2, least(consecutive_failures, 4)) AS BIGINT) <= {START + 30 * DAY}""",
+    "fetch_schedule": f"""WITH {LOG}, d AS (SELECT id, last_fetch_at, 'host' || (id % 37) AS host, greatest(id % 4, 1) * 1000 AS takes FROM reg WHERE enabled AND in_config),
+        h AS (SELECT host, sum(takes) AS total, count(*) AS n FROM d GROUP BY host), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, host) AS rank FROM h),
+        l AS (SELECT *, (rank - 1) % 4 AS lane, coalesce(sum(total) OVER w, 0) AS since, coalesce(sum(n) OVER w, 0) AS done FROM r WINDOW w AS (PARTITION BY (rank - 1) % 4 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT id, host, lane, CAST(done + row_number() OVER (PARTITION BY host ORDER BY coalesce(last_fetch_at, 0), id) AS BIGINT) AS place,
+               CAST(since + coalesce(sum(takes) OVER (PARTITION BY host ORDER BY coalesce(last_fetch_at, 0), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM d JOIN l USING (host)""",
     "health_rows": f"WITH {LOG} SELECT id, institution, name, last_status, last_status IN ('error', 'empty') AS broken FROM reg WHERE enabled AND in_config",
     "broken_count": f"WITH {LOG} SELECT count(*) FILTER (WHERE last_status IN ('error', 'empty')) AS broken FROM reg WHERE enabled AND in_config",
     "failure_streak": f"WITH {LOG} SELECT source_id, consecutive_failures, fetches FROM s",

@@ -58,6 +58,10 @@ def after(query: ItemQuery) -> Column:
     return (est > c.estimated) | ((est == c.estimated) & (past(at, c.at) | ((at == c.at) & past(item, c.item_id))))
 
 
+#: Columns that deciding on a page's rows takes.
+NEEDED = ("item_id", "institution", "title", "summary", "published_at", "date_estimated", "tags")
+
+
 def page_rows(items: DataFrame, query: ItemQuery, now_ms: int) -> DataFrame:
     """The page; the limit becomes a top-k, so no full sort."""
     return items.filter(matches(query, now_ms) & after(query)).orderBy(*order(query)).limit(query.limit)

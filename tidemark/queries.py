@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, paths, text, urls
 from tidemark.lineage import shared_dir
-from tidemark.model import DAY_MS, ItemQuery
+from tidemark.model import DAY_MS, ITEMS, ItemQuery
 from tidemark.operators import dedupe, discover, health, prune, rations, tagging
 from tidemark.operators.tagging import Rule, Taxonomy
-from tidemark.plans import panel
+from tidemark.plans import bitmaps, panel
+from tidemark.store import Store
 
 START = 1_704_067_200_000
 HOUR = 3_600_000
@@ -105,6 +106,23 @@ def facet_zero_fill(spark, sf_dir):
     return panel.tag_facets(items, SELECTED, _now(items), TAXONOMY.facet_values(spark))
 
 
+def facet_tags_from_bitmaps(spark, sf_dir):
+    """The tags' counts as intersections of bitmaps."""
+    items = articles(spark, sf_dir)
+    return bitmaps.tag_counts(bitmaps.bitmaps(items), items, SELECTED, _now(items))
+
+
+def facet_institution_from_bitmaps(spark, sf_dir):
+    items = articles(spark, sf_dir)
+    return bitmaps.institution_facet(bitmaps.bitmaps(items), items, SELECTED.but(institutions=("src1", "src2")), _now(items))
+
+
+def panel_search_by_trigrams(spark, sf_dir):
+    """All items with a word, by what the word's trigrams have in common."""
+    items = articles(spark, sf_dir)
+    return bitmaps.search(items, bitmaps.trigrams(items), "License").select("item_id", "institution", "title", "published_at")
+
+
 def corpus_totals(spark, sf_dir):
     return panel.corpus_totals(articles(spark, sf_dir, False))
 
@@ -220,6 +238,47 @@ def known_hash_anti(spark, sf_dir):
     return dedupe.not_known(rows.filter("page_id % 3 = 2"), rows.filter("page_id % 3 = 0"), rows.filter("page_id % 3 = 1")).select("page_id", "canonical_hash")
 
 
+def known_hash_store(spark, sf_dir):
+    """As known_hash_anti, against a store of ten folders: only folders whose filters have a hash of the batch are read."""
+    rows = _url_rows(spark, sf_dir)
+    store = _store(spark)
+    blank = spark.createDataFrame([], ITEMS).schema
+    item = lambda df: df.select(*[F.col("canonical_hash") if f.name == "canonical_hash" else F.col("page_id").alias("item_id") if f.name == "item_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in blank])
+    for part in range(5):
+        own = rows.filter(f"(page_id div 3) % 5 = {part}")
+        store.change({"items": item(own.filter("page_id % 3 = 0")), "pruned_urls": own.filter("page_id % 3 = 1").select("canonical_hash", F.lit(1).cast("long").alias("pruned_at"))})
+    batch = rows.filter("page_id % 3 = 2")
+    return batch.join(store.known(batch), "canonical_hash", "left_anti").select("page_id", "canonical_hash")
+
+
+def _dated_store(spark, sf_dir):
+    """A compacted store of the articles, with bitmaps and trigrams: written once a program and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "store")
+    if key not in _stored:
+        store = _store(spark)
+        items = articles(spark, sf_dir).withColumns({"url": F.lit("u"), "canonical_hash": F.sha2(F.col("item_id").cast("string"), 256), "title_key": F.lit("")}).select(*[f.split()[0] for f in ITEMS.split(", ")])
+        store.change({"items": items})
+        store.compact(most=0)
+        _stored[key] = store.root
+    return Store(spark, _stored[key], indexed=True)
+
+
+def panel_page_store(spark, sf_dir):
+    """The first page, read from the newest folders of a store until it is full."""
+    items = articles(spark, sf_dir)
+    rows = _dated_store(spark, sf_dir).page_rows(SELECTED, _now(items))
+    return rows.select("item_id", "institution", "title", "published_at", "date_estimated", F.array_join("tags", ",").alias("tags"))
+
+
+def facet_tags_store(spark, sf_dir):
+    """The tags' counts from the bitmaps that a store keeps beside its folders."""
+    return _dated_store(spark, sf_dir).facets(SELECTED, _now(articles(spark, sf_dir)))[0]
+
+
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", indexed=True)
+
+
 def unseen_per_source(spark, sf_dir):
     rows = _url_rows(spark, sf_dir)
     return dedupe.unseen(rows, rows.filter("page_id % 2 = 0")).select("page_id", "source_id")
@@ -324,6 +383,13 @@ def due_sources(spark, sf_dir):
     return health.due_sources(_registry(spark, sf_dir), F.lit(START + 30 * DAY_MS).cast("long")).select("id", "last_fetch_at", "consecutive_failures")
 
 
+def fetch_schedule(spark, sf_dir):
+    """Lane and start of every active source: a source per user, a host for each hundred, some with several requests."""
+    due = health.to_run(_registry(spark, sf_dir), START, force=True)
+    out = health.schedule(due, F.concat(F.lit("Host"), F.col("id") % 37), F.col("id") % 4)
+    return out.select("id", "host", F.col("lane").cast("long").alias("lane"), "place", "start_ms")
+
+
 def health_rows(spark, sf_dir):
     return health.health_rows(_registry(spark, sf_dir)).select("id", "institution", "name", "last_status", "broken")
 
@@ -398,10 +464,10 @@ def queries() -> dict:
         "panel_facetless_tag_ignored": _panel(ItemQuery(tags=("nonsense",), since="all", limit=50)),
     }
     own = (
-        panel_total, facet_institution, facet_tags_self_excluded, facet_zero_fill, corpus_totals, items_with_source_name, item_tags_exploded, item_tags_joined, tags_semi_join, url_canonical, url_canonical_exact,
-        url_canonical_hash, url_exact_dedupe, title_key, display_title, excerpt, title_from_url, url_origin, json_path_props, date_parse_classes, age_labels, robots_allowed, newest_n_per_source, ration_held, known_hash_anti,
+        panel_total, facet_tags_from_bitmaps, facet_institution_from_bitmaps, panel_search_by_trigrams, facet_institution, facet_tags_self_excluded, facet_zero_fill, corpus_totals, items_with_source_name, item_tags_exploded, item_tags_joined, tags_semi_join, url_canonical, url_canonical_exact,
+        url_canonical_hash, url_exact_dedupe, title_key, display_title, excerpt, title_from_url, url_origin, json_path_props, date_parse_classes, age_labels, robots_allowed, newest_n_per_source, ration_held, known_hash_anti, known_hash_store, panel_page_store, facet_tags_store,
         unseen_per_source, near_duplicate_band_join, near_duplicate_greedy, undated_ration, sitemap_include_exclude, sitemap_newest, insert_decisions, tag_rules, tag_native_map, tag_union_sorted, retag_by_source, unmapped_top25,
-        untagged_items, due_sources, health_rows, broken_count, failure_streak, prune_preview, prune_by_institution, prune_kept, prune_tombstones, orphan_tags, source_upsert, record_score,
+        untagged_items, due_sources, fetch_schedule, health_rows, broken_count, failure_streak, prune_preview, prune_by_institution, prune_kept, prune_tombstones, orphan_tags, source_upsert, record_score,
     )
     from tidemark import landed_queries
 

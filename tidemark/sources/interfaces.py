@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import sort_ms
-from tidemark.functions.paths import as_string, as_strings, get_path
+from tidemark.functions.paths import as_string, as_strings, json_path
 from tidemark.functions.text import excerpt
 from tidemark.operators.rations import newest_records
 
@@ -18,23 +19,62 @@ from tidemark.operators.rations import newest_records
 MOST_NEW = 25
 
 
+#: What extraction needs of an adapter, as a column, so that interfaces of any make go through one plan.
+SETTINGS = (
+    "struct<shown:string,items_path:string,url:string,title:string,summary:string,published_at:string,categories:array<struct<head:string,rest:string>>,page_size:int,most:int>"
+)
+
+
+def settings(adapter: dict) -> dict:
+    """SETTINGS of an adapter. A path over elements (`a[].b`) is its part before them and that within each."""
+    fields, shown = adapter["fields"], adapter.get("items_path") or ""
+    paths = fields.get("categories") or []
+    categories = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        head, fan, rest = p.partition("[]")
+        categories.append({"head": json_path(head), "rest": json_path(rest.removeprefix(".")) if fan else None})
+    one = {f: json_path(fields[f]) if fields.get(f) else None for f in ("url", "title", "summary", "published_at")}
+    return {"shown": shown or "(root)", "items_path": json_path(shown), **one, "categories": categories, "page_size": (adapter.get("pagination") or {}).get("page_size"), "most": adapter.get("max_new_per_run") or MOST_NEW}
+
+
+def _set(landed: DataFrame, adapter: dict) -> DataFrame:
+    """landed with one adapter's settings."""
+    return landed.withColumn("settings", F.from_json(F.lit(json.dumps(settings(adapter))), SETTINGS))
+
+
+def _at(value: Column, path: Column) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def _many(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _records(landed: DataFrame) -> DataFrame:
+    found = landed.withColumn("items", _many(_at(F.try_parse_json("body"), F.col("settings.items_path"))))
+    return found.select("source_id", "page", "settings", F.col("items").isNull().alias("bad"), F.coalesce(F.size("items"), F.lit(0)).alias("size"), F.posexplode_outer("items").alias("pos", "record"))
+
+
 def records(landed: DataFrame, items_path: str) -> DataFrame:
     """source_id, page, pos, record (VARIANT), size of the page; and bad: the path is no array there."""
-    parsed = landed.select("source_id", "page", F.try_parse_json("body").alias("payload"))
-    found = parsed.withColumn("items", F.try_variant_get(get_path(F.col("payload"), items_path), "$", "array<variant>"))
-    return found.select("source_id", "page", F.col("items").isNull().alias("bad"), F.coalesce(F.size("items"), F.lit(0)).alias("size"), F.posexplode_outer("items").alias("pos", "record"))
+    return _records(_set(landed, {"items_path": items_path, "fields": {}})).drop("settings")
 
 
-def json_problems(landed: DataFrame, items_path: str) -> DataFrame:
-    """source_id, page, error: pages that are no JSON, or whose items path leads to no array."""
+def problems(landed: DataFrame) -> DataFrame:
+    """source_id, page, error: pages (with settings) that are no JSON, or whose items path leads to no array."""
     payload = F.try_parse_json("body")
-    found = F.try_variant_get(get_path(payload, items_path), "$", "array<variant>")
-    error = F.when(payload.isNull(), "not JSON").when(found.isNull(), F.lit(f"items_path {items_path or '(root)'} is not an array"))
+    wrong = F.concat(F.lit("items_path "), F.col("settings.shown"), F.lit(" is not an array"))
+    error = F.when(payload.isNull(), "not JSON").when(_many(_at(payload, F.col("settings.items_path"))).isNull(), wrong)
     return landed.select("source_id", "page", error.alias("error")).filter("error is not null")
 
 
-def newest(rows: DataFrame, now_ms: int, most: int = MOST_NEW) -> DataFrame:
+def json_problems(landed: DataFrame, items_path: str) -> DataFrame:
+    return problems(_set(landed, {"items_path": items_path, "fields": {}}))
+
+
+def newest(rows: DataFrame, now_ms: int, most: int | Column = MOST_NEW) -> DataFrame:
     """Of a source with more than most raw items, the most recent, in that order; undated ones come last."""
+    most = F.lit(most) if isinstance(most, int) else most
     keyed = rows.withColumn("date_key", sort_ms(F.col("published_raw"), F.lit(now_ms).cast("long"), F.col("published_kind")))
     over = keyed.withColumn("__n", F.count("*").over(Window.partitionBy("source_id")))
     ranked = newest_records(over, most)
@@ -42,28 +82,30 @@ def newest(rows: DataFrame, now_ms: int, most: int = MOST_NEW) -> DataFrame:
 
 
 def json_items(landed: DataFrame, items_path: str, fields: dict, page_size: int | None = None) -> DataFrame:
-    """Raw items in page order, each url once; pages after an empty, a short or a useless one don't count.
+    """items() of interfaces of one make. fields: url and title, and where known published_at, summary and categories (a path or several)."""
+    return items(_set(landed, {"items_path": items_path, "fields": fields, "pagination": {"page_size": page_size}})).drop("settings")
 
-    fields: url and title, and where known published_at, summary and categories (a path or several).
-    """
-    rows = records(landed, items_path)
-    paths = fields.get("categories") or []
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    date = get_path(F.col("record"), fields["published_at"]) if fields.get("published_at") else F.lit(None).cast("variant")
+
+def items(landed: DataFrame) -> DataFrame:
+    """Raw items of landed pages (with settings) in page order, each url once; pages after an empty, a short or a useless one don't count."""
+    rows = _records(landed)
+    of = lambda name: _at(F.col("record"), F.col(f"settings.{name}"))
+    date = of("published_at")
     kind = F.schema_of_variant(date)
-    categories = F.flatten(F.array(*[F.coalesce(_strings(p), F.array().cast("array<string>")) for p in paths])) if paths else F.array().cast("array<string>")
+    within = lambda p: F.filter(F.transform(_many(_at(F.col("record"), p["head"])), lambda v: as_string(_at(v, p["rest"]))), lambda t: t.isNotNull())
+    none = F.array().cast("array<string>")
+    texts = F.transform("settings.categories", lambda p: F.coalesce(F.when(p["rest"].isNull(), as_strings(_at(F.col("record"), p["head"]))).otherwise(within(p)), none))
     out = rows.select(
-        "source_id", "page", "pos", "size", as_string(get_path(F.col("record"), fields["url"])).alias("url"), as_string(get_path(F.col("record"), fields["title"])).alias("title"),
-        (excerpt(as_string(get_path(F.col("record"), fields["summary"]))) if fields.get("summary") else F.lit(None).cast("string")).alias("summary"),
+        "source_id", "page", "pos", "size", "settings", as_string(of("url")).alias("url"), as_string(of("title")).alias("title"), excerpt(as_string(of("summary"))).alias("summary"),
         F.try_variant_get(date, "$", "string").alias("published_raw"), F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "number").otherwise("string").alias("published_kind"),
-        F.lit(False).alias("date_is_weak"), categories.alias("categories"),
+        F.lit(False).alias("date_is_weak"), F.coalesce(F.flatten(texts), none).alias("categories"),
     )
     good = F.col("url").isNotNull() & F.col("title").isNotNull()
     # A record without url or title doesn't make its url known.
     first = Window.partitionBy("source_id", "url", good).orderBy("page", "pos")
     out = out.withColumn("__use", good & (F.row_number().over(first) == 1))
-    pages = out.groupBy("source_id", "page").agg(F.count_if("__use").alias("__usable"), F.max("size").alias("__size"))
-    ends = (F.col("__usable") == 0) | (F.lit(False) if page_size is None else F.col("__size") < page_size)
+    pages = out.groupBy("source_id", "page").agg(F.count_if("__use").alias("__usable"), F.max("size").alias("__size"), F.first("settings.page_size").alias("__full"))
+    ends = (F.col("__usable") == 0) | F.coalesce(F.col("__size") < F.col("__full"), F.lit(False))
     before = Window.partitionBy("source_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     open_ = pages.withColumn("__over", F.coalesce(F.max(ends).over(before), F.lit(False))).filter("not __over").select("source_id", "page")
     kept = out.filter("__use").join(open_, ["source_id", "page"], "left_semi")
@@ -71,13 +113,6 @@ def json_items(landed: DataFrame, items_path: str, fields: dict, page_size: int
     return kept.withColumn("source_pos", (F.row_number().over(order) - 1).cast("long")).drop("__use", "size", "pos", "page")
 
 
-def _strings(path: str):
-    if "[]" in path:
-        found = get_path(F.col("record"), path)
-        return F.filter(F.transform(found, as_string), lambda s: s.isNotNull())
-    return as_strings(get_path(F.col("record"), path))
-
-
 def offsets(page_size: int, pages: int) -> list[int]:
     return [page * page_size for page in range(pages)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parse_date
@@ -127,10 +127,11 @@ def listing(html: str | None, selectors: dict, base: str | None) -> dict:
 meta = arrow(article_meta, META)
 
 
-def listing_items(landed: DataFrame, selectors: dict) -> DataFrame:
-    """Raw items of landed (or rendered) listing pages (source_id, url, body)."""
-    found = F.udf(lambda body, url: listing(body, selectors, url), LISTING, useArrow=True)
-    rows = landed.select("source_id", found("body", "url").alias("l")).select("source_id", F.posexplode("l.items").alias("source_pos", "e"))
+def listing_items(landed: DataFrame, selectors: dict | Column) -> DataFrame:
+    """Raw items of landed (or rendered) listing pages (source_id, url, body); selectors of all of them, or a column of theirs as JSON."""
+    how = selectors if isinstance(selectors, Column) else F.lit(json.dumps(selectors))
+    found = F.udf(lambda body, url, chosen: listing(body, json.loads(chosen), url), LISTING, useArrow=True)
+    rows = landed.select("source_id", found(F.col("body"), F.col("url"), how).alias("l")).select("source_id", F.posexplode("l.items").alias("source_pos", "e"))
     return rows.select(
         "source_id", F.col("source_pos").cast("long").alias("source_pos"), "e.*", F.array().cast("array<string>").alias("categories"), F.lit("string").alias("published_kind"), F.lit(False).alias("date_is_weak")
     )

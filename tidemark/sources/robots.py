@@ -28,11 +28,26 @@ def parse_robots(text: str, agent: str) -> dict[str, list[str]]:
     return {k: [p for r in mine for p in r[k]] for k in ("allow", "disallow")}
 
 
+def compiled(rules: DataFrame) -> DataFrame:
+    """origin and __rules: an origin's rules as one array, in the order in which they decide: the longest first, allow before disallow.
+
+    A rule is its plain beginning and, if it has more than that, a pattern. The number of rules of an origin is
+    bounded by the size of its robots.txt.
+    """
+    plain = F.regexp_extract("path", r"^([^*]*?)(?:\*.*|\$)?$", 1)
+    rest = F.when(plain != F.col("path"), F.udf(robots_pattern, "string", useArrow=True)("path"))
+    rule = F.struct((-F.length("path")).alias("less"), (~F.col("allow")).alias("blocks"), plain.alias("begin"), rest.alias("pattern"))
+    return rules.groupBy("origin").agg(F.array_sort(F.collect_set(rule)).alias("__rules"))
+
+
 def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """urls with allowed; rules: (origin, allow boolean, path). The longest match decides, allow wins a tie."""
+    """urls with allowed; rules: (origin, allow boolean, path). The longest match decides, allow wins a tie.
+
+    Each url meets its origin's rules once, as one array, and takes the first that fits: no row for every rule.
+    """
     path = F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^#]*)", 1)
     keyed = urls.withColumn("__o", origin(F.col(url))).withColumn("__p", F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)))
-    compiled = rules.select(F.col("origin").alias("__o"), F.col("allow"), F.length("path").alias("__len"), F.udf(robots_pattern, "string", useArrow=True)("path").alias("__re"))
-    hit = keyed.select(url, "__o", "__p").distinct().join(compiled, "__o").filter(F.expr("__p rlike __re"))
-    best = hit.groupBy(url).agg(F.max(F.struct("__len", "allow")).alias("best")).select(url, F.col("best.allow").alias("__allow"))
-    return keyed.join(best, url, "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__o", "__p", "__allow")
+    joined = keyed.join(compiled(rules).withColumnRenamed("origin", "__o"), "__o", "left")
+    fits = F.filter("__rules", lambda r: F.startswith(F.col("__p"), r["begin"]) & F.coalesce(F.call_function("rlike", F.col("__p"), r["pattern"]), F.lit(True)))
+    first = F.try_element_at(fits, F.lit(1))
+    return joined.withColumn("allowed", F.coalesce(~first["blocks"], F.lit(True))).drop("__o", "__p", "__rules")
