@@ -125,6 +125,16 @@ def _remove_all() -> None:
     _remove(_tables)
 
 
+def free_name(name: str, taken) -> str:
+    """The name, or the first of name_found, name_found_, ... that isn't among the names taken, whatever their case."""
+    taken = {t.lower() for t in taken}
+    if name.lower() in taken:
+        name += "_found"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tasks_for(rows: int, each: int = 25_000) -> int:
     """How many tasks rows after a shuffle are worth: small tables needn't be read in hundreds of parts.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_arrow, mix, save, slices, small_batches
+from .common import chunks, free_name, in_arrow, mix, save, slices, small_batches
 
 ORDERS = (2, 3, 4)
 #: Slots that an n-gram has.
@@ -30,9 +30,6 @@ SAMPLE_DOCS = 5_000
 #: n-grams seen less often in a language's sample don't enter its filter; fewer suffice where the sample has
 #: less than so many documents, as many as its share of them.
 LEAST_COUNT, LEAST_DOCS = 4, 80
-#: Languages that a model learns: those with the most labelled documents, ties by name. More are most
-#: likely no languages but a column of dirt; documents in them go to the learned ones.
-MOST_LANGS = 1024
 UNKNOWN = "und"
 #: Documents with a lower score don't resemble any learned language.
 LEAST_SCORE = 0.25
@@ -131,9 +128,13 @@ def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from rows with text and lang, of at most MOST_LANGS languages; without any, the model knows no language."""
+    """Learns from rows with text and lang, all languages there are; without any, the model knows no language.
+
+    Null and empty texts teach nothing but that their language exists; a very long text is learned whole;
+    repeated rows count each. Keys only draw the sample; a null key counts as empty.
+    """
     known = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], 1, [], np.zeros(0), np.zeros(0))
@@ -160,31 +161,55 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     least = F.element_at(F.array(*[F.lit(max(1, min(LEAST_COUNT, LEAST_COUNT * n // LEAST_DOCS))) for n in docs_of]), F.col("lang") + 1)
     rate = counts.filter(F.col("n") >= least).join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("rate"))
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
-    chosen = rate.join(top, "gram").filter(F.col("rate") >= F.col("top") * SHARE).select("lang", "gram", "rate")
-    got = chosen.toArrow()  # bounded by the sample
-    name, gram, share = (got.column(i).to_numpy() for i in range(3))
-    return build(langs, name, gram.view(np.uint64), share)
+    chosen = save(rate.join(top, "gram").filter(F.col("rate") >= F.col("top") * SHARE).select("lang", "gram", "rate"), "chosen")
+    # The driver gets sums by language and the words of the tables, whose number follows the sample, not the languages.
+    sums = {r.lang: (r.n, r.usual) for r in chosen.groupBy("lang").agg(F.count("*").alias("n"), F.sum("rate").alias("usual")).collect()}
+    bits = bits_for(max((n for n, _ in sums.values()), default=1))
 
+    def words(batches):
+        for b in batches:
+            own, slots = b.column(0).to_numpy().astype(np.int64), _slots(b.column(1).to_numpy().view(np.uint64), bits)
+            mask = (np.uint64(1) << (own % 64).astype(np.uint64)).view(np.int64)
+            for s in slots:
+                yield pa.RecordBatch.from_arrays([pa.array((own // 64).astype(np.int32)), pa.array(s), pa.array(mask)], ["part", "slot", "mask"])
 
-def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, rate: np.ndarray) -> Model:
-    """The tables, with at least 16 slots for each n-gram of a filter."""
-    most = int(np.bincount(lang, minlength=len(langs)).max()) if len(lang) else 1
-    bits = max(10, int(np.ceil(np.log2(16 * max(1, most)))))
+    packed = chosen.select("lang", "gram").mapInArrow(words, "part int, slot long, mask long").groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    part, slot, mask = (packed.column(i).to_numpy() for i in range(3))
+    return _model(langs, bits, part, slot, mask.view(np.uint64), [sums.get(i, (0, 0.0))[1] for i in range(len(langs))])
+
+
+def bits_for(most: int) -> int:
+    """The logarithm of a table's size: at least 16 slots for each n-gram of the largest filter."""
+    return max(10, int(np.ceil(np.log2(16 * max(1, most)))))
+
+
+def _model(langs: list[str], bits: int, part: np.ndarray, slot: np.ndarray, mask: np.ndarray, usual: list[float]) -> Model:
+    """usual: the share of a language's own n-grams that its filter holds."""
     kind = np.uint8 if len(langs) <= 8 else np.uint64
     tables = [np.zeros(1 << bits, kind) for _ in range(0, len(langs), 64)]
-    slots = _slots(gram, bits)
-    for l in range(len(langs)):
-        own = lang == l
-        for s in slots:
-            tables[l // 64][s[own]] |= kind(1 << l % 64)
+    for i, table in enumerate(tables):
+        table[slot[part == i]] = mask[part == i].astype(kind)
     fill = np.array([((tables[l // 64] >> kind(l % 64)) & kind(1)).mean() for l in range(len(langs))])
-    # The share of a language's own n-grams that its filter holds.
-    usual = np.array([max(rate[lang == l].sum(), 1e-9) for l in range(len(langs))])
-    return Model(langs, bits, tables, fill**K, usual)
+    return Model(langs, bits, tables, fill**K, np.maximum(np.array(usual, float), 1e-9))
+
+
+def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, rate: np.ndarray) -> Model:
+    """A model of given n-grams, for small ones."""
+    bits = bits_for(int(np.bincount(lang, minlength=len(langs)).max()) if len(lang) else 1)
+    slots = np.concatenate(_slots(gram, bits))
+    own = np.tile(lang, K)
+    at, back = np.unique(np.stack([own // 64, slots]), axis=1, return_inverse=True)
+    mask = np.zeros(at.shape[1], np.uint64)
+    np.bitwise_or.at(mask, back.ravel(), np.uint64(1) << (own % 64).astype(np.uint64))
+    return _model(langs, bits, at[0], at[1], mask, [rate[lang == l].sum() for l in range(len(langs))])
+
 
+def judged(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """docs with language and score under the names, which docs may not have. Only the text goes to Python, and only the verdict comes back.
 
-def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with __lang and __score. Only the text goes to Python, and only the verdict comes back."""
+    Null, and texts without a letter, are UNKNOWN with score 0; rows alike are judged alike, a very long text whole;
+    an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang string, score double")
@@ -199,8 +224,9 @@ def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang", "score"])
 
     small_batches(docs.sparkSession)
-    found = docs.withColumn("__found", verdict(F.col(f"`{text}`").cast("string")))
-    return found.withColumns({"__lang": F.col("__found.lang"), "__score": F.col("__found.score")}).drop("__found")
+    own = free_name("__verdict", docs.columns)
+    found = docs.withColumn(own, verdict(F.col(f"`{text}`").cast("string")))
+    return found.withColumns({names[0]: F.col(f"{own}.lang"), names[1]: F.col(f"{own}.score")}).drop(own)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -211,7 +237,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     table gives an empty one.
     """
     keep = docs.columns if keep is None else keep
-    taken = set(keep)
-    names = [c if c not in taken else f"{c}_found" for c in ("lang_pred", "score")]
-    found = judged(docs.select(*{f"`{c}`": 0 for c in [*keep, text]}), model, text)
-    return found.select(*[F.col(f"`{c}`") for c in keep], F.col("__lang").alias(names[0]), F.col("__score").alias(names[1]))
+    names = [free_name(c, keep) for c in ("lang_pred", "score")]
+    inner = [free_name(c, [*keep, text]) for c in ("__lang", "__score")]
+    found = judged(docs.select(*{f"`{c}`": 0 for c in [*keep, text]}), model, text, tuple(inner))
+    return found.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{i}`").alias(n) for i, n in zip(inner, names)])
