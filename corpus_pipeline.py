@@ -7,6 +7,7 @@ Scratch tables of a stage go when the next begins.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -16,12 +17,17 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, exact_dedup, language_id, mixing, near_dedup, packing
 
 
+def _owner(sf_dir: str) -> str:
+    """Two runs at once in one program are in threads of their own."""
+    return f"pipeline over {sf_dir} in {threading.get_ident()}"
+
+
 def _stage(f: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """Scratch tables belong to the pipeline over sf_dir: what the stages before left there goes when the next begins."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        owner = f"pipeline over {sf_dir}"
+        owner = _owner(sf_dir)
         common.release(owner)
         with common.owned(owner):
             return f(spark, docs, sf_dir)
@@ -40,8 +46,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = language_id.judged(docs, model)
-    return found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= language_id.LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = (common.free_name(c, docs.columns) for c in ("__lang", "__score"))
+    found = language_id.judged(docs, model, names=(lang, score))
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= language_id.LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @_stage
@@ -94,5 +101,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), name)
-    common.release(f"pipeline over {sf_dir}")
+    common.release(_owner(sf_dir))
     return docs
