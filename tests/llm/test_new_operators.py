@@ -8,10 +8,12 @@ import itertools
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from tidemark.llm import alignment, filter_audit, queries, simhash
+from pyspark.sql import functions as F
+from tidemark.llm import alignment, filter_audit, hmm_lm, language_id, queries, simhash
 
 from ..conftest import DATA
 from .test_operators import LOWER, none, odd, words  # noqa: F401
@@ -230,23 +232,23 @@ def test_alignment_query(spark, both, docs):
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
 
 
-def test_segments_give_the_same_as_whole_texts(docs, both):
+def test_segments_give_the_same_as_whole_texts(docs, both, monkeypatch):
     """Small windows and caches: cuts and evictions change nothing."""
     by = alignment.Pair(alignment.vocabulary("byte_bpe_50k.json"), alignment.vocabulary("piece_bpe_32k.model"))
     assert by._cuts
     texts = [r.text for r in docs.limit(30).collect()] + STRANGE[1:]
     want = []
     by._cuts = False
-    for t in texts:
-        g, *rest = by.align(t)
-        want.append((";".join(g), *rest))
-    by._cuts = True
-    old = alignment.WINDOW, alignment.CACHE
-    alignment.WINDOW, alignment.CACHE = 40, 60
-    try:
-        assert [(";".join(g), *rest) for t in texts for g, *rest in [by.align(t)]] == want
-    finally:
-        alignment.WINDOW, alignment.CACHE = old
+    plain = lambda: [(";".join(g), *rest) for g, *rest in by.align(texts)]
+    want = plain()
+    by._cuts, by._new, by._old = True, {}, {}
+    assert by._fast and plain() == want
+    for window, cache, together in ((40, 60, 7), (1 << 18, 5, 1), (40, 10**6, 500)):
+        by._new, by._old = {}, {}
+        monkeypatch.setattr(alignment, "WINDOW", window)
+        monkeypatch.setattr(alignment, "CACHE", cache)
+        monkeypatch.setattr(alignment, "TOGETHER", together)
+        assert plain() == want
 
 
 def test_alignment_of_an_empty_table_and_the_dictionary(spark, none):
@@ -257,3 +259,53 @@ def test_alignment_of_an_empty_table_and_the_dictionary(spark, none):
     pairs = alignment.dictionary(df).collect()
     assert sum(r.n for r in pairs) == got.n_links and max(r.n for r in pairs) == 2 and all(r.best for r in pairs if r.n == 2)
     assert got.count_sum == sum(r.n**2 for r in pairs)
+
+
+# 2: more than one table of languages, and names of columns
+
+
+def test_more_languages_than_a_table_has_bits(spark):
+    rng = random.Random(11)
+    rows = []
+    for lang in range(70):
+        stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        rows += [(100 * lang + i, " ".join(rng.choice(stems) for _ in range(30)), f"l{lang:02}") for i in range(4)]
+    df = spark.createDataFrame(rows + [(9000, None, "l99"), (9001, "abc", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.langs) == 70 and len(model.tables) == 2
+    got = language_id.identify(df, model).filter("lang is not null and text is not null").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_columns_named_like_the_operators(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog", "en", "mine", 5.0, "a", "b", "c")], "doc_id long, text string, lang string, __lang string, __score double, score string, score_found string, __verdict string")
+    model = language_id.fit(df)
+    got = language_id.identify(df, model)
+    assert got.columns == [*df.columns, "lang_pred", "score_found_"] and got.first()["__lang"] == "mine" and got.first().lang_pred == "en"
+    stage = corpus_pipeline.STAGES[0][1](spark, df, "names")
+    assert stage.columns == df.columns and stage.first()["__lang"] == "mine" and stage.first()["__score"] == 5.0
+
+
+def test_two_runs_of_the_pipeline_at_once(spark):
+    """A stage of one run begins while another's is still to be written."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(_):
+        return sorted((r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect())
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(one, range(2))
+    assert sorted(x[2] for x in first) == sorted(x[2] for x in second) and len(first) > 50
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977} und{i % 13} é" for i in range(120_000))
+    df = spark.createDataFrame([(1, long, "de"), (2, "kurz und gut", "de"), (3, long + " x", "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df, language_id.fit(df)).collect()}
+    assert got[1].lang_pred == got[3].lang_pred == "de"
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_simhash(df).collect()}[1] == (f"{plain_fingerprint(long):016x}", 1)
+    by = alignment.Pair(alignment.vocabulary("byte_bpe_50k.json"), alignment.vocabulary("piece_bpe_32k.model"))
+    found = {r.doc_id: r for r in alignment.align(df).collect()}
+    assert found[1].n_a == len(by._a.encode(" " + long, add_special_tokens=False).ids) and found[1].n_b == len(by._b.encode(long))
+    scored = hmm_lm.score(df.withColumn("out", F.col("doc_id") == 2), "out").collect()
+    assert {r.doc_id: r.n_tokens for r in scored} == {1: 360_001, 2: 4, 3: 360_002}

@@ -9,12 +9,17 @@
 
 A text is encoded in segments, cut at single spaces between two characters that aren't white space: no token of
 either tokenizer spans such a place (checked against the vocabulary), so the tokens of a text are those of
-its segments, and a segment that was seen before needn't be encoded again.
+its segments, and a segment that was seen before needn't be encoded again. New segments are encoded many
+at a time, as one text, and their groups found by arrays; a's plain Latin ones by `tiktoken` with the
+file's own vocabulary, whose ids are the order of its merges (checked as well).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import json
 import os
 import re
 from urllib.parse import unquote, urlparse
@@ -29,8 +34,8 @@ from .common import in_arrow, save, slices
 
 #: Segments that a worker remembers, twice, and characters that such a segment has at most.
 CACHE, LONGEST = 150_000, 64
-#: Characters of a text that are cut and encoded at once.
-WINDOW = 1 << 18
+#: Characters of a text that are cut at once, and segments that are encoded as one text.
+WINDOW, TOGETHER = 1 << 18, 500
 #: Keys that a task gathers before it counts them.
 GATHER = 4_000_000
 
@@ -54,6 +59,8 @@ class Pair:
     """
 
     _cut = re.compile(r" (?<=\S )(?=\S)")
+    #: Characters that every version of Unicode takes alike go through tiktoken.
+    _odd = re.compile(r"[^\n -~À-ÖØ-öø-ſ]")
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +81,14 @@ class Pair:
         # A space inside a piece, or a normaliser, could reach over a cut.
         same = "a  b　cﬁ\t d"
         self._cuts = not any("▁" in p.lstrip("▁") for p in pieces) and self._b.decode(self._b.encode(same)) == same and self._pre_tokens_keep_spaces()
+        self._fast = self._by_ranks(a_path) if self._cuts else None
+        # Each id as it is written in groups: with a comma, or with what ends its side of the group.
+        inner, last = ([f"{i}{sep}" for n, sep in pairs for i in range(n)] for pairs in (((len(self.a_bytes), ","), (len(pieces), ",")), ((len(self.a_bytes), "|"), (len(pieces), ";"))))
+        self._names = np.array(inner + last, object)
+        self._name_sizes = np.fromiter(map(len, inner + last), np.int64, len(inner + last))
+        self._a_sizes, self._b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        if not self._a_sizes.all() or not self._b_sizes.all():
+            raise ValueError("a token without bytes ends where the one before does")
         self._new: dict[str, tuple] = {}
         self._old: dict[str, tuple] = {}
 
@@ -88,30 +103,78 @@ class Pair:
     def key_type(self) -> str:
         return "<i8" if self.wide else "<u4"
 
+    def _by_ranks(self, path: str):
+        """a for tiktoken, if its ids are ranks: bytes first, then merges in their order. Else None."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab, merges = file["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+        split = file.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space") or len(vocab) != 256 + len(merges):
+            return None
+        if any(vocab.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in vocab.values()}, special_tokens={})
+
     def _encode(self, segments: list[str]) -> list[tuple]:
-        a = [e.ids for e in self._a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = self._b.encode(segments, num_threads=1)
-        return [self._aligned(s, x, y) for s, x, y in zip(segments, a, b)]
+        """A record of each segment: its groups as text, packed keys as bytes, n_a << 32 | n_b, and b's bytes where they aren't its own (else None)."""
+        out: list = [None] * len(segments)
+        kinds: dict[bool, list[int]] = {}
+        for i, s in enumerate(segments):
+            kinds.setdefault(self._fast is not None and not self._odd.search(s), []).append(i)
+        for fast, places in kinds.items():
+            for low in range(0, len(places), TOGETHER):
+                some = places[low : low + TOGETHER]
+                texts = [segments[i] for i in some]
+                for i, r in zip(some, self._together(texts, fast) or (self._alone(t) for t in texts)):
+                    out[i] = r
+        return out
 
-    def _aligned(self, segment: str, a: list[int], b: list[int]) -> tuple:
-        """The groups as text, the packed keys as bytes, n_a << 32 | n_b, and b's bytes where they aren't the segment's (else None)."""
-        want = b" " + segment.encode()
+    def _together(self, segments: list[str], fast: bool) -> list[tuple] | None:
+        """Records of segments encoded as one text; None where some aren't given back, or segments aren't such as may stand in one."""
+        if not self._cuts or any(s[:1].isspace() or s[-1:].isspace() or not s for s in segments):
+            return None
+        whole = " ".join(segments)
+        a = np.array(self._fast.encode_ordinary(" " + whole) if fast else self._a.encode(" " + whole, add_special_tokens=False).ids, np.int64)
+        b = np.array(self._b.encode(whole), np.int64)
+        want = (" " + whole).encode()
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != want or b"".join([self.b_bytes[i] for i in b.tolist()]) != want:
+            return None
+        end_a, end_b = np.cumsum(self._a_sizes[a]), np.cumsum(self._b_sizes[b])
+        cuts, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        keys = (b[last_b] << self.bits | a[last_a]).astype(self.key_type).tobytes()
+        # A group's tokens of a are followed by its tokens of b.
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        order = np.empty(len(a) + len(b), np.int64)
+        up_to = lambda last: np.concatenate([[0], last + 1])
+        order[np.arange(len(a)) + up_to(last_b)[group_a]] = a + len(self._names) // 2 * (end_a == cuts[group_a])
+        order[np.arange(len(b)) + up_to(last_a)[group_b + 1]] = b + len(self.a_bytes) + len(self._names) // 2 * (end_b == cuts[group_b])
+        text, places = "".join(self._names[order].tolist()), np.concatenate([[0], np.cumsum(self._name_sizes[order])])
+        # Segments end at cuts.
+        ends = np.cumsum([len(s.encode()) + 1 for s in segments])
+        at = np.concatenate([[0], np.searchsorted(cuts, ends) + 1])
+        of_a, of_b = up_to(last_a)[at], up_to(last_b)[at]
+        written, width = places[of_a + of_b].tolist(), np.dtype(self.key_type).itemsize
+        sizes = ((of_a[1:] - of_a[:-1]) << 32 | (of_b[1:] - of_b[:-1])).tolist()
+        links = (at * width).tolist()
+        return [(text[t : u - 1], keys[k:m], n, None) for t, u, k, m, n in zip(written, written[1:], links, links[1:], sizes)]
+
+    def _alone(self, segment: str) -> tuple:
+        """The record of one segment, or of a whole text."""
+        a, b = self._a.encode(" " + segment, add_special_tokens=False).ids, self._b.encode(segment)
         of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        own = b"".join(of_b)
+        want, own = b" " + segment.encode(), b"".join(of_b)
         if own != want or b"".join(of_a) != want:
             return "", b"", 0, own if own != want else b""
-        groups, keys, bits = [], [], self.bits
-        i = j = i0 = j0 = end_a = end_b = 0
-        while i < len(a):
-            end_a += len(of_a[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(of_b[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{a[i0]}|{b[j0]}" if i - i0 == j - j0 == 1 else f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                keys.append(b[j - 1] << bits | a[i - 1])
-                i0, j0 = i, j
+        ends = [list(itertools.accumulate(map(len, x))) for x in (of_a, of_b)]
+        groups, keys, i0, j0 = [], [], 0, 0
+        for end in sorted({*ends[0]} & {*ends[1]}):
+            i, j = bisect.bisect_right(ends[0], end), bisect.bisect_right(ends[1], end)
+            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+            keys.append(b[j - 1] << self.bits | a[i - 1])
+            i0, j0 = i, j
         return ";".join(groups), np.array(keys, self.key_type).tobytes(), len(a) << 32 | len(b), None
 
     def _known(self, segments: list[str]) -> list[tuple]:
@@ -145,24 +208,30 @@ class Pair:
             yield self._cut.split(text[at : end.start() if end else len(text)])
             at = end.end() if end else len(text)
 
-    def align(self, text: str | None) -> tuple[list[str], bytes, int, int]:
-        """The groups (parts to be joined by `;`), packed keys, and numbers of a's and b's tokens; nothing where either changes the text."""
+    def align(self, texts: list[str | None]):
+        """Of each text: the groups (parts to be joined by `;`), packed keys, and numbers of a's and b's tokens; nothing where either changes the text."""
+        cut = [list(self._windows(t or "")) if len(t or "") <= WINDOW else None for t in texts]
+        self._known([s for windows in cut if windows for segments in windows for s in segments if len(s) <= LONGEST])
+        for text, windows in zip(texts, cut):
+            yield self._one(text or "", self._windows(text) if windows is None else windows)
+
+    def _one(self, text: str, windows) -> tuple[list[str], bytes, int, int]:
         groups, keys, both, odd = [], [], 0, False
-        for segments in self._windows(text or ""):
+        for segments in windows:
             found = self._known(segments)
-            odd = odd or any(r[3] is not None for r in found)
+            odd = odd or any([r[3] is not None for r in found])
             groups.append(";".join([r[0] for r in found]))
             keys.append(b"".join([r[1] for r in found]))
             both += sum([r[2] for r in found])
         if odd:
-            return self._odd(text)
+            return self._unlike(text)
         return groups, b"".join(keys), both >> 32, both & 0xFFFFFFFF
 
-    def _odd(self, text: str) -> tuple[list[str], bytes, int, int]:
+    def _unlike(self, text: str) -> tuple[list[str], bytes, int, int]:
         """Some segment isn't given back by a tokenizer: the text has no tokens, unless others make up for it."""
         own = b"".join(b" " + s.encode() if r[3] is None else r[3] for segments in self._windows(text) for s, r in zip(segments, self._known(segments)))
         if own == b" " + text.encode():
-            whole = self._encode([text])[0]
+            whole = self._alone(text)
             if whole[3] is None:
                 return [whole[0]], whole[1], whole[2] >> 32, whole[2] & 0xFFFFFFFF
         return [], b"", 0, 0
@@ -187,8 +256,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
         width = np.dtype(both.key_type).itemsize
         for b in slices(batches, 1):
             rows = []
-            for t in b.column(1).to_pylist():
-                groups, keys, n_a, n_b = both.align(t)
+            for groups, keys, n_a, n_b in both.align(b.column(1).to_pylist()):
                 digest = hashlib.sha256()
                 for i, g in enumerate(groups):
                     digest.update((";" * (i > 0) + g).encode())
