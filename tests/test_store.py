@@ -265,3 +265,45 @@ def test_the_plan_of_a_run_is_one_branch_a_kind(spark):
         return len(sc.statusTracker().getJobIdsForGroup(None)) - before
 
     assert plan(40) <= plan(2) + 12
+
+
+# Addresses.
+
+
+def test_plain_addresses_need_no_python(spark):
+    from tidemark.functions import urls
+
+    hosts = ["www.a.com", "a.b-c.org", "A.com", "1.2.3.4", "a.1", "xn--a.com", "a.xn--p1ai", "a.com:80", "www.www.org", "a..com", "-a.com", "a.com."]
+    paths = ["", "/", "/a", "/a/", "/a//b", "/a/b.html", "/.a", "/a/../b", "/a/./b", "/~x/_y-z", "/a%20b", "/é", "/a?b=1", "/a#x", "/a/b/", "/a...b/c", "/ a", "/a ", "//x.com/a", "/a;b"]
+    rows = [(f"{scheme}://{h}{p}", base) for scheme in ("http", "https", "HTTP", "ftp") for h in hosts for p in paths for base in ("https://base.com/x/", None)] + [(p, "https://base.com/x/") for p in paths] + [(None, "https://base.com/"), (" https://a.com/b ", None)]
+    df = spark.createDataFrame(rows, "url string, base string")
+    got = df.select("url", "base", urls.canonical_from(F.col("url"), F.col("base")).alias("c"), urls.absolute_from(F.col("url"), F.col("base")).alias("a"), urls._is_plain(F.col("url")).alias("plain")).collect()
+    assert all((r.c, r.a) == (urls.canonical(r.url, r.base), urls.absolute(r.url, r.base)) for r in got), [tuple(r) for r in got if (r.c, r.a) != (urls.canonical(r.url, r.base), urls.absolute(r.url, r.base))][:5]
+    assert sum(r.plain for r in got) > 50
+
+
+# Sitemaps.
+
+MAPS = [
+    '<urlset><url><loc> https://a.x/1 </loc><lastmod>2024-01-01</lastmod></url><url><loc>https://a.x/2?a=1&amp;b=2</loc></url></urlset>',
+    '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:n="http://n"><url><loc>https://a.x/1</loc><n:news><n:publication_date>2024-02-02</n:publication_date></n:news></url></urlset>',
+    '<sitemapindex><sitemap><loc>https://a.x/m1.xml</loc><lastmod>2024-03-03</lastmod></sitemap><sitemap><loc>https://a.x/m2.xml</loc></sitemap></sitemapindex>',
+    '<urlset><url><loc>https://a.x/1</loc><image:image xmlns:image="http://i"><image:loc>https://a.x/i.png</image:loc></image:image></url></urlset>',
+    '<urlset><url><loc/></url><url><loc>https://a.x/1</loc><loc>https://a.x/2</loc></url></urlset>', '<urlset><!-- <loc>x</loc> --><url><loc><![CDATA[https://a.x/1]]></loc></url></urlset>', '<urlset><url><loc>https://a.x/1</loc>',
+    '<wrap><urlset><url><loc>https://a.x/1</loc></url></urlset></wrap>', '<urlset/>', '', None, 'no xml', '  <urlset><url loc="x"><loc>https://a.x/1</loc><lastmod> </lastmod></url></urlset>', '<urlset><url><loc a="b">https://a.x/1</loc><priority>1</priority></url></urlset>',
+    '<urlset><url><loc>https://a.x/1</loc><meta><publication_date>2024-05-05</publication_date></meta></url></urlset>', '<urlset><url><a><loc>https://a.x/1</loc></a></url></urlset>', '<urlset><url><loc>https://a.x/<b>1</b></loc></url></urlset>',
+]
+
+
+def test_sitemaps_by_sparks_reader(spark):
+    from tidemark.sources import feeds
+
+    df = spark.createDataFrame([(str(i), "u", m, None) for i, m in enumerate(MAPS)], "source_id string, url string, body string, bytes binary")
+    got = {}
+    for r in feeds.sitemap_entries(df).orderBy("source_pos").collect():
+        got.setdefault(int(r.source_id), []).append((r.is_index, r.loc, r.lastmod))
+    for i, m in enumerate(MAPS):
+        want = feeds.parse_sitemap(m)
+        assert got.get(i, []) == [(want["is_index"], e["loc"], e["lastmod"]) for e in want["entries"]], m
+    plain = df.select("source_id", feeds._plain_sitemap(F.col("body")).isNotNull().alias("p")).filter("p").collect()
+    assert {r.source_id for r in plain} >= {"0", "1", "2"}

@@ -104,6 +104,24 @@ def absolute(url: str | None, base: str | None = None) -> str | None:
     return out + (f"#{quote(fragment, safe='/%:@!$&()*+,;=-._~[]|?')}" if fragment else "")
 
 
+#: Absolute addresses of letters, digits and a few signs, lower-case host, no query, no dot segments: nothing about them needs more than built-in functions.
+PLAIN = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/[A-Za-z0-9_~-][A-Za-z0-9_.~-]*)+/?$"
+
+
+def _is_plain(url: Column) -> Column:
+    return F.coalesce(url.rlike(PLAIN) & ~F.contains(url, F.lit("/xn--")) & ~F.contains(url, F.lit(".xn--")), F.lit(False))
+
+
+def canonical_from(url: Column, base: Column) -> Column:
+    """canonical() of an address found at base; Python looks at those that aren't plain."""
+    return F.when(_is_plain(url), canonical_url(url)).otherwise(F.udf(canonical, "string", useArrow=True)(F.when(~_is_plain(url), url), base))
+
+
+def absolute_from(url: Column, base: Column) -> Column:
+    """absolute() of an address found at base; Python looks at those that aren't plain."""
+    return F.when(_is_plain(url), url).otherwise(F.udf(absolute, "string", useArrow=True)(F.when(~_is_plain(url), url), base))
+
+
 canonical_url_exact = arrow(canonical, "string")
 absolute_url = arrow(absolute, "string")
 

@@ -43,6 +43,11 @@ FED = f"""{_docs(40)},
   s AS (SELECT source_id, k, k % 4 * 4 + 3 AS take, CASE k % 6 WHEN 2 THEN 'not-modified' WHEN 4 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k % 6 IN (1, 3, 4) THEN 1 ELSE 0 END AS attempt FROM (SELECT DISTINCT source_id, doc_id // 40 AS k FROM d)),
   g AS (SELECT i.*, take, doc_id % 10 IN (3, 5) AS known FROM i JOIN s USING (source_id) WHERE status = 'ok'),
   f AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS fresh, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, source_pos) AS rank FROM g WHERE NOT known)"""
+# The same documents by every kind of adapter; interfaces and sitemaps take the newest 25 of a run.
+KINDS = f"""{_docs(40)},
+  i AS (SELECT source_id, doc_id, lang, source, ['rss', 'json', 'sitemap', 'html'][CAST(doc_id // 40 % 4 + 1 AS INT)] AS kind, doc_id // 160 % 4 * 8 + 3 AS take, {START} + doc_id % 1000 * {DAY} AS published_at FROM d),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, doc_id) AS rank FROM i),
+  f AS (SELECT * FROM r WHERE rank <= 25 OR kind IN ('rss', 'html'))"""
 TAGS = "CASE WHEN lang IN ('en', 'fr', 'de') THEN 'region:' || lang || ',' ELSE '' END || 'scope:macro'"
 HOST = r"regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#:@]+)', 1)), '^(www|m)\.', '')"
 
@@ -125,10 +130,18 @@ SQL = {
     "ingest_items": f"""WITH {FED} SELECT source_id, 'Report & review ' || doc_id AS title, 'https://www.' || source || '.example/' || lang || '/' || doc_id || '/?utm_source=feed&b=1' AS url, CAST(published_at AS BIGINT) AS published_at, {TAGS} AS tags FROM f WHERE rank <= take""",
     "ingest_fetches": f"""WITH {FED}, n AS (SELECT source_id, count(*) AS fetched FROM g GROUP BY source_id)
         SELECT source_id, status, coalesce(fetched, 0) AS item_count, CASE WHEN status = 'ok' AND attempt = 0 THEN 'e' || k END AS etag FROM s LEFT JOIN n USING (source_id)""",
+    "ingest_notes": f"""WITH {FED}, n AS (SELECT 's' || (doc_id // 40) AS source_id, count(*) AS n FROM documents WHERE doc_id % 4 IN (0, 3) AND source = 'src1' GROUP BY 1)
+        SELECT source_id, least(n, 5) AS n, 'unusable url' AS notes FROM n JOIN s USING (source_id) WHERE status = 'ok'""",
+    "due_outcomes": f"""WITH {FED}, n AS (SELECT source_id, count(*) AS fetched, count(*) FILTER (WHERE known) AS known FROM g GROUP BY source_id)
+        SELECT source_id, status, coalesce(fetched, 0) AS fetched, CAST(CASE WHEN fetched IS NULL THEN 0 ELSE least(fetched - known, take) END AS BIGINT) AS inserted, coalesce(known, 0) AS duplicate_url,
+            CAST(CASE WHEN fetched IS NULL THEN 0 ELSE greatest(fetched - known - take, 0) END AS BIGINT) AS held FROM s LEFT JOIN n USING (source_id) WHERE k % 3 <> 0""",
+    "ingest_kinds": f"""WITH {KINDS} SELECT source_id, 'ok' AS status, kind AS adapter_kind, count(*) AS fetched, CAST(least(count(*), any_value(take)) AS BIGINT) AS inserted, CAST(greatest(count(*) - any_value(take), 0) AS BIGINT) AS held FROM f GROUP BY source_id, kind""",
+    "ingest_kind_items": f"""WITH {KINDS} SELECT source_id, 'Report number ' || doc_id AS title, 'https://' || source || '.example/' || lang || '/report-number-' || doc_id AS url, CAST(published_at AS BIGINT) AS published_at, kind = 'sitemap' AS date_estimated FROM f WHERE rank <= take""",
     "ingest_drains": f"""WITH {FED}, r AS (SELECT source_id, published_at, (row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, source_pos) - 1) // take AS run FROM g)
         SELECT source_id, run, count(*) AS n, CAST(min(published_at) AS BIGINT) AS oldest FROM r WHERE run < 3 GROUP BY ALL""",
     "registry_health": f"""WITH {LOG}, {ARTICLES} SELECT (SELECT count(*) FROM reg WHERE enabled AND in_config) AS sources, (SELECT count(*) FROM a) AS total_items, (SELECT max(first_seen_at) FROM a) AS last_ingest_at,
         (SELECT count(*) FROM reg WHERE enabled AND in_config AND last_status IN ('error', 'empty')) AS broken""",
-    "declared_facets": """SELECT * FROM (VALUES ('type', 'Type', 0::BIGINT, 'short|long|none'), ('region', 'Region', 1, 'en|fr|de|es|it'), ('theme', 'Theme', 2, 'article|license|contact|plain'), ('scope', 'Scope', 3, 'macro|micro')) t(id, label, place, vals)""",
+    "declared_facets": f"""WITH {ARTICLES}, n AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT item_id, split_part(tag, ':', 1) AS id FROM (SELECT item_id, unnest(tags) AS tag FROM a)) GROUP BY id)
+        SELECT id, label, place, vals, coalesce(n, 0) AS n FROM (VALUES ('type', 'Type', 0::BIGINT, 'short|long|none'), ('region', 'Region', 1, 'en|fr|de|es|it'), ('theme', 'Theme', 2, 'article|license|contact|plain'), ('scope', 'Scope', 3, 'macro|micro')) t(id, label, place, vals) LEFT JOIN n USING (id)""",
     "streamed_fold": CORE["near_duplicate_greedy"],
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -511,6 +512,62 @@ def ingest_fetches(spark, sf_dir):
     return _run(spark, sf_dir).fetches.select("source_id", "status", F.col("item_count").cast("long").alias("item_count"), "etag")
 
 
+def ingest_notes(spark, sf_dir):
+    """What a run says about unusable rows, the first five of each source: addresses of one site are no web addresses."""
+    landed, registry, *stored = _landed(spark, sf_dir)
+    landed = landed.withColumn("body", F.replace("body", F.lit("https://www.src1."), F.lit("mailto:src1.")))
+    out = ingest.run(landed, registry, dedupe.Tables(*stored), TAXONOMY, NOW).outcomes.filter(F.size("notes") > 0)
+    return out.select("source_id", F.size("notes").cast("long").alias("n"), F.array_join(F.array_distinct("notes"), "|").alias("notes"))
+
+
+def due_outcomes(spark, sf_dir):
+    """A pass over the sources that are due: two of three, the others' bodies are left out."""
+    landed, registry, stored, pruned, _ = _landed(spark, sf_dir)
+    store = _store(spark)
+    waits = F.substring("id", 2, 20).cast("long") % 3 == 0
+    store.change(append={"items": stored, "pruned_urls": pruned}, replace={"sources": registry.withColumn("last_fetch_at", F.when(waits, F.lit(NOW - 60_000)).otherwise(F.lit(START)))})
+    out, _ = loop.due_run(store, TAXONOMY, lambda due: landed, NOW)
+    return out.select("source_id", "status", "fetched", "inserted", "duplicate_url", "held")
+
+
+_LISTED = {"item": "ul > li.card", "link": "a@href", "title": "a", "date": "time@datetime"}
+_CONFIGS = {
+    0: {"kind": "rss", "url": "u"}, 1: {"kind": "json", "request": {"url": "u"}, "items_path": "data.hits", "fields": {"url": "link", "title": "head.line", "published_at": "day", "categories": "topics[].name"}},
+    2: {"kind": "sitemap", "url": "u", "include": ["/report-"], "exclude": ["/never/"], "fetch_metadata": False, "max_undated_per_run": 100}, 3: {"kind": "html", "url": "u", "selectors": _LISTED},
+}
+
+
+def _run_kinds(spark, sf_dir) -> ingest.Run:
+    """Bodies of every kind of adapter, the same 40 documents' worth each; sitemaps and listings with patterns and selectors of their own."""
+    d = _docs(spark, sf_dir, 40).withColumn("kind", F.floor(F.col("doc_id") / 40) % 4)
+    url, title, day = F.concat(F.lit("https://"), "source", F.lit(".example/"), "lang", F.lit("/report-number-"), "doc_id"), F.concat(F.lit("Report number "), "doc_id"), _day(F.col("doc_id") % 1000)
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    one = (
+        F.when(F.col("kind") == 0, put("<item><link>", url, "</link><title>", title, "</title><pubDate>", day, "</pubDate></item>"))
+        .when(F.col("kind") == 1, put('{"link": "', url, '", "head": {"line": "', title, '"}, "day": "', day, '", "topics": [{"name": "', F.col("lang"), '"}, {}]},'))
+        .when(F.col("kind") == 2, put("<url><loc>", url, "</loc><lastmod>", day, "</lastmod></url>"))
+        .otherwise(put('<li class="card c', F.substring("body_of", 2, 20), '"><a href="', url, '">', title, '</a><time datetime="', day, '"></time></li>'))
+    )
+    begin = F.when(F.col("kind") == 0, "<rss><channel>").when(F.col("kind") == 1, '{"data": {"hits": [').when(F.col("kind") == 2, "<urlset>").otherwise("<ul>")
+    end = F.when(F.col("kind") == 0, "</channel></rss>").when(F.col("kind") == 1, "7]}}").when(F.col("kind") == 2, "</urlset>").otherwise("</ul>")
+    body = _joined(d, "body_of", "doc_id", one).withColumn("kind", F.substring("body_of", 2, 20).cast("long") % 4).select(F.col("body_of").alias("source_id"), F.concat(begin, "text", end).alias("body"), "kind")
+    blank = {"attempt": F.lit(0), "page": F.lit(0), "url": F.lit("u"), "status": F.lit(200), "etag": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("string"), "bytes": F.lit(None).cast("binary"), "error": F.lit(None).cast("string"), "fetched_at": F.lit(NOW).cast("long")}
+    k, number = F.substring("id", 2, 20).cast("int"), F.substring("id", 2, 20)
+    own = F.element_at(F.create_map(*[F.lit(x) for i, c in _CONFIGS.items() for x in (i, json.dumps({"adapter": c}))]), k % 4)
+    own = F.replace(F.replace(own, F.lit("li.card"), F.concat(F.lit("li.c"), number)), F.lit("/never/"), F.concat(F.lit("/never"), number, F.lit("/")))
+    registry = _sources(spark, sf_dir, body.select(F.col("source_id").alias("id"))).withColumns({"take_per_run": F.floor(k / 4).cast("int") % 4 * 8 + 3, "config_json": own})
+    none = dedupe.Tables(*(spark.createDataFrame([], x) for x in (model.ITEMS, model.PRUNED_URLS, model.SEEN_URLS)))
+    return ingest.run(settled(body.drop("kind").withColumns(blank)), registry, none, TAXONOMY, NOW)
+
+
+def ingest_kinds(spark, sf_dir):
+    return _run_kinds(spark, sf_dir).outcomes.select("source_id", "status", "adapter_kind", "fetched", "inserted", "held")
+
+
+def ingest_kind_items(spark, sf_dir):
+    return _run_kinds(spark, sf_dir).items.select("source_id", "title", "url", "published_at", "date_estimated")
+
+
 def ingest_drains(spark, sf_dir):
     """A store fed the same bodies three times: each run takes the next newest of what waits."""
     landed, registry, _, _, _ = _landed(spark, sf_dir)
@@ -534,8 +591,11 @@ def registry_health(spark, sf_dir):
 
 
 def declared_facets(spark, sf_dir):
+    """The declared facets, with how many articles have a tag of theirs."""
     rows = [(f["id"], f["label"], i, "|".join(f["values"])) for i, f in enumerate(panel.taxonomy_answer(TAXONOMY)["facets"])]
-    return spark.createDataFrame(rows, "id string, label string, place long, vals string")
+    facets = spark.createDataFrame(rows, "id string, label string, place long, vals string")
+    of = articles(spark, sf_dir).select(F.explode(F.array_distinct(F.transform("tags", lambda t: F.substring_index(t, ":", 1)))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return facets.join(of, "id", "left").select("id", "label", "place", "vals", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def streamed_fold(spark, sf_dir):
@@ -553,7 +613,7 @@ QUERIES = (
     feed_scan, sitemap_parse, sitemap_scan, sitemap_visited, sitemap_children, html_listing, article_meta, json_scan, json_newest, json_problems, render_template, token_auth, robots_rules, proxy_rules, failure_texts, absolute_urls, sort_keys,
     literal_patterns, suggested_names, query_parameters, normalised_items, normalise_rejects, surrogate_ids, mark_seen, record_fetch, sweep_tags, swept_count, run_summary, adapter_chain, config_errors, config_rows, undeclared_tags, record_arrays,
     field_match_rates, field_guesses, network_candidates, field_samples, listing_classes, embedded_payloads, feed_probes, feed_addresses, sitemap_probes, sitemap_addresses, redacted_headers, suggestions, ingest_outcomes, ingest_items,
-    ingest_fetches, ingest_drains, registry_health, declared_facets, streamed_fold,
+    ingest_fetches, ingest_notes, ingest_kinds, ingest_kind_items, due_outcomes, ingest_drains, registry_health, declared_facets, streamed_fold,
 )
 
 

@@ -16,8 +16,7 @@ def normalise(raw: DataFrame, sources: DataFrame, taxonomy: Taxonomy, now_ms: in
     """
     s = sources.select(F.col("id").alias("source_id"), "institution", "homepage", "static_tags")
     j = raw.join(s, "source_id")
-    exact = F.udf(urls.canonical, "string", useArrow=True)(F.col("url"), F.col("homepage"))
-    absolute = F.udf(urls.absolute, "string", useArrow=True)(F.col("url"), F.col("homepage"))
+    exact, absolute = urls.canonical_from(F.col("url"), F.col("homepage")), urls.absolute_from(F.col("url"), F.col("homepage"))
     date = dates.parse_date(F.col("published_raw"), F.lit(now_ms).cast("long"), F.col("published_kind"))
     j = j.withColumn("canonical", exact).withColumn("absolute", absolute).withColumn("shown", text.display_title(F.col("title"), F.col("institution"))).withColumn("date", date)
     categories = F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: F.trim(c) != "")

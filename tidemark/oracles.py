@@ -143,10 +143,10 @@ SQL = {
     "untagged_items": "SELECT doc_id AS item_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "due_sources": f"""WITH {LOG} SELECT id, last_fetch_at, consecutive_failures FROM reg WHERE enabled AND in_config AND last_fetch_at + 1800000 * CAST(pow(2, least(consecutive_failures, 4)) AS BIGINT) <= {START + 30 * DAY}""",
     "fetch_schedule": f"""WITH {LOG}, d AS (SELECT id, last_fetch_at, 'host' || (id % 37) AS host, greatest(id % 4, 1) * 1000 AS takes FROM reg WHERE enabled AND in_config),
-        h AS (SELECT host, sum(takes) AS total, count(*) AS n FROM d GROUP BY host), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, host) AS rank FROM h),
-        l AS (SELECT *, (rank - 1) % 4 AS lane, coalesce(sum(total) OVER w, 0) AS since, coalesce(sum(n) OVER w, 0) AS done FROM r WINDOW w AS (PARTITION BY (rank - 1) % 4 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        h AS (SELECT host, sum(takes) AS total, count(*) AS k FROM d GROUP BY host), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, host) AS rank FROM h),
+        n AS (SELECT *, (rank - 1) % 4 AS lane, coalesce(sum(total) OVER w, 0) AS since, coalesce(sum(k) OVER w, 0) AS done FROM r WINDOW w AS (PARTITION BY (rank - 1) % 4 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT id, host, lane, CAST(done + row_number() OVER (PARTITION BY host ORDER BY coalesce(last_fetch_at, 0), id) AS BIGINT) AS place,
-               CAST(since + coalesce(sum(takes) OVER (PARTITION BY host ORDER BY coalesce(last_fetch_at, 0), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM d JOIN l USING (host)""",
+               CAST(since + coalesce(sum(takes) OVER (PARTITION BY host ORDER BY coalesce(last_fetch_at, 0), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM d JOIN n USING (host)""",
     "health_rows": f"WITH {LOG} SELECT id, institution, name, last_status, last_status IN ('error', 'empty') AS broken FROM reg WHERE enabled AND in_config",
     "broken_count": f"WITH {LOG} SELECT count(*) FILTER (WHERE last_status IN ('error', 'empty')) AS broken FROM reg WHERE enabled AND in_config",
     "failure_streak": f"WITH {LOG} SELECT source_id, consecutive_failures, fetches FROM s",

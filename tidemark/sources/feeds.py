@@ -112,7 +112,41 @@ def feed_problems(landed: DataFrame) -> DataFrame:
     return landed.select("source_id", feed("body").alias("f")).filter("f.error is not null").select("source_id", "f.error", "f.retry")
 
 
+#: A sitemap as from_xml reads it: children of the root, by local name.
+_MAP = "url array<struct<loc:string,lastmod:string,news:struct<publication_date:string>>>, sitemap array<struct<loc:string,lastmod:string>>, refused string"
+_MAP_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "refused"}
+
+
+def _tags(text: Column, name: str) -> Column:
+    """How often an element of the local name begins in a text."""
+    return F.regexp_count(text, F.lit(rf"<(?:[\w.-]+:)?{name}[\s>/]"))
+
+
+def _plain_sitemap(text: Column) -> Column:
+    """struct(is_index, entries) of a well-formed sitemap of the usual shape, by Spark's own reader; null for any other.
+
+    Usual: no declarations, comments or CDATA, as many addresses and dates as from_xml found where they belong.
+    """
+    x = F.from_xml(text, _MAP, _MAP_OPTIONS)
+    index = _tags(text, "sitemapindex") > 0
+    none = F.array().cast("array<struct<loc:string,lastmod:string>>")
+    urls = F.transform(x["url"], lambda u: F.struct(u["loc"].alias("loc"), F.coalesce(u["lastmod"], u["news"]["publication_date"]).alias("lastmod")))
+    found = F.coalesce(F.when(index, x["sitemap"]).otherwise(urls), none)
+    count = lambda values: F.coalesce(F.size(F.filter(values, lambda v: F.trim(v) != "")), F.lit(0))
+    whole = lambda name: count(F.transform(x["url"], lambda u: u[name])) + count(F.transform(x["sitemap"], lambda u: u[name]))
+    said = count(F.transform(x["url"], lambda u: u["news"]["publication_date"]))
+    usual = x["refused"].isNull() & ~F.contains(text, F.lit("<!")) & (_tags(text, "url") + _tags(text, "sitemap") == F.size(found)) & (_tags(text, "loc") == whole("loc")) & (whole("loc") == F.size(found))
+    usual = usual & (_tags(text, "lastmod") == whole("lastmod")) & (_tags(text, "publication_date") == said)
+    usual = usual & ~F.exists(found, lambda e: F.contains(F.concat_ws(" ", e["loc"], e["lastmod"]), F.lit("<")))  # markup within
+    return F.when(usual & (F.size(found) > 0), F.struct(index.alias("is_index"), found.alias("entries")))
+
+
 def sitemap_entries(landed: DataFrame) -> DataFrame:
-    """source_id, url (of the sitemap), is_index, source_pos, loc, lastmod of landed sitemaps."""
-    rows = landed.select("source_id", "url", sitemap(body_text(F.col("body"), F.col("bytes"))).alias("s"))
+    """source_id, url (of the sitemap), is_index, source_pos, loc, lastmod of landed sitemaps.
+
+    from_xml reads those of the usual shape; Python gets the others.
+    """
+    text = landed.select("source_id", "url", body_text(F.col("body"), F.col("bytes")).alias("t")).withColumn("x", _plain_sitemap(F.col("t")))
+    odd = sitemap(F.when(F.col("x").isNull(), F.col("t")))
+    rows = text.select("source_id", "url", F.coalesce("x", F.struct(odd["is_index"].alias("is_index"), odd["entries"].alias("entries"))).alias("s"))
     return rows.select("source_id", "url", "s.is_index", F.posexplode("s.entries").alias("source_pos", "e")).select("source_id", "url", "is_index", F.col("source_pos").cast("long").alias("source_pos"), "e.*")
