@@ -108,16 +108,11 @@ def total(found: DataFrame, items: DataFrame, query: ItemQuery, now_ms: int, gra
 # Search.
 
 
-def _grams(text: Column) -> Column:
-    """The distinct trigrams of a text, A-Z in lower case."""
-    low = ascii_lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
-
-
 def trigrams(items: DataFrame) -> DataFrame:
-    """gram, block, places: the items of a block of numbers that have the gram in title or summary; at most BLOCK places a row."""
-    texts = items.select("item_id", F.explode(F.array("title", "summary")).alias("t")).filter(F.length("t") >= 3)
-    grams = texts.select("item_id", F.explode(_grams(F.col("t"))).alias("gram"))
+    """gram, block, places: the items of a block of numbers that have the gram in title or summary, A-Z in lower case; at most BLOCK places a row."""
+    texts = items.select("item_id", F.explode(F.array(ascii_lower(F.col("title")), ascii_lower(F.col("summary")))).alias("t")).filter(F.length("t") >= 3)
+    every = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr(F.col("t"), i, F.lit(3)))
+    grams = texts.select("item_id", F.explode(F.array_distinct(every)).alias("gram"))
     return grams.groupBy("gram", F.floor(F.col("item_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set(F.pmod("item_id", F.lit(BLOCK)).cast("int"))).alias("places"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -242,7 +243,8 @@ class Store:
         dealt.repartition("b", "file").sortWithinPartitions("b", "date_estimated", "published_at", "item_id").drop("file", "files").write.partitionBy("b").parquet(f"{self.root}/{root}")
         stats = [F.min(F.when(c, at)).alias(f"min_{k}") for k, c in (("stated", ~est), ("estimated", est))] + [F.max(F.when(c, at)).alias(f"max_{k}") for k, c in (("stated", ~est), ("estimated", est))]
         told = self.spark.read.schema(SCHEMAS["items"] + ", b long").parquet(f"{self.root}/{root}").groupBy("b").agg(F.count("*").alias("rows"), F.count_if(est.isNull() | at.isNull()).alias("undated"), *stats)
-        return [self._told("items", f"{root}/b={r.b}", r.asDict()) for r in told.orderBy("b").collect()]
+        with ThreadPoolExecutor(8) as pool:  # small jobs, side by side
+            return list(pool.map(lambda r: self._told("items", f"{root}/b={r.b}", r.asDict()), told.orderBy("b").collect()))
 
     def compact(self, most: int = 32, keep: int = 0) -> int:
         """Rewrites tables of more than most folders, items clustered by date, with filters and ranges of the new folders; then removes folders that no table has.
@@ -296,8 +298,9 @@ class Store:
         """Stores new rows (with pos) as items with the next numbers, and other changes with them."""
         last = self._last_id(self._state())
         new = rations.numbered(new, last, "pos").withColumn("first_seen_at", F.lit(now_ms).cast("long")).withColumn("tags", F.array_sort(F.array_distinct("tags")))
-        names = [f.split()[0] for f in SCHEMAS["items"].split(", ")]
-        self.change({"items": new.select(*names), **(append or {})}, replace, last_id=last + new.count())
+        names, count = [f.split()[0] for f in SCHEMAS["items"].split(", ")], new.count()
+        more = {name: df for name, df in (append or {}).items() if not df.isEmpty()}
+        self.change(({"items": new.select(*names)} if count else {}) | more, replace, last_id=last + count)
 
     def ingest(self, landed: DataFrame, taxonomy, now_ms: int) -> DataFrame:
         """One run over landed bodies: stores what is new, marks what was visited, records how sources fared; returns the outcomes.
