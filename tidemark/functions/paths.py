@@ -7,18 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SEGMENT = re.compile(r"([^\[\]]*)((?:\[\d+\])*)$")
-
-
 def json_path(path: str) -> str | None:
+    """The path as VARIANT functions take it: names quoted, places in brackets; None for what is no path."""
     out = "$"
     for segment in path.split(".") if path else []:
-        m = _SEGMENT.match(segment)
-        if not m:
+        name, bracket, rest = segment.partition("[")
+        places = rest.removesuffix("]").split("][") if bracket else []
+        if "]" in name or bracket and not rest.endswith("]") or not all(p.isascii() and p.isdigit() for p in places):
             return None
-        if m[1]:
-            out += f"['{m[1]}']" if "'" not in m[1] else f'["{m[1]}"]'
-        out += m[2]
+        quote = '"' if "'" in name else "'"
+        out += f"[{quote}{name}{quote}]" * bool(name) + "".join(f"[{p}]" for p in places)
     return out
 
 

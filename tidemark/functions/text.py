@@ -43,6 +43,7 @@ def collapse(c: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """What two copies of a headline share; empty where too short to go by. Plain ASCII skips Python."""
+    # What a key leaves out, as stored keys must stay comparable.
     bare = F.regexp_replace(title, f"[{_SPACE}]+[|•·][{_SPACE}]+(?:[^{_SPACE}]+[{_SPACE}]+){{0,3}}[^{_SPACE}]+$", "")
     flat = F.when(bare.rlike(r"^[\x00-\x7f]*$"), bare).otherwise(_nfkd(bare))
     flat = F.regexp_replace(flat, "[̀-ͯ‘’“”]", "")
@@ -62,6 +63,7 @@ def _initials(c: Column) -> Column:
 def display_title(title: Column, institution: Column) -> Column:
     """The title without a site name after it: the institution, its extension, or what its acronym stands for."""
     clean = collapse(title)
+    # Fixed value: how a site's name follows a title.
     pattern = f"^(.*?) [{_SEPARATORS}-] ([^{_SEPARATORS}]+)$"
     head, tail = F.trim(F.regexp_extract(clean, pattern, 1)), F.regexp_extract(clean, pattern, 2)
     want, got = _loose(institution), _loose(tail)
@@ -71,6 +73,7 @@ def display_title(title: Column, institution: Column) -> Column:
 
 def excerpt(html: Column, most: int = 400) -> Column:
     """Text of a piece of HTML, cut with an ellipsis; null where nothing is left."""
+    # Markup and entities that an excerpt drops.
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
     t = F.when(F.contains(html, F.lit("<")), F.regexp_replace(bare, "<[^>]+>", " ")).otherwise(html)
     plain = t

@@ -237,8 +237,10 @@ def listing_classes(pages: DataFrame, top: int = 5) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-# Fixed value: where pages keep the token that their interface asks for.
-TOKEN = r'"(?:accessToken|apiKey|searchToken)"\s*:\s*"([^"]+)"'
+def token_pattern(headers) -> str | None:
+    """Where a page may keep what an observed header carried: a quoted value under a name that ends like the header's kind; None for other headers."""
+    ends = [end for header, end in (("authorization", "[Tt]oken"), ("x-api-key", "[Kk]ey")) if header in headers]
+    return rf'"\w*(?:{"|".join(ends)})"\s*:\s*"([^"]+)"' if ends else None
 
 
 def suggestion(page_url: str, calls: list, feeds: list, sitemaps: list, classes: list, rendered: bool = False) -> dict | None:
@@ -251,8 +253,8 @@ def suggestion(page_url: str, calls: list, feeds: list, sitemaps: list, classes:
         headers = c.get("headers") or {}
         request = {"method": c.get("method") or "GET", "url": c["call"], "headers": headers} | ({"body": c["request_body"]} if c.get("request_body") else {})
         out = {"kind": "json", "request": request, "items_path": c["path"], "fields": {f: c[f"best_{f}"] for f in NAMES if c.get(f"best_{f}")}}
-        if {"authorization", "x-api-key"} & set(headers):
-            out["auth"] = {"kind": "from_page", "page_url": page_url, "token_regex": TOKEN}
+        if pattern := token_pattern(headers):
+            out["auth"] = {"kind": "from_page", "page_url": page_url, "token_regex": pattern}
         return out
     if feeds:
         return {"kind": "rss", "url": feeds[0]["url"]}
