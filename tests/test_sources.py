@@ -3,11 +3,14 @@
 import gzip
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
-from tidemark import model
+from tidemark import model, queries
 from tidemark.sources import config, feeds, html, interfaces, pages, robots
 
+from .conftest import DATA
+
 RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>c</title>
 <item><title> One &amp; only </title><link>https://e.com/1?utm_source=r</link><description>&lt;p&gt;Some text&lt;/p&gt;</description><pubDate>Wed, 01 May 2024 10:00:00 GMT</pubDate><category>Bonds</category><category> </category><dc:subject>Rates</dc:subject></item>
 <item><title>By guid</title><guid>https://e.com/2</guid><content:encoded>body</content:encoded><dc:date>2024-05-02</dc:date></item>
@@ -136,3 +139,14 @@ def test_bad_configuration(bad, word):
 def test_bad_taxonomy():
     with pytest.raises(config.ConfigError, match="asset:none"):
         config.load_taxonomy(TAX.replace("asset:fx, any", "asset:none, any"))
+
+
+@pytest.mark.parametrize("name", ["config_rows"])
+def test_texts_of_one_file_are_read_by_many_tasks(spark, name):
+    out = queries.queries()[name](spark, DATA)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_configurations_are_read_by_libyaml():
+    assert not yaml.__with_libyaml__ or config.LOADER is yaml.CSafeLoader
+    assert yaml.load("a: [1, no, 0x1f, ~, 1_000, 2024-01-01, '\\u00e9']\nb: &x {c: 1.5}\nd: {<<: *x}", Loader=config.LOADER) == yaml.safe_load("a: [1, no, 0x1f, ~, 1_000, 2024-01-01, '\\u00e9']\nb: &x {c: 1.5}\nd: {<<: *x}")

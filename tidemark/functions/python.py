@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def arrow(f: Callable, kind: str) -> Callable:
     """F.udf, put off until it is called: a type's text can be read only once there is a session."""
     return lambda *columns: F.udf(f, kind, useArrow=True)(*columns)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over the session's shuffle partitions: for Python that takes far longer than its rows are large, as a small file is one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import dates, paths, regexes, urls
+from tidemark.functions.python import spread
 from tidemark.lineage import settled, shared_dir
 from tidemark.model import DAY_MS, ItemQuery
 from tidemark.operators import dedupe, discover, health, ingest, normalise, prune, rations
@@ -27,6 +28,11 @@ def _udf(f, kind):
     return F.udf(f, kind, useArrow=True)
 
 
+def _customers(spark, sf_dir) -> DataFrame:
+    """Keys of customer, dealt out: each stands for a text that Python reads."""
+    return spread(_t(spark, sf_dir, "customer").select("c_custkey"))
+
+
 def _joined(rows: DataFrame, by: str, order: str, text, sep: str = "") -> DataFrame:
     """by and text: the texts of each group, in order, as one. Groups are bounded: a body's worth of rows."""
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s["t"]), sep).alias("text"))
@@ -189,7 +195,7 @@ def token_auth(spark, sf_dir):
         except interfaces.AuthError:
             return "failed"
 
-    return _t(spark, sf_dir, "customer").select("c_custkey", _udf(of, "string")("c_custkey").alias("token"))
+    return _customers(spark, sf_dir).select("c_custkey", _udf(of, "string")("c_custkey").alias("token"))
 
 
 def robots_rules(spark, sf_dir):
@@ -356,7 +362,7 @@ def config_rows(spark, sf_dir):
         return {"poll": rows[0]["poll_minutes"], "take": rows[0]["take_per_run"], "enabled": rows[0]["enabled"], "unknown": len(config.unknown_static_tags(rows, TAXONOMY))}
 
     got = _udf(of, "struct<poll:long,take:long,enabled:boolean,unknown:long>")("c_custkey")
-    return _t(spark, sf_dir, "customer").select("c_custkey", got.alias("g")).select("c_custkey", "g.*")
+    return _customers(spark, sf_dir).select("c_custkey", got.alias("g")).select("c_custkey", "g.*")
 
 
 def undeclared_tags(spark, sf_dir):
@@ -449,7 +455,7 @@ def sitemap_probes(spark, sf_dir):
 
 def sitemap_addresses(spark, sf_dir):
     f = _udf(lambda k: discover.sitemap_addresses("https://h.example/a/b", "User-agent: *\n" + "\n".join(f"  Sitemap: https://h.example/{i}.xml x" for i in range(k % 12)) + "\nsitemap: https://h.example/sitemap.xml"), "array<string>")
-    return _t(spark, sf_dir, "customer").select("c_custkey", F.size(f("c_custkey")).cast("long").alias("n"), F.element_at(f("c_custkey"), -1).alias("last"))
+    return _customers(spark, sf_dir).select("c_custkey", F.size(f("c_custkey")).cast("long").alias("n"), F.element_at(f("c_custkey"), -1).alias("last"))
 
 
 def redacted_headers(spark, sf_dir):
