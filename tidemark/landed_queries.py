@@ -374,7 +374,7 @@ def undeclared_tags(spark, sf_dir):
         except config.ConfigError as bad:
             return len(str(bad).splitlines())
 
-    return _t(spark, sf_dir, "customer").select("c_custkey", _udf(of, "long")("c_custkey").alias("errors"))
+    return _customers(spark, sf_dir).select("c_custkey", _udf(of, "long")("c_custkey").alias("errors"))
 
 
 # Discovery.
