@@ -141,7 +141,7 @@ def test_bad_taxonomy():
         config.load_taxonomy(TAX.replace("asset:fx, any", "asset:none, any"))
 
 
-@pytest.mark.parametrize("name", ["config_rows", "undeclared_tags", "config_errors"])
+@pytest.mark.parametrize("name", ["config_rows", "undeclared_tags", "config_errors", "suggestions"])
 def test_texts_of_one_file_are_read_by_many_tasks(spark, name):
     out = queries.queries()[name](spark, DATA)
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
