@@ -307,3 +307,13 @@ def test_sitemaps_by_sparks_reader(spark):
         assert got.get(i, []) == [(want["is_index"], e["loc"], e["lastmod"]) for e in want["entries"]], m
     plain = df.select("source_id", feeds._plain_sitemap(F.col("body")).isNotNull().alias("p")).filter("p").collect()
     assert {r.source_id for r in plain} >= {"0", "1", "2"}
+
+
+def test_trigrams_walk_a_long_text_once(spark):
+    """A title of a megabyte, as first lines may be; characters outside the basic plane count as one."""
+    from time import perf_counter
+
+    rows = spark.createDataFrame([(1, "ab" * 500_000 + "😀😀cd", None), (2, "ab", "xy\nZ")], "item_id long, title string, summary string")
+    began = perf_counter()
+    assert {(r.gram, tuple(r.places)) for r in bitmaps.trigrams(rows).collect()} == {("aba", (1,)), ("bab", (1,)), ("ab😀", (1,)), ("b😀😀", (1,)), ("😀😀c", (1,)), ("😀cd", (1,)), ("xy\n", (2,)), ("y\nz", (2,))}
+    assert perf_counter() - began < 60

@@ -24,16 +24,16 @@ BITMAPS = "kind string, value string, block long, bits binary"
 POSTINGS = "gram string, block long, places array<int>"
 
 
-def bitmaps(items: DataFrame) -> DataFrame:
-    """kind (tag, institution, day), value, block and bits; kind `all` has every item."""
+def bitmaps(items: DataFrame, *of: str) -> DataFrame:
+    """kind (tag, institution, day), value, block and bits; kind `all` has every item. of: columns of items whose values have bitmaps each."""
     kinds = F.array(
         F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")),
         F.struct(F.lit("institution").alias("kind"), F.col("institution").alias("value")),
         F.struct(F.lit("day").alias("kind"), _day(F.col("published_at")).cast("string").alias("value")),
     )
     tags = F.transform(F.array_distinct("tags"), lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("value")))
-    rows = items.select("item_id", F.explode(F.concat(kinds, F.coalesce(tags, F.array().cast("array<struct<kind:string,value:string>>")))).alias("k"))
-    return rows.groupBy("k.kind", "k.value", F.bitmap_bucket_number("item_id").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("item_id")).alias("bits"))
+    rows = items.select(*of, "item_id", F.explode(F.concat(kinds, F.coalesce(tags, F.array().cast("array<struct<kind:string,value:string>>")))).alias("k"))
+    return rows.groupBy(*of, "k.kind", "k.value", F.bitmap_bucket_number("item_id").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("item_id")).alias("bits"))
 
 
 def _day(at: Column) -> Column:
@@ -108,12 +108,15 @@ def total(found: DataFrame, items: DataFrame, query: ItemQuery, now_ms: int, gra
 # Search.
 
 
-def trigrams(items: DataFrame) -> DataFrame:
-    """gram, block, places: the items of a block of numbers that have the gram in title or summary, A-Z in lower case; at most BLOCK places a row."""
-    texts = items.select("item_id", F.explode(F.array(ascii_lower(F.col("title")), ascii_lower(F.col("summary")))).alias("t")).filter(F.length("t") >= 3)
-    every = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr(F.col("t"), i, F.lit(3)))
-    grams = texts.select("item_id", F.explode(F.array_distinct(every)).alias("gram"))
-    return grams.groupBy("gram", F.floor(F.col("item_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set(F.pmod("item_id", F.lit(BLOCK)).cast("int"))).alias("places"))
+def trigrams(items: DataFrame, *of: str) -> DataFrame:
+    """gram, block, places: the items of a block of numbers that have the gram in title or summary, A-Z in lower case; at most BLOCK places a row.
+
+    A text is walked once, however long: substr() counts characters from its begin each time. of: as for bitmaps().
+    """
+    texts = items.select(*of, "item_id", F.explode(F.array(ascii_lower(F.col("title")), ascii_lower(F.col("summary")))).alias("t"))
+    every = F.regexp_extract_all("t", F.lit("(?s)(?=(...))."), F.lit(1))
+    grams = texts.select(*of, "item_id", F.explode(F.array_distinct(every)).alias("gram"))
+    return grams.groupBy(*of, "gram", F.floor(F.col("item_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set(F.pmod("item_id", F.lit(BLOCK)).cast("int"))).alias("places"))
 
 
 def candidates(grams: DataFrame, needle: str) -> DataFrame:
