@@ -151,3 +151,20 @@ def test_normalisation_matches_unicodedata(spark):
     flat = unicodedata.normalize("NFKD", s)
     want = re.sub("[^a-z0-9]+", " ", re.sub("[̀-ͯ]", "", flat).lower()).strip()
     assert one(spark, s, text.title_key) == want
+
+
+def test_excerpts_of_long_texts(spark):
+    """Where only the begin is gone through, excerpts are those of the whole."""
+    from tidemark.sources import plain
+
+    texts = [lead + pad.join(["word"] * n) + tail for lead in ("", " \n ") for pad in (" ", "  ", " " * 9, "　\t") for n in (1, 79, 80, 81, 100, 160, 900) for tail in ("", " " * 900, " &amp; <b>x</b>", "é😀" * 450)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.excerpt(F.col("t")).alias("e")).collect()
+    assert {r.i: r.e for r in rows} == {i: plain.excerpt(t) for i, t in enumerate(texts)}
+
+
+def test_items_of_one_file_are_made_by_many_tasks(spark):
+    from tidemark import queries
+
+    from .conftest import DATA
+
+    assert queries._items(spark, DATA).select(F.spark_partition_id().alias("p")).distinct().count() > 1

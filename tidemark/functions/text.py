@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def contains_text(needle: str, *columns: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"[{_SPACE}]+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, f"[{_SPACE}]+", " "))
 
 
 def title_key(title: Column) -> Column:
@@ -71,8 +72,16 @@ def display_title(title: Column, institution: Column) -> Column:
     return F.when((want != "") & (head != "") & (got != "") & site, head).otherwise(clean)
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), c computed once: in branches Spark computes it anew at each mention."""
+    return F.transform(F.array(c), f)[0]
+
+
 def excerpt(html: Column, most: int = 400) -> Column:
-    """Text of a piece of HTML, cut with an ellipsis; null where nothing is left."""
+    """Text of a piece of HTML, cut with an ellipsis; null where nothing is left.
+
+    Of a text without markup and entities only the begin is gone through, where that fills the excerpt.
+    """
     # Markup and entities that an excerpt drops.
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
     t = F.when(F.contains(html, F.lit("<")), F.regexp_replace(bare, "<[^>]+>", " ")).otherwise(html)
@@ -80,9 +89,10 @@ def excerpt(html: Column, most: int = 400) -> Column:
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'")):
         t = F.regexp_replace(t, f"(?i){entity}", char)
     t = F.when(F.contains(html, F.lit("&")), t).otherwise(plain)
-    t = collapse(t)
-    cut = F.concat(F.regexp_replace(F.substring(t, 1, most - 1), f"[{_SPACE}]+$", ""), F.lit("…"))
-    return F.when(t == "", None).when(F.length(t) > most, cut).otherwise(t)
+    enough = ~F.contains(html, F.lit("<")) & ~F.contains(html, F.lit("&"))
+    flat = _once(collapse(F.substring(html, 1, 2 * most)), lambda begin: F.when(enough & (F.length(begin) > most), begin).otherwise(collapse(t)))
+    cut = lambda s: F.concat(F.rtrim(F.substring(s, 1, most - 1)), F.lit("…"))
+    return _once(flat, lambda s: F.when(s == "", None).when(F.length(s) > most, cut(s)).otherwise(s))
 
 
 def age_label(ms: Column, now_ms: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, paths, text, urls
+from tidemark.functions.python import spread
 from tidemark.lineage import shared_dir
 from tidemark.model import DAY_MS, ITEMS, ItemQuery
 from tidemark.operators import dedupe, discover, health, prune, rations, tagging
@@ -61,13 +62,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit(START) + F.col("doc_id") * HOUR
     out = d.select(
         F.col("doc_id").alias("item_id"), F.concat_ws("-", "source", "lang").alias("source_id"), F.col("source").alias("institution"),
-        F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), text.excerpt(F.col("text")).alias("summary"),
+        F.trim(F.substring_index("text", "\n", 1)).alias("title"), text.excerpt(F.col("text")).alias("summary"),
         at.alias("published_at"), (F.col("doc_id") % 5 < 2).alias("date_estimated"), (at + DAY_MS).alias("first_seen_at"),
         F.array("lang").alias("native_categories"), F.when(F.col("n_chars") > 2000, "type:long").otherwise("type:short").alias("kind"),
     )
     themes = tagging.rule_tags(TAXONOMY.rules, tagging.haystack(F.col("title"), F.col("summary")))
     region = F.array(F.concat(F.lit("region:"), F.element_at("native_categories", 1)))
-    return out.withColumn("tags", F.array_sort(F.concat(F.array("kind"), region, themes))).drop("kind")
+    return spread(out).withColumn("tags", F.array_sort(F.concat(F.array("kind"), region, themes))).drop("kind")
 
 
 def _now(items: DataFrame) -> int:
