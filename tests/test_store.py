@@ -309,6 +309,28 @@ def test_sitemaps_by_sparks_reader(spark):
     assert {r.source_id for r in plain} >= {"0", "1", "2"}
 
 
+def test_jobs_of_a_compaction_do_not_grow_with_its_folders(spark, tmp_path):
+    """Filters, bitmaps and trigrams of all buckets of dates are written together, each where its folder's were."""
+    def jobs(n):
+        store = Store(spark, f"file://{tmp_path}/s{n}", indexed=True)
+        rows = [item(i, NOW - i * 31 * DAY, f"x{i}") for i in range(n)]
+        store.change({"items": spark.createDataFrame(rows, model.ITEMS)})
+        spark.sparkContext.setJobGroup(f"compact-{n}", "")
+        store.compact(most=0)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return store, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"compact-{n}"))
+
+    (few, a), (many, b) = jobs(2), jobs(20)
+    own = many._folders("items")
+    assert len(few._folders("items")) == 2 and len(own) == 20 and b <= a + 4
+    assert all(f.indexed and f.words and spark.read.parquet(f"{many.root}/{f.filter_path}").columns == ["word", "bits"] for f in own)
+    want = bitmaps.trigrams(many.read("items"))
+    key = lambda df: sorted((r.gram, tuple(r.places)) for r in df.collect())
+    assert key(want) == key(many.trigrams().groupBy("gram").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places")))
+    asked = spark.createDataFrame([("x7",), ("none",)], "canonical_hash string")
+    assert len(many._holding("items", asked)) == 1 and many.holding("items", asked).filter("canonical_hash = 'x7'").count() == 1
+
+
 def test_trigrams_walk_a_long_text_once(spark):
     """A title of a megabyte, as first lines may be; characters outside the basic plane count as one."""
     from time import perf_counter

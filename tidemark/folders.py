@@ -66,10 +66,10 @@ def _probes(h: Column, words: Column) -> Column:
     return F.array(*out)
 
 
-def bloom(rows: DataFrame, by: Iterable[str], words: int) -> DataFrame:
-    """(word, bits) of the filter of rows' values in the columns by."""
-    probes = rows.select(F.explode(_probes(F.xxhash64(*by), F.lit(words))).alias("p"))
-    return probes.groupBy("p.word").agg(F.bit_or("p.mask").alias("bits"))
+def bloom(rows: DataFrame, by: Iterable[str], words: int | Column, *of: str) -> DataFrame:
+    """(word, bits) of the filter of rows' values in the columns by; of: columns of rows whose values have a filter each."""
+    probes = rows.select(*of, F.explode(_probes(F.xxhash64(*by), F.lit(words))).alias("p"))
+    return probes.groupBy(*of, "p.word").agg(F.bit_or("p.mask").alias("bits"))
 
 
 def hit(rows: DataFrame, by: Iterable[str], filters: DataFrame, sizes: Iterable[int]) -> DataFrame:

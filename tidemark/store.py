@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,11 @@ BUCKET_MS = 30 * model.DAY_MS
 FILE_ROWS = 2_000_000
 
 
+def _ranges(got: dict) -> tuple:
+    """The ranges of a folder's stated and estimated dates; None where some item has no date."""
+    return tuple(None if got["undated"] or got[f"min_{k}"] is None else (got[f"min_{k}"], got[f"max_{k}"]) for k in ("stated", "estimated"))
+
+
 class Store:
     """One writer; any number of readers, each of whom keeps the snapshot that it opened.
 
@@ -201,9 +205,6 @@ class Store:
         return self._told(name, path, seen.get)
 
     def _told(self, name: str, path: str, got: dict) -> Folder:
-        ranges = [None, None]
-        if name == "items" and not got["undated"]:
-            ranges = [None if got[f"min_{k}"] is None else (got[f"min_{k}"], got[f"max_{k}"]) for k in ("stated", "estimated")]
         words = None
         if name in KEYS and got["rows"]:
             words = folders.words_for(got["rows"])
@@ -213,7 +214,7 @@ class Store:
             own = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{path}")
             bitmaps.bitmaps(own).repartition("kind").sortWithinPartitions("kind", "value", "block").write.parquet(f"{self.root}/{path}.bitmaps")
             bitmaps.trigrams(own).repartitionByRange("gram").sortWithinPartitions("gram", "block").write.parquet(f"{self.root}/{path}.trigrams")
-        return Folder(path, got["rows"], words, *ranges, self.indexed and name == "items")
+        return Folder(path, got["rows"], words, *(_ranges(got) if name == "items" else (None, None)), self.indexed and name == "items")
 
     def change(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, last_id: int | None = None) -> None:
         """Adds a folder to some tables and replaces others, all or none: what a batch writes is its own size, not the table's."""
@@ -242,9 +243,21 @@ class Store:
         dealt = items.withColumn("b", bucket).join(sizes, "b").withColumn("file", F.pmod(F.xxhash64("item_id"), F.col("files")))
         dealt.repartition("b", "file").sortWithinPartitions("b", "date_estimated", "published_at", "item_id").drop("file", "files").write.partitionBy("b").parquet(f"{self.root}/{root}")
         stats = [F.min(F.when(c, at)).alias(f"min_{k}") for k, c in (("stated", ~est), ("estimated", est))] + [F.max(F.when(c, at)).alias(f"max_{k}") for k, c in (("stated", ~est), ("estimated", est))]
-        told = self.spark.read.schema(SCHEMAS["items"] + ", b long").parquet(f"{self.root}/{root}").groupBy("b").agg(F.count("*").alias("rows"), F.count_if(est.isNull() | at.isNull()).alias("undated"), *stats)
-        with ThreadPoolExecutor(8) as pool:  # small jobs, side by side
-            return list(pool.map(lambda r: self._told("items", f"{root}/b={r.b}", r.asDict()), told.orderBy("b").collect()))
+        own = self.spark.read.schema(SCHEMAS["items"] + ", b long").parquet(f"{self.root}/{root}")
+        told = own.groupBy("b").agg(F.count("*").alias("rows"), F.count_if(est.isNull() | at.isNull()).alias("undated"), *stats).orderBy("b").collect()
+        # What lies beside all folders is made and written at once, as there are as many folders as buckets.
+        known = self.spark.createDataFrame([(r.b, folders.words_for(r.rows), -(-r.rows // FILE_ROWS)) for r in told], "b long, words long, files long")
+        with_known = lambda df: df.join(F.broadcast(known), "b")
+
+        def beside(kind: str, df: DataFrame, *order: str) -> None:
+            named = df.withColumn("b", F.concat(F.col("b").cast("string"), F.lit(f".{kind}")))
+            named.sortWithinPartitions("b", *order).write.mode("append").partitionBy("b").parquet(f"{self.root}/{root}")
+
+        beside("filter", folders.bloom(with_known(own), KEYS["items"], F.col("words"), "b", "files").repartition("b", F.pmod("word", "files")).drop("files"))
+        if self.indexed:
+            beside("bitmaps", with_known(bitmaps.bitmaps(own, "b")).repartition("b", F.when(F.col("files") > 1, F.col("kind"))).drop("words", "files"), "kind", "value", "block")
+            beside("trigrams", bitmaps.trigrams(own, "b").repartitionByRange("b", "gram"), "gram", "block")
+        return [Folder(f"{root}/b={r.b}", r.rows, folders.words_for(r.rows), *_ranges(r.asDict()), self.indexed) for r in told]
 
     def compact(self, most: int = 32, keep: int = 0) -> int:
         """Rewrites tables of more than most folders, items clustered by date, with filters and ranges of the new folders; then removes folders that no table has.
