@@ -258,7 +258,7 @@ def _dated_store(spark, sf_dir):
     if key not in _stored:
         store = _store(spark)
         items = articles(spark, sf_dir).withColumns({"url": F.lit("u"), "canonical_hash": F.sha2(F.col("item_id").cast("string"), 256), "title_key": F.lit("")}).select(*[f.split()[0] for f in ITEMS.split(", ")])
-        store.change({"items": items})
+        Store(spark, store.root).change({"items": items})  # the index is made of the clustered folders
         store.compact(most=0)
         _stored[key] = store.root
     return Store(spark, _stored[key], indexed=True)
