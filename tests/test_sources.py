@@ -150,3 +150,18 @@ def test_texts_of_one_file_are_read_by_many_tasks(spark, name):
 def test_configurations_are_read_by_libyaml():
     assert not yaml.__with_libyaml__ or config.LOADER is yaml.CSafeLoader
     assert yaml.load("a: [1, no, 0x1f, ~, 1_000, 2024-01-01, '\\u00e9']\nb: &x {c: 1.5}\nd: {<<: *x}", Loader=config.LOADER) == yaml.safe_load("a: [1, no, 0x1f, ~, 1_000, 2024-01-01, '\\u00e9']\nb: &x {c: 1.5}\nd: {<<: *x}")
+
+
+@pytest.mark.parametrize("given, records, size", [(("10000", "64m"), "1000", str(1 << 20)), (("-1", "2147483646"), "1000", str(1 << 20)), (("50", "4k"), "50", "4k")])
+def test_python_gets_small_batches_of_bodies(spark, given, records, size):
+    """Bodies go to Python by batches of bounded rows and bytes; a session's smaller bounds stay."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, given, strict=True):
+            spark.conf.set(n, v)
+        out = feeds.feed_items(spark.createDataFrame([("s", RSS)] * 3, "source_id string, body string"))
+        assert [spark.conf.get(n) for n in names] == [records, size] and out.count() == 6
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)

@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch, where the session has more: a worker holds a batch's bodies and all that is parsed of them at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
+
+
+def _small_batches() -> None:
+    spark = SparkSession.getActiveSession()
+    for name, most in BATCH.items() if spark else ():
+        value = spark.conf.get(name)
+        size = 0 if value.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+        if not 0 < size <= most:  # Spark has no limit at 0 and below
+            spark.conf.set(name, str(most))
+
 
 def arrow(f: Callable, kind: str) -> Callable:
-    """F.udf, put off until it is called: a type's text can be read only once there is a session."""
-    return lambda *columns: F.udf(f, kind, useArrow=True)(*columns)
+    """F.udf, put off until it is called: a type's text can be read only once there is a session. Lowers the session's BATCH."""
+
+    def call(*columns):
+        _small_batches()
+        return F.udf(f, kind, useArrow=True)(*columns)
+
+    return call
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -114,12 +114,12 @@ def _is_plain(url: Column) -> Column:
 
 def canonical_from(url: Column, base: Column) -> Column:
     """canonical() of an address found at base; Python looks at those that aren't plain."""
-    return F.when(_is_plain(url), canonical_url(url)).otherwise(F.udf(canonical, "string", useArrow=True)(F.when(~_is_plain(url), url), base))
+    return F.when(_is_plain(url), canonical_url(url)).otherwise(arrow(canonical, "string")(F.when(~_is_plain(url), url), base))
 
 
 def absolute_from(url: Column, base: Column) -> Column:
     """absolute() of an address found at base; Python looks at those that aren't plain."""
-    return F.when(_is_plain(url), url).otherwise(F.udf(absolute, "string", useArrow=True)(F.when(~_is_plain(url), url), base))
+    return F.when(_is_plain(url), url).otherwise(arrow(absolute, "string")(F.when(~_is_plain(url), url), base))
 
 
 canonical_url_exact = arrow(canonical, "string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import dates, paths, regexes, urls
-from tidemark.functions.python import spread
+from tidemark.functions.python import arrow, spread
 from tidemark.lineage import settled, shared_dir
 from tidemark.model import DAY_MS, ItemQuery
 from tidemark.operators import dedupe, discover, health, ingest, normalise, prune, rations
@@ -25,7 +25,7 @@ NOW = START + 3650 * DAY_MS
 
 
 def _udf(f, kind):
-    return F.udf(f, kind, useArrow=True)
+    return arrow(f, kind)
 
 
 def _customers(spark, sf_dir) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import model
+from tidemark.functions.python import arrow
 from tidemark.lineage import settled
 from tidemark.operators import dedupe, health, rations
 from tidemark.operators.normalise import normalise
@@ -60,7 +61,7 @@ _PLAN = "struct<tries:array<struct<attempt:int,kind:string,settings:string>>,wro
 
 def adapters(sources: DataFrame) -> DataFrame:
     """source_id, tries (attempt, kind, settings as JSON) and wrong, a row a source."""
-    plan = F.udf(_planned, _PLAN, useArrow=True)(F.col("id"), F.col("config_json"))
+    plan = arrow(_planned, _PLAN)(F.col("id"), F.col("config_json"))
     return sources.select(F.col("id").alias("source_id"), plan.alias("p")).select("source_id", "p.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.python import arrow
 from tidemark.functions.urls import origin, robots_pattern
 
 
@@ -35,7 +36,7 @@ def compiled(rules: DataFrame) -> DataFrame:
     bounded by the size of its robots.txt.
     """
     plain = F.regexp_extract("path", r"^([^*]*?)(?:\*.*|\$)?$", 1)
-    rest = F.when(plain != F.col("path"), F.udf(robots_pattern, "string", useArrow=True)("path"))
+    rest = F.when(plain != F.col("path"), arrow(robots_pattern, "string")("path"))
     rule = F.struct((-F.length("path")).alias("less"), (~F.col("allow")).alias("blocks"), plain.alias("begin"), rest.alias("pattern"))
     return rules.groupBy("origin").agg(F.array_sort(F.collect_set(rule)).alias("__rules"))
 
