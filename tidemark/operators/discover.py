@@ -9,6 +9,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.python import arrow
 from tidemark.functions.text import shapes
 from tidemark.functions.urls import absolute, canonical
 from tidemark.sources.html import parse
@@ -73,13 +74,13 @@ def _fields(body: str | None) -> list[dict]:
 
 def fields(bodies: DataFrame) -> DataFrame:
     """One row per field of each record of landed answers (url, body): call (that url), path, rank, record, key, text, what it is."""
-    return bodies.select(F.col("url").alias("call"), F.explode(F.udf(_fields, FIELD, useArrow=True)("body")).alias("f")).select("call", "f.*")
+    return bodies.select(F.col("url").alias("call"), F.explode(arrow(_fields, FIELD)("body")).alias("f")).select("call", "f.*")
 
 
 def _kinds(now_ms: Column) -> dict[str, Column]:
     t = F.col("text")
     s = shapes(t)
-    ms = F.udf(when, "long", useArrow=True)(t)
+    ms = arrow(when, "long")(t)
     dated = F.coalesce((ms >= 631152000000) & (ms <= now_ms + 172800000), F.lit(False))
     return {
         "url": F.col("is_text") & s["url"], "title": F.col("is_text") & s["title"], "published_at": (F.col("is_number") | (F.col("is_text") & t.rlike(r"\d{4}"))) & dated,
@@ -194,7 +195,7 @@ def embedded_payloads(pages: DataFrame) -> DataFrame:
     def blocks(html):
         return [n.text for n in parse(html).walk() if n.tag == "script" and (n.attrs.get("id") == "__NEXT_DATA__" or n.attrs.get("type", "").startswith("application/json"))]
 
-    return pages.select("url", F.explode(F.udf(blocks, "array<string>", useArrow=True)("body")).alias("body")).withColumn("status", F.lit(200))
+    return pages.select("url", F.explode(arrow(blocks, "array<string>")("body")).alias("body")).withColumn("status", F.lit(200))
 
 
 STATE_CLASS = re.compile(r"(is|has|js)-")
@@ -231,7 +232,7 @@ def listing_classes(pages: DataFrame, top: int = 5) -> DataFrame:
     Those that hold a link with the page's last segment come first, then those on more containers, then longer names.
     """
     kind = "array<struct<name:string,node:int,hinted:boolean,title:string>>"
-    rows = pages.select("url", F.explode(F.udf(_around, kind, useArrow=True)("body", "url")).alias("c")).select("url", "c.*")
+    rows = pages.select("url", F.explode(arrow(_around, kind)("body", "url")).alias("c")).select("url", "c.*")
     found = rows.groupBy("url", "name").agg(F.countDistinct("node").alias("nodes"), F.max("hinted").alias("hinted")).filter("nodes >= 3")
     w = Window.partitionBy("url").orderBy(F.desc("hinted"), F.desc("nodes"), F.desc(F.length("name")), "name")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
