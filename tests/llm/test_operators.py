@@ -426,6 +426,25 @@ def test_alignment_misses_no_pair_within_the_bound(spark):
     assert sum(r.n_matches > 0 for r in got.values()) >= 25
 
 
+def test_most_pairs_are_left_out_by_a_bound_that_is_never_too_large():
+    """Melodies of one length: few pairs' bits are compared. Cut ones, of many lengths: none is taken for farther apart than it is."""
+    rng = np.random.default_rng(8)
+    prints = np.stack(audio.fingerprints_of([audio.tune(v) for v in rng.normal(0, 0.13, (200, 64))]))
+    for least in (54, 16):
+        sizes = rng.integers(least, 55, 200)
+        grid = audio._grid(sizes, np.concatenate([p[:n] for p, n in zip(prints, sizes)]).tobytes())
+        signs = audio._signs(sizes, grid)
+        axes = audio._axes(signs)
+        q_far, far = (audio._shadows(sizes, signs, axes, asks) for asks in (True, False))
+        for a, b in ((0, 0), (3, 0), (0, 6), (21, 0)):
+            lap = 54 - max(a, b)
+            got = audio._squares(q_far, far, a, b, lap)
+            overlap = np.maximum(np.minimum.outer(sizes - a, sizes - b), 0)
+            wrong = (np.bitwise_count(grid[:, None, a : a + lap] ^ grid[None, :, b : b + lap]) * (np.arange(lap) < overlap[:, :, None])).sum(2)
+            assert (got <= 4 * wrong + 1).all()
+            assert least < 54 or (got <= 4 * audio.MOST_ERRORS * 32 * lap).mean() < audio.DENSE
+
+
 def test_fingerprint_of_noisy_and_shifted_sound():
     rng = np.random.default_rng(4)
     pcm = audio.tune(rng.normal(0, 0.13, 64))

@@ -3,8 +3,9 @@
 Sound is cut into frames, each frame's spectrum folded into twelve pitch classes and smoothed over
 time. On the integral image of frames by classes, 16 rectangle filters each give two bits: a packed
 32-bit number for each position. Recordings are aligned by offset: the bits that differ at each
-difference of positions decide. They are counted for blocks of recordings at once, as products of
-matrices of +1 and -1, so no pair within the bound is missed.
+difference of positions decide. Blocks of recordings are compared at once, by products of matrices:
+first along few directions, which never makes a distance larger, then by all bits of the pairs that
+are left, so no pair within the bound is missed.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ MOST_ERRORS = 0.15
 LEAST_OVERLAP = 16
 #: Recordings and positions of a block at most; a recording of more positions is a block of its own.
 BLOCK, BLOCK_SPOTS = 512, 1 << 15
+#: The bound on two recordings' distance: positions that are taken together, the directions kept of their 32 bits
+#: each, and how many runs of positions the directions are fitted to; the share of pairs left from which all bits are compared.
+POOL, AXES, FITTED, DENSE = 4, 32, 8192, 1 / 16
 _LEVELS = np.array([-0.12, 0.0, 0.12])
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -169,27 +173,85 @@ def tunes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return _fingerprinted(vectors, key, vector, tune)
 
 
-def _signs(sizes: np.ndarray, words: bytes) -> np.ndarray:
-    """A row per recording: +1 or -1 for each bit of its prints, 0 behind its end."""
+def _grid(sizes: np.ndarray, words: bytes) -> np.ndarray:
+    """A row of prints per recording, 0 behind its end."""
     held = np.arange(sizes.max()) < sizes[:, None]
     grid = np.zeros(held.shape, np.uint32)
     grid[held] = np.frombuffer(words, np.uint32)
+    return grid
+
+
+def _signs(sizes: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """A row per recording: +1 or -1 for each bit of its prints, 0 behind its end."""
     bits = np.unpackbits(grid.view(np.uint8), axis=1).astype(np.float32)
-    return (2 * bits - 1) * np.repeat(held, 32, axis=1)
+    return (2 * bits - 1) * np.repeat(np.arange(grid.shape[1]) < sizes[:, None], 32, axis=1)
 
 
-def _met(q_sizes: np.ndarray, q_signs: np.ndarray, sizes: np.ndarray, signs: np.ndarray):
-    """(row of q, row, bit_error, offset, overlap) of every offset at which two recordings align, as arrays."""
+def _axes(signs: np.ndarray) -> np.ndarray:
+    """POOL x 32 x AXES: the orthonormal directions in which POOL positions differ most, of at most FITTED such runs."""
+    n = signs.shape[1] // 32 // POOL
+    runs = signs[:, : 32 * POOL * n].reshape(-1, 32 * POOL)[:FITTED].astype(float)
+    return np.linalg.eigh(np.cov(runs, rowvar=False, bias=True))[1][:, -AXES:].astype(np.float32).reshape(POOL, 32, AXES)
+
+
+def _shadows(sizes: np.ndarray, signs: np.ndarray, axes: np.ndarray, asks: bool) -> list[np.ndarray]:
+    """By the first position, below POOL, a row per recording with AXES + 2 numbers for each POOL positions from there on, 0 where it has ended.
+
+    The product of such a row of a query with one of another recording is the square of their distance along the axes.
+    """
+    signs = signs.reshape(len(signs), -1, 32)
+    count, n = len(signs), signs.shape[1] - POOL + 1
+    along = sum(signs[:, i : i + n] @ axes[i] for i in range(POOL))
+    square = (along**2).sum(2)
+    out = np.empty((count, n, AXES + 2), np.float32)
+    out[:, :, :AXES] = -2 * along if asks else along
+    out[:, :, AXES], out[:, :, AXES + 1] = (square, 1) if asks else (1, square)
+    out *= (np.arange(n) + POOL <= sizes[:, None])[:, :, None]
+    return [out[:, first::POOL].reshape(count, -1) for first in range(POOL)]
+
+
+def _squares(q_far: list[np.ndarray], far: list[np.ndarray], a: int, b: int, lap: int) -> np.ndarray:
+    """Queries x recordings, of lap positions from a on and from b on: at most 4 times the bits that differ."""
+    rows = lambda of, at: of[at % POOL][:, (AXES + 2) * (at // POOL) :][:, : (AXES + 2) * (lap // POOL)]
+    return rows(q_far, a) @ rows(far, b).T
+
+
+def _met(q_sizes: np.ndarray, q_words: bytes, sizes: np.ndarray, words: bytes):
+    """(row of q, row, bit_error, offset, overlap) of every offset at which two recordings align, as arrays.
+
+    A distance along fewer directions than there are bits is never above the bits' own, so pairs that are too far
+    apart by that are left out; the bits of the others are compared. Where many are left, all bits are.
+    """
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    n_q, n = q_signs.shape[1] // 32, signs.shape[1] // 32
+    q_grid, grid = _grid(q_sizes, q_words), _grid(sizes, words)
+    q_signs, signs = _signs(q_sizes, q_grid), _signs(sizes, grid)
+    axes = _axes(q_signs)
+    q_far, far = _shadows(q_sizes, q_signs, axes, True), _shadows(sizes, signs, axes, False)
+    n_q, n = q_grid.shape[1], grid.shape[1]
     for offset in range(LEAST_OVERLAP - n, n_q - LEAST_OVERLAP + 1):
         a, b = max(offset, 0), max(-offset, 0)
         lap = min(n_q - a, n - b)
-        same = q_signs[:, 32 * a : 32 * (a + lap)] @ signs[:, 32 * b : 32 * (b + lap)].T
-        overlap = np.minimum((q_sizes - a)[:, None], sizes - b)
-        i, j = np.nonzero((same >= (1 - 2 * MOST_ERRORS) * 32 * overlap - 1) & (overlap >= LEAST_OVERLAP))
-        overlap = overlap[i, j].astype(np.int64)
-        error = (32 * overlap - same[i, j].astype(np.int64)) // 2 / (32 * overlap)
+        u, v = q_sizes - a, sizes - b
+        one = (u == u[0]).all() and (v == v[0]).all()
+        overlap = np.minimum(u[0], v[0]) if one else np.minimum(u[:, None], v)
+        near = _squares(q_far, far, a, b, lap) <= np.float32(4 * ((MOST_ERRORS + 0.001) * 32 * overlap + 1))  # what is added is for rounding
+        if not one:
+            near &= overlap >= LEAST_OVERLAP
+        dense = np.count_nonzero(near) > DENSE * near.size
+        if dense:
+            same = q_signs[:, 32 * a : 32 * (a + lap)] @ signs[:, 32 * b : 32 * (b + lap)].T
+            near &= same >= (1 - 2 * MOST_ERRORS) * 32 * overlap - 1
+        i, j = np.divmod(np.flatnonzero(near), len(sizes))
+        overlap = np.minimum(u[i], v[j]).astype(np.int64)
+        if dense:
+            wrong = (32 * overlap - same[i, j].astype(np.int64)) // 2
+        else:
+            wrong = np.zeros(len(i), np.int64)
+            for at in range(0, len(i), some := max(1, (1 << 20) // lap)):
+                part = slice(at, at + some)
+                differ = np.bitwise_count(q_grid[:, a : a + lap][i[part]] ^ grid[:, b : b + lap][j[part]])
+                wrong[part] = (differ * (np.arange(lap) < overlap[part, None])).sum(1)
+        error = wrong / (32 * overlap)
         good = error <= MOST_ERRORS
         found.append((i[good], j[good], error[good], np.full(good.sum(), offset), overlap[good]))
     return [np.concatenate(x) for x in zip(*found)]
@@ -240,7 +302,7 @@ def align(prints: DataFrame, key: str, every: int = 50) -> DataFrame:
             for x in range(b.num_rows):
                 ids, sizes, words, q_ids, q_sizes, q_words = (b.column(c)[x].as_py() for c in range(6))
                 sizes, q_sizes = np.array(sizes), np.array(q_sizes)
-                i, j, error, offset, overlap = _met(q_sizes, _signs(q_sizes, q_words), sizes, _signs(sizes, words))
+                i, j, error, offset, overlap = _met(q_sizes, q_words, sizes, words)
                 best = {}
                 for i, j, *rest in zip(i.tolist(), j.tolist(), error.tolist(), offset.tolist(), overlap.tolist()):
                     if q_ids[i] != ids[j]:
