@@ -20,12 +20,16 @@ def _small_batches() -> None:
             spark.conf.set(name, str(most))
 
 
-def arrow(f: Callable, kind: str) -> Callable:
-    """F.udf, put off until it is called: a type's text can be read only once there is a session. Lowers the session's BATCH."""
+def arrow(f: Callable, kind: str, once: bool = False) -> Callable:
+    """F.udf, put off until it is called: a type's text can be read only once there is a session. Lowers the session's BATCH.
+
+    once: a filter on what it gives isn't moved below it. Spark would call it there again, in a Python worker more for each task.
+    """
 
     def call(*columns):
         _small_batches()
-        return F.udf(f, kind, useArrow=True)(*columns)
+        made = F.udf(f, kind, useArrow=True)
+        return (made.asNondeterministic() if once else made)(*columns)
 
     return call
 

@@ -92,9 +92,9 @@ def unzip(raw: bytes | None) -> str | None:
         return None
 
 
-feed = arrow(parse_feed, FEED)
-sitemap = arrow(parse_sitemap, SITEMAP)
-text_of = arrow(unzip, "string")
+feed = arrow(parse_feed, FEED, once=True)
+sitemap = arrow(parse_sitemap, SITEMAP, once=True)
+text_of = arrow(unzip, "string", once=True)
 date_of = arrow(when, "long")
 
 
@@ -147,6 +147,6 @@ def sitemap_entries(landed: DataFrame) -> DataFrame:
     from_xml reads those of the usual shape; Python gets the others.
     """
     text = landed.select("source_id", "url", body_text(F.col("body"), F.col("bytes")).alias("t")).withColumn("x", _plain_sitemap(F.col("t")))
-    odd = sitemap(F.when(F.col("x").isNull(), F.col("t")))
-    rows = text.select("source_id", "url", F.coalesce("x", F.struct(odd["is_index"].alias("is_index"), odd["entries"].alias("entries"))).alias("s"))
+    read = text.withColumn("odd", sitemap(F.when(F.col("x").isNull(), F.col("t"))))
+    rows = read.select("source_id", "url", F.coalesce("x", F.struct("odd.is_index", "odd.entries")).alias("s"))
     return rows.select("source_id", "url", "s.is_index", F.posexplode("s.entries").alias("source_pos", "e")).select("source_id", "url", "is_index", F.col("source_pos").cast("long").alias("source_pos"), "e.*")

@@ -37,7 +37,8 @@ def entries(landed: DataFrame, now_ms: int) -> DataFrame:
     now = F.lit(now_ms).cast("long")
     maps = landed.filter((F.col("status") < 400) & (F.col("bytes").isNotNull() | F.substring("body", 1, 2000).rlike(r"(?i)<(urlset|sitemapindex)[\s>]")))
     own = landed.groupBy("source_id").agg(F.first("settings").alias("settings"))
-    found = sitemap_entries(maps).withColumn("date_key", sort_ms(F.col("lastmod"), now)).join(own, "source_id")
+    # Kept, as the plan asks for it three times: each would read all sitemaps again, by Python workers of its own.
+    found = settled(sitemap_entries(maps)).withColumn("date_key", sort_ms(F.col("lastmod"), now)).join(own, "source_id")
     root = found.filter(F.col("url") == F.col("settings.url"))
     children = rations.child_sitemaps(root.filter("is_index")).select("source_id", F.col("loc").alias("url"), F.col("rank").cast("long").alias("__child"))
     inner = found.filter(F.col("url") != F.col("settings.url")).join(children, ["source_id", "url"]).withColumn("source_pos", F.col("__child") * (1 << 32) + F.col("source_pos"))
