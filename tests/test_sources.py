@@ -1,6 +1,7 @@
 """Landed bodies to raw items, and configuration."""
 
 import gzip
+import re
 
 import pytest
 import yaml
@@ -165,3 +166,12 @@ def test_python_gets_small_batches_of_bodies(spark, given, records, size):
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)
+
+
+def test_bodies_are_parsed_once_a_task(spark):
+    """Every node of Python in a plan is a worker more for each task; a parser that is asked for again is one."""
+    rows = spark.createDataFrame([("s", "u", RSS, None)], "source_id string, url string, body string, bytes binary")
+    read = [feeds.feed_items(rows), feeds.feed_problems(rows), pages.listing_items(rows, {"item": "li"}), feeds.sitemap_entries(rows)]
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in read]
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 1, 1, 2]
+    assert [p.count("pythonUDF") > 0 and re.sub(r"(?m)^(?!.*ArrowEvalPython).*$", "", p).count("parse_sitemap(") for p in plans] == [0, 0, 0, 1]
