@@ -8,7 +8,7 @@ from tidemark import folders, model
 from tidemark.model import ItemQuery
 from tidemark.operators import dedupe, health
 from tidemark.plans import bitmaps, panel
-from tidemark.store import Store
+from tidemark.store import SCHEMAS, Store
 from tidemark.streaming import loop
 
 from .test_engine import DAY, NOW, QUERIES, items  # noqa: F401
@@ -247,6 +247,16 @@ def test_a_run_reads_what_is_due(spark, tmp_path):
     assert asked[-1] == ["a", "b", "c"] and outcomes.count() == 3
 
 
+def test_tables_without_rows_start_no_python(spark, tmp_path):
+    """createDataFrame([]) is read by Python workers, a task for each core; an empty table is no task at all."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    for name, schema in SCHEMAS.items():
+        read = store.read(name)
+        assert read.schema == spark.createDataFrame([], schema).schema and read.count() == 0
+        assert "ExistingRDD" not in read._jdf.queryExecution().executedPlan().toString()
+    assert [store._put(name, store.read(name)).rows for name in SCHEMAS] == [0] * len(SCHEMAS)  # what is written is counted even so
+
+
 def test_the_plan_of_a_run_is_one_branch_a_kind(spark):
     """Forty sitemaps and listings, each with patterns and selectors of its own, make a plan as large as two."""
     from tidemark.operators import ingest

@@ -494,10 +494,10 @@ def _landed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame,
     d = _docs(spark, sf_dir, 40)
     url = F.concat(F.lit("https://"), "source", F.lit(".example/"), "lang", F.lit("/"), "doc_id", F.lit("?b=1"))
     hashed = d.select("doc_id", urls.url_hash(url).alias("canonical_hash"))
-    empty = spark.createDataFrame([], model.ITEMS)
+    empty = model.empty(spark, model.ITEMS)
     stored = hashed.filter("doc_id % 10 = 3").select(*[F.col("canonical_hash") if f.name == "canonical_hash" else F.lit("").alias("title_key") if f.name == "title_key" else F.col("doc_id").alias("item_id") if f.name == "item_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
     pruned = hashed.filter("doc_id % 10 = 5").select("canonical_hash", F.lit(0).cast("long").alias("pruned_at"))
-    return settled(landed), registry, stored, pruned, spark.createDataFrame([], model.SEEN_URLS)
+    return settled(landed), registry, stored, pruned, model.empty(spark, model.SEEN_URLS)
 
 
 def _run(spark, sf_dir) -> ingest.Run:
@@ -562,7 +562,7 @@ def _run_kinds(spark, sf_dir) -> ingest.Run:
     own = F.element_at(F.create_map(*[F.lit(x) for i, c in _CONFIGS.items() for x in (i, json.dumps({"adapter": c}))]), k % 4)
     own = F.replace(F.replace(own, F.lit("li.card"), F.concat(F.lit("li.c"), number)), F.lit("/never/"), F.concat(F.lit("/never"), number, F.lit("/")))
     registry = _sources(spark, sf_dir, body.select(F.col("source_id").alias("id"))).withColumns({"take_per_run": F.floor(k / 4).cast("int") % 4 * 8 + 3, "config_json": own})
-    none = dedupe.Tables(*(spark.createDataFrame([], x) for x in (model.ITEMS, model.PRUNED_URLS, model.SEEN_URLS)))
+    none = dedupe.Tables(*(model.empty(spark, x) for x in (model.ITEMS, model.PRUNED_URLS, model.SEEN_URLS)))
     return ingest.run(settled(body.drop("kind").withColumns(blank)), registry, none, TAXONOMY, NOW)
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 ITEMS = (
     "item_id long, source_id string, institution string, url string, canonical_hash string, title string, title_key string, "
     "summary string, published_at long, date_estimated boolean, first_seen_at long, native_categories array<string>, tags array<string>"
@@ -26,6 +30,11 @@ SINCE_MS = {"24h": DAY_MS, "7d": 7 * DAY_MS, "30d": 30 * DAY_MS}
 PAGE, LARGEST_PAGE = 50, 200
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, which Spark folds away. createDataFrame([]) is an RDD whose tasks start Python workers, in a pool of their own."""
+    return spark.range(1).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 def facet_of(tag: str) -> str:
     """What stands before the colon; tags without one belong to no facet."""
     return tag.partition(":")[0] if ":" in tag else ""

@@ -9,6 +9,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import model
 from tidemark.functions.python import arrow
 from tidemark.functions.text import shapes
 from tidemark.functions.urls import absolute, canonical
@@ -302,7 +303,7 @@ def discover(page: dict, landed: DataFrame, now_ms: int) -> dict:
 
     answers = landed.filter(F.length("body") <= MOST_BODY).select("url", "status", "body").unionByName(embedded_payloads(own).select("url", "status", "body"))
     feeds = feed_addresses(url, page.get("html") or "")
-    some = spark.createDataFrame(list(feeds.items()), "url string, how string") if feeds else spark.createDataFrame([], "url string, how string")
+    some = spark.createDataFrame(list(feeds.items()), "url string, how string") if feeds else model.empty(spark, "url string, how string")
     maps = landed.filter(F.col("url").isin(sitemap_addresses(url, page.get("robots")))).filter("status < 400")
     maps = maps.select(F.lit("-").alias("source_id"), "url", "body", F.lit(None).cast("binary").alias("bytes"))
     probe("calls", lambda: candidates(answers, F.lit(now_ms).cast("long")).collect())

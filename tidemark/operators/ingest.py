@@ -67,7 +67,7 @@ def adapters(sources: DataFrame) -> DataFrame:
 
 def _scan(kind: str, landed: DataFrame, seen, now_ms: int):
     """Raw items, facts (healthy_empty, error), and what was visited, of landed bodies of one kind of adapter, with what each needs in a column."""
-    none = landed.sparkSession.createDataFrame([], _FACTS)
+    none = model.empty(landed.sparkSession, _FACTS)
     if kind == "rss":
         bad = feeds.feed_problems(landed).select("source_id", F.lit(False).alias("healthy_empty"), "error")
         return feeds.feed_items(landed), bad, None
@@ -130,7 +130,7 @@ def run(landed: DataFrame, sources: DataFrame, stored, taxonomy: Taxonomy, now_m
         facts.append(fact.select("source_id", "healthy_empty", "error"))
         if visited is not None:
             visits.append(visited)
-    union = lambda dfs, schema: reduce(DataFrame.unionByName, dfs) if dfs else spark.createDataFrame([], schema)
+    union = lambda dfs, schema: reduce(DataFrame.unionByName, dfs) if dfs else model.empty(spark, schema)
     raw = settled(union(raws, model.RAW_ITEMS))
     facts = union(facts, _FACTS).select(F.col("source_id").alias("key"), "healthy_empty", F.col("error").alias("bad"))
     tries = tries.join(raw.groupBy(F.col("source_id").alias("key")).agg(F.count("*").alias("n_items")), "key", "left").join(facts, "key", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, paths, text, urls
 from tidemark.functions.python import spread
 from tidemark.lineage import shared_dir
-from tidemark.model import DAY_MS, ITEMS, ItemQuery
+from tidemark.model import DAY_MS, ITEMS, ItemQuery, empty
 from tidemark.operators import dedupe, discover, health, prune, rations, tagging
 from tidemark.operators.tagging import Rule, Taxonomy
 from tidemark.plans import bitmaps, panel
@@ -243,7 +243,7 @@ def known_hash_store(spark, sf_dir):
     """As known_hash_anti, against a store of ten folders: only folders whose filters have a hash of the batch are read."""
     rows = _url_rows(spark, sf_dir)
     store = _store(spark)
-    blank = spark.createDataFrame([], ITEMS).schema
+    blank = empty(spark, ITEMS).schema
     item = lambda df: df.select(*[F.col("canonical_hash") if f.name == "canonical_hash" else F.col("page_id").alias("item_id") if f.name == "item_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in blank])
     for part in range(5):
         own = rows.filter(f"(page_id div 3) % 5 = {part}")
@@ -421,7 +421,7 @@ def prune_kept(spark, sf_dir):
 
 def prune_tombstones(spark, sf_dir):
     items = articles(spark, sf_dir, False).withColumn("canonical_hash", F.sha2("title", 256))
-    return prune.tombstones(items, spark.createDataFrame([], "canonical_hash string, pruned_at long"), _cutoff(items), 1)
+    return prune.tombstones(items, empty(spark, "canonical_hash string, pruned_at long"), _cutoff(items), 1)
 
 
 def orphan_tags(spark, sf_dir):

@@ -94,7 +94,7 @@ class Store:
 
     def _read(self, name: str, own: list[Folder]) -> DataFrame:
         if not own:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return model.empty(self.spark, SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f.path}" for f in own])
 
     def read(self, name: str) -> DataFrame:
@@ -171,7 +171,7 @@ class Store:
         """What lies beside the folders of items, and what it would be for folders without it."""
         own = [f for f in self._folders("items") if f.rows != 0]
         have, lack = [f for f in own if f.indexed], [f for f in own if not f.indexed]
-        out = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f.path}.{kind}" for f in have]) if have else self.spark.createDataFrame([], schema)
+        out = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f.path}.{kind}" for f in have]) if have else model.empty(self.spark, schema)
         return out.unionByName(made(self._read("items", lack))) if lack else out
 
     def bitmaps(self) -> DataFrame:
